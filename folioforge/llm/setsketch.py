@@ -13,8 +13,10 @@ Order of work, so that no group of copies is ever expanded into all its pairs:
    likelihood of its registers and set sizes speaks against the threshold; what is left is verified on
    full sets, which gives links and components;
 3. members that a bucket holds from different components meet in blocks of bounded size, where their
-   registers are compared; pairs that pass are verified as well;
-4. the components of all verified links are final.
+   registers are compared; of a member's partners that pass, the ``BEST`` likeliest are verified first, which
+   joins most members of a large group to it;
+4. the same again for what still lies in different components, now with every pair that passes;
+5. the components of all verified links are final.
 
 Recall: a pair at the threshold misses all bands with a probability of about 5e-6 and fails the
 likelihood test with about 3e-5. A verified link is exact up to collisions of 64-bit shingle hashes.
@@ -41,6 +43,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**15 - 2
 BLOCK = 1024
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is dropped.
 SLACK = 8.0
+#: Partners of a member that the first pass over mixed buckets verifies.
+BEST = 2
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**63, M, dtype=np.int64).astype(U64)
@@ -157,8 +161,11 @@ def _runs(it: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple,
         yield held_key, pa.Table.from_batches(held)
 
 
-def _block_pairs(threshold: float):
-    """Pairs of one block task whose members lie in different components and whose registers pass."""
+def _block_pairs(threshold: float, best: int | None):
+    """Pairs of one block task whose members lie in different components and whose registers pass.
+
+    ``best`` keeps, for each member, only the partners with the most equal registers.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, bi, bj), t in _runs(it, ["key", "bi", "bj"]):
@@ -175,8 +182,10 @@ def _block_pairs(threshold: float):
                     other &= block != block[i]
                 other = np.flatnonzero(other)
                 if len(other):
-                    ok = passes(regs[i], regs[other], n[i], n[other], threshold)
-                    found.append((node[other[ok]], node[i]))
+                    other = other[passes(regs[i], regs[other], n[i], n[other], threshold)]
+                    if best and len(other) > best:
+                        other = other[np.argsort(-(regs[other] == regs[i]).sum(axis=1), kind="stable")[:best]]
+                    found.append((node[other], node[i]))
             if found:
                 b = np.concatenate([x for x, _ in found])
                 a = np.repeat([y for _, y in found], [len(x) for x, _ in found])
@@ -239,6 +248,21 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return dealt.mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _mixed_pairs(hits: DataFrame, reps: DataFrame, label: DataFrame, threshold: float, best: int | None) -> DataFrame:
+    """Pairs (a, b) to verify from buckets whose members lie in different components."""
+    open_ = hits.where("size > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = open_.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
+    open_ = open_.join(mixed, "key").join(reps, "node")
+    dealt = (
+        open_.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("key", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "hub", "node", "component", "n", "regs")
+    )
+    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return dealt.mapInArrow(_block_pairs(threshold, best), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -264,20 +288,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     star = star.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate(threshold), "a long, b long")
     links = cut(verify(cut(star, "star"), docs, width, percent), "links")
 
-    label = connected_components(links)
-    open_ = hits.where("size > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
-    open_ = open_.join(mixed, "key").join(reps, "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    dealt = (
-        open_.withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "hub", "node", "component", "n", "regs")
-    )
-    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    more = cut(dealt.mapInArrow(_block_pairs(threshold), "a long, b long").distinct(), "pairs")
-    links = links.union(verify(more, docs, width, percent))
+    for best in (BEST, None):
+        more = cut(_mixed_pairs(hits, reps, connected_components(links), threshold, best), "pairs")
+        links = cut(links.union(verify(more, docs, width, percent)), "links")
 
     label = connected_components(links)
     of_class = classes.join(label, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
