@@ -15,7 +15,8 @@ Order of work, so that no group of copies is ever expanded into all its pairs:
 3. members that a bucket holds from different components meet in blocks of bounded size, where their
    registers are compared; of a member's partners that pass, the ``BEST`` likeliest are verified first, which
    joins most members of a large group to it;
-4. the same again for what still lies in different components, now with every pair that passes;
+4. what still lies in different components meets once more, now together with the full sets, so that every
+   pair whose registers pass is verified where it is found and only links are returned;
 5. the components of all verified links are final.
 
 Recall: a pair at the threshold misses all bands with a probability of about 5e-6 and fails the
@@ -40,7 +41,7 @@ from folioforge.storage import cut
 ROWS, BANDS = 4, 32
 M = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 2**15 - 2
-BLOCK = 1024
+BLOCK, PAIRS = 512, 8192
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is dropped.
 SLACK = 8.0
 #: Partners of a member that the first pass over mixed buckets verifies.
@@ -161,35 +162,63 @@ def _runs(it: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple,
         yield held_key, pa.Table.from_batches(held)
 
 
-def _block_pairs(threshold: float, best: int | None):
+def _overlap(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes reach the threshold."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b) or 100 * len(b) < percent * len(a):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _block_pairs(percent: int, best: int | None):
     """Pairs of one block task whose members lie in different components and whose registers pass.
 
-    ``best`` keeps, for each member, only the partners with the most equal registers.
+    With ``best`` each member keeps only so many partners, those with the most equal registers. Without it
+    rows bring their full sets, and only pairs that these confirm are returned.
     """
 
+    def task(t: pa.Table, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node, comp, n, block = (t.column(c).to_numpy() for c in ("node", "component", "n", "block"))
+        regs = _matrix(t.column("regs").combine_chunks())
+        hub, kinds, at = t.column("hub")[0].as_py(), *np.unique(comp, return_inverse=True)
+        large = np.bincount(at).argmax()
+        left, right = [], []
+        for i in np.flatnonzero((at != large) & (node != hub)):
+            # a pair of two small components is met twice; the smaller index leads
+            other = (at != at[i]) & (node != hub) & ((at == large) | (np.arange(len(node)) > i))
+            if apart:
+                other &= block != block[i]
+            right.append(np.flatnonzero(other))
+            left.append(np.full(len(right[-1]), i))
+        if not left:
+            return
+        i, j = np.concatenate(left), np.concatenate(right)
+        ok, equal = [], []
+        for lo in range(0, len(i), PAIRS):
+            p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+            ok.append(passes(regs[p], regs[q], n[p], n[q], percent / 100))
+            equal.append((regs[p] == regs[q]).sum(axis=1))
+        if ok:
+            ok, equal = np.concatenate(ok), np.concatenate(equal)
+            i, j, equal = i[ok], j[ok], equal[ok]
+        if best and len(i):
+            order = np.lexsort((-equal, i))
+            i, j = i[order], j[order]
+            begin = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1])
+            keep = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i)))) < best
+            i, j = i[keep], j[keep]
+        elif not best:
+            sets = [np.frombuffer(m.as_buffer(), U64) for m in t.column("members").combine_chunks()]
+            keep = np.array([_overlap(sets[p], sets[q], percent) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            i, j = i[keep], j[keep]
+        yield node[i], node[j]
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, bi, bj), t in _runs(it, ["key", "bi", "bj"]):
-            node, comp, n, block = (t.column(c).to_numpy() for c in ("node", "component", "n", "block"))
-            regs = _matrix(t.column("regs").combine_chunks() if t.num_rows else t.column("regs"))
-            hub = t.column("hub")[0].as_py()
-            kinds, sizes = np.unique(comp, return_counts=True)
-            large = kinds[np.argmax(sizes)]
-            found: list[tuple[np.ndarray, int]] = []
-            for i in np.flatnonzero((comp != large) & (node != hub)):
-                # a pair of two small components is met twice; the smaller index leads
-                other = (comp != comp[i]) & (node != hub) & ((comp == large) | (np.arange(len(node)) > i))
-                if bi != bj:
-                    other &= block != block[i]
-                other = np.flatnonzero(other)
-                if len(other):
-                    other = other[passes(regs[i], regs[other], n[i], n[other], threshold)]
-                    if best and len(other) > best:
-                        other = other[np.argsort(-(regs[other] == regs[i]).sum(axis=1), kind="stable")[:best]]
-                    found.append((node[other], node[i]))
-            if found:
-                b = np.concatenate([x for x, _ in found])
-                a = np.repeat([y for _, y in found], [len(x) for x, _ in found])
-                if len(b):
+            for a, b in task(t, bi != bj):
+                if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
@@ -219,28 +248,28 @@ def _confirm(percent: int):
                 s = np.frombuffer(m.as_buffer(), U64)
                 if y is None:
                     own, own_id = s, x
-                elif x == own_id and len(s) and len(own):
-                    at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                    both = int((own[at] == s).sum())
-                    if 100 * both >= percent * (len(s) + len(own) - both):
-                        left.append(x)
-                        right.append(y)
+                elif x == own_id and _overlap(own, s, percent):
+                    left.append(x)
+                    right.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``node, members`` (sorted shingle hashes) of the documents named by distinct ids."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "node"))
+    sets = docs.mapInArrow(_sets(width, wanted), "node long, members binary").join(ids, "node", "left_semi")
+    return cut(sets.dropDuplicates(["node"]), "sets")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose full shingle sets reach the threshold.
 
     Only texts that pass a bitmap of the wanted ids are read into sets. A node with many partners is
     dealt out in salted groups of about 512, each of which gets that node's set once.
     """
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = spark.sparkContext.broadcast(bloom.build(ids, "node"))
-    sets = docs.mapInArrow(_sets(width, wanted), "node long, members binary").join(ids, "node", "left_semi").dropDuplicates(["node"])
-    sets = cut(sets, "sets")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, width)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).alias("salts"))
     partners = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.col("b").alias("node")).join(sets, "node").select("a", "salt", F.col("node").alias("b"), "members")
     owners = salts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(sets, "node").select(F.col("node").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "members")
@@ -248,19 +277,23 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return dealt.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _mixed_pairs(hits: DataFrame, reps: DataFrame, label: DataFrame, threshold: float, best: int | None) -> DataFrame:
-    """Pairs (a, b) to verify from buckets whose members lie in different components."""
+def _mixed(hits: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of buckets that hold different components, dealt into pairs of blocks."""
     open_ = hits.where("size > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
-    open_ = open_.join(mixed, "key").join(reps, "node")
-    dealt = (
-        open_.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    return (
+        open_.join(mixed, "key")
+        .join(reps, "node")
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "hub", "node", "component", "n", "regs")
     )
+
+
+def _pairs_of(dealt: DataFrame, percent: int, best: int | None) -> DataFrame:
     dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return dealt.mapInArrow(_block_pairs(threshold, best), "a long, b long").distinct()
+    return dealt.mapInArrow(_block_pairs(percent, best), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -288,9 +321,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     star = star.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate(threshold), "a long, b long")
     links = cut(verify(cut(star, "star"), docs, width, percent), "links")
 
-    for best in (BEST, None):
-        more = cut(_mixed_pairs(hits, reps, connected_components(links), threshold, best), "pairs")
-        links = cut(links.union(verify(more, docs, width, percent)), "links")
+    likely = cut(_pairs_of(_mixed(hits, reps, connected_components(links)), percent, BEST), "likely")
+    links = cut(links.union(verify(likely, docs, width, percent)), "links")
+    dealt = cut(_mixed(hits, reps, connected_components(links)), "mixed")
+    dealt = dealt.join(full_sets(dealt.select("node").distinct(), docs, width), "node")
+    links = cut(links.union(_pairs_of(dealt, percent, None)), "links")
 
     label = connected_components(links)
     of_class = classes.join(label, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
