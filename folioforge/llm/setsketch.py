@@ -259,7 +259,7 @@ def _confirm(percent: int):
 def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``node, members`` (sorted shingle hashes) of the documents named by distinct ids."""
     wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "node"))
-    sets = docs.mapInArrow(_sets(width, wanted), "node long, members binary").join(ids, "node", "left_semi")
+    sets = docs.where("doc_id is not null").mapInArrow(_sets(width, wanted), "node long, members binary").join(ids, "node", "left_semi")
     return cut(sets.dropDuplicates(["node"]), "sets")
 
 
