@@ -47,7 +47,6 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("name"), file_kind(name, F.col("content")).alias("kind"), "content").where(~F.col("name").startswith("."))
 
 
-@F.pandas_udf("string")
 def _gb18030(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("gb18030", "replace"))
 
@@ -55,7 +54,7 @@ def _gb18030(content: pd.Series) -> pd.Series:
 def decode_html(content: F.Column) -> F.Column:
     """UTF-8 where valid, else GB18030, which Spark's own decoder lacks; unknown bytes are replaced."""
     valid = F.try_validate_utf8(content.cast("string"))
-    return F.coalesce(valid, _gb18030(F.when(valid.isNull(), content)))
+    return F.coalesce(valid, F.pandas_udf(_gb18030, "string")(F.when(valid.isNull(), content)))
 
 
 def front_matter(text: F.Column) -> tuple[F.Column, F.Column]:
