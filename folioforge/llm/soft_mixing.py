@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from folioforge.storage import cut
 
 #: Labelled documents that the word lists are learned from, at most; by smallest hash of doc_id.
-LEXICON_DOCS, LEXICON_WORDS = 20_000, 24
+LEXICON_DOCS, LEXICON_WORDS = 8_000, 24
 ROUNDS, TOLERANCE = 12, 1e-4
 
 
@@ -29,12 +29,13 @@ def _words(text: Column) -> Column:
 
 def lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
     """For each domain up to ``LEXICON_WORDS`` words that its documents hold far more often than others'."""
-    some = docs.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_DOCS)
-    total = {r["domain"]: r["n"] for r in some.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    # the chosen ids are a bounded side, so texts are filtered where they are read and never shuffled
+    chosen = cut(docs.select("doc_id").join(labels, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_DOCS), "chosen")
+    total = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     if not total:
         return {}
-    held = some.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).where("length(word) between 3 and 40")
-    wide = held.groupBy("word").agg(*(F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(total)))
+    held = docs.join(F.broadcast(chosen), "doc_id").select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).where("length(word) between 3 and 40")
+    wide = cut(held.groupBy("word").agg(*(F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(total))).where(f"{' + '.join(f'n{i}' for i in range(len(total)))} >= 5"), "words")
     every, out = sum(total.values()), {}
     for i, d in enumerate(total):
         rest = sum((F.col(f"n{j}") for j in range(len(total)) if j != i), F.lit(0))
