@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.rules import ENDURING_KINDS, temporal_class
-from folioforge.functions.text import iso_date, school_year, strip
+from folioforge.functions.text import host, iso_date, school_year, strip
 
 
 def fold(log: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
@@ -128,3 +128,23 @@ def index_changes(present: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def title_of(text: F.Column) -> F.Column:
     return strip(F.split(text, "\n", 2)[0])
+
+
+def parent_domains(docs: DataFrame) -> DataFrame:
+    """``doc_id, domain``: the host of the parent's ``url``, for documents whose parent is in the catalog."""
+    child = docs.where("parent_doc_id is not null").select("doc_id", "parent_doc_id")
+    parent = docs.select(F.col("doc_id").alias("parent_doc_id"), host(F.col("url")).alias("domain"))
+    return child.join(parent, "parent_doc_id").select("doc_id", "domain")
+
+
+def valid_topics(docs: DataFrame, by: str, kinds: tuple[str, ...] = ("policy", "procedure", "annual_notice")) -> DataFrame:
+    """Distinct topics of accepted documents by group: the topic key, else the policy's name, else the title."""
+    name = F.coalesce(F.nullif("topic_key", F.lit("")), F.nullif("policy_name", F.lit("")), F.col("title"))
+    return docs.where((F.col("quality_status") == "accepted") & F.col("document_kind").isin(*kinds)).groupBy(by).agg(F.count_distinct(name).alias("topics"))
+
+
+def unmatched_keys(left: DataFrame, right: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Keys that only one side has, with ``side``. Empty where a rebuild may go on."""
+    marked = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    sides = marked.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l != r")
+    return sides.select(key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side"))

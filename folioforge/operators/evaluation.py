@@ -92,3 +92,28 @@ def timeline(rows: DataFrame, stamp: str) -> DataFrame:
 def fingerprint(rows: DataFrame, line: F.Column, order: str) -> DataFrame:
     """SHA-256 of all lines in order. For reports and metadata rows, whose number is bounded by their kind."""
     return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda x: x["l"]), "\n"), 256).alias("fingerprint"))
+
+
+def series_counts(docs: DataFrame) -> DataFrame:
+    """One row: annual series, those with several documents, and those with several active ones."""
+    series = docs.where("temporal_class = 'annual'").groupBy("series_key").agg(F.count("*").alias("n"), F.count_if(F.col("retention_status") == "active").alias("active"))
+    return series.agg(F.count("*").alias("annual_series"), F.count_if(F.col("n") > 1).alias("duplicate_series"), F.count_if(F.col("active") > 1).alias("duplicate_active_series"))
+
+
+def invalid_chunks(chunks: DataFrame, wanted: F.Column) -> DataFrame:
+    """``collection, doc_id`` of documents with a chunk in another collection than the ``wanted`` one."""
+    return chunks.where(~F.coalesce(F.col("collection") == wanted, F.lit(False))).select("collection", "doc_id").distinct()
+
+
+def collection_stats(chunks: DataFrame, wanted: F.Column) -> DataFrame:
+    """Chunks, documents and invalid documents by collection; ``invalid_chunks`` names the latter."""
+    invalid = F.when(~F.coalesce(F.col("collection") == wanted, F.lit(False)), F.lit(1))
+    docs = chunks.groupBy("collection", "doc_id").agg(F.count("*").alias("n"), F.max(invalid).alias("invalid"))
+    return docs.groupBy("collection").agg(F.sum("n").alias("chunk_count"), F.count("*").alias("document_count"), F.count("invalid").alias("invalid_documents"))
+
+
+def family_hits(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """``question_id, hit``: whether a hit or its parent is an expected document, for every question that expects one."""
+    named = hits.select("question_id", "doc_id").union(hits.where("parent_doc_id is not null").select("question_id", "parent_doc_id"))
+    found = expected.join(named, ["question_id", "doc_id"], "left_semi").select("question_id", F.lit(True).alias("hit"))
+    return found.union(expected.select("question_id", F.lit(False))).groupBy("question_id").agg(F.max("hit").alias("hit"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.functions import rules, text
+from folioforge.functions import cascades, rules, text
 from folioforge.operators import catalog, chunking, evaluation, links, retrieval, versions
 from folioforge.plans import views
 from folioforge.plans.views import SQL_ANSWERS, SQL_CATALOG, SQL_LOG, SQL_QUESTIONS, table
@@ -445,3 +445,180 @@ def z01_crawl_state(spark, sf):
     """Z-01, O-06."""
     by_url = lambda k: table(spark, sf, "pages").where(f"page_id % 3 != {k}").groupBy("url").agg(F.max("page_id").alias("page_id"))
     return state.merge_state(by_url(0), by_url(1))
+
+
+# kinds, admission levels, topics, facts and evidence
+
+
+SQL_MARKED = f"WITH {SQL_CATALOG}, m AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 'low_quality' ELSE 'accepted' END AS quality_status, 'https://' || source || '.example.org/d/' || doc_id AS url FROM catalog)"
+
+
+def _marked(spark, sf):
+    """The catalog with a quality status and a URL."""
+    status = F.when(F.col("doc_id") % 9 == 0, "low_quality").otherwise("accepted")
+    return views.catalog(spark, sf).withColumn("quality_status", status).withColumn("url", F.concat(F.lit("https://"), "source", F.lit(".example.org/d/"), F.col("doc_id").cast("string")))
+
+
+@query(
+    rf"""{SQL_MARKED} SELECT doc_id, CASE WHEN quality_status = 'low_quality' THEN 'incomplete'
+  WHEN regexp_matches(title, '^[A-Z][a-z]+ung ') THEN 'policy' WHEN contains(title, ' | ') THEN 'public_list'
+  WHEN (contains(title, 'keit') AND NOT contains(title, 'keit ')) OR contains(title, '###') THEN 'news'
+  WHEN contains(title, '$$$') THEN 'promotion' WHEN contains(title, '%%%') THEN 'event'
+  WHEN regexp_matches(title, 'schaft|&&&') AND NOT contains(title, 'keit ') THEN 'news'
+  WHEN regexp_matches(title, '[0-9]{{4}}') AND regexp_matches(title, '[ea]') THEN 'annual_notice'
+  WHEN contains(text, '???') THEN 'faq'
+  WHEN regexp_matches(title, 'ción|dad ') OR (contains(text[1:500], '. ') AND regexp_matches(text[1:500], 'ción|dad ')) THEN 'policy'
+  WHEN contains(text, 'eau') AND length(regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) < 300 THEN 'form'
+  WHEN contains(text, '!!') THEN 'manual' WHEN contains(text, '@') THEN 'service_guide' WHEN regexp_matches(text, 'heit|ment ') THEN 'procedure'
+  WHEN contains(title, 'tion') THEN 'annual_notice' WHEN has_attachment THEN 'manual' ELSE 'incomplete' END AS kind FROM m"""
+)
+def p12_document_kind(spark, sf):
+    kind = cascades.document_kind(F.col("title"), F.col("text"), F.col("quality_status"), F.col("has_attachment"), cascades.DEMO_KINDS)
+    return _marked(spark, sf).select("doc_id", kind.alias("kind"))
+
+
+SQL_LEVEL = """h AS (SELECT *, text[1:1500] AS head FROM catalog), v AS (SELECT *, regexp_matches(title, 'able') OR regexp_matches(head, 'ous ') AS master FROM h),
+lv AS (SELECT *, CASE WHEN NOT regexp_matches(title, '[aeiou]n') THEN ''
+  WHEN contains(head, '###') OR (regexp_matches(title, 'keit|ción') AND NOT regexp_matches(head, 'tion[^.]{0,8}e')) THEN 'non_degree_program'
+  WHEN contains(title, 'heit') OR (contains(title, 'ment') AND contains(title || head[1:400], 'eau')) THEN 'recommendation_admission'
+  WHEN contains(title, 'schaft') THEN 'reexamination' WHEN contains(title, 'ung ') THEN 'adjustment'
+  WHEN (contains(title, 'ique') OR contains(head, 'ent ')) AND NOT master THEN 'doctoral_admission' WHEN master THEN 'master_admission'
+  WHEN regexp_matches(head, 'ir|el') OR regexp_matches(title, 'ir|el') THEN 'undergraduate_admission' WHEN contains(title, 'e') THEN 'other_admission' ELSE '' END AS level FROM v)"""
+
+
+def _levels(spark, sf):
+    return views.catalog(spark, sf).withColumn("level", cascades.admission_level(F.col("title"), F.col("text"), cascades.DEMO_ADMISSION))
+
+
+@query(f"WITH {SQL_CATALOG}, {SQL_LEVEL} SELECT doc_id, level FROM lv")
+def p13_admission_level(spark, sf):
+    return _levels(spark, sf).select("doc_id", "level")
+
+
+@query(
+    f"""WITH {SQL_CATALOG}, {SQL_LEVEL} SELECT doc_id, CASE level WHEN 'recommendation_admission' THEN '推免/预推免' WHEN 'reexamination' THEN '复试/调剂' WHEN 'adjustment' THEN '复试/调剂'
+  WHEN 'doctoral_admission' THEN '博士招生' WHEN 'master_admission' THEN '硕士招生' WHEN 'undergraduate_admission' THEN '本科招生' WHEN 'non_degree_program' THEN '非学历项目' WHEN 'other_admission' THEN '其他招生'
+  ELSE CASE WHEN contains(title, 'ción') THEN 'one' WHEN regexp_matches(title, 'eau|ique') THEN 'two' WHEN regexp_matches(title, 'tion|ness') THEN 'three'
+  WHEN contains(text[1:400], 'ción') THEN 'one' WHEN regexp_matches(text[1:400], 'eau|ique') THEN 'two' WHEN regexp_matches(text[1:400], 'tion|ness') THEN 'three' ELSE '其他' END END AS topic FROM lv"""
+)
+def p19_topic(spark, sf):
+    return _levels(spark, sf).select("doc_id", cascades.topic(F.col("title"), F.col("text"), F.col("level"), cascades.DEMO_TOPICS).alias("topic"))
+
+
+@query(
+    r"""WITH f AS (SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|1[3-9][0-9]{9}|0[0-9]{2,3}-?[0-9]{7,8}|QQ|https?://') AS c,
+  regexp_matches(text, '20[0-9]{2}-[0-9]{2}-[0-9]{2}') AS d, regexp_matches(text, '[0-9]{2,}') AS n FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN c THEN 'contact' END, CASE WHEN d THEN 'date' END, CASE WHEN n THEN 'number' END) AS facts, (coalesce(c, false)::INT + coalesce(d, false)::INT + coalesce(n, false)::INT) >= 2 AS enough FROM f"""
+)
+def p17_fact_signals(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(cascades.fact_signals(F.col("text")), ",").alias("facts"), cascades.has_facts(F.col("text")).alias("enough"))
+
+
+@query(
+    f"""WITH {SQL_CATALOG}, g AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'force_include' WHEN publish_date = 'unknown' THEN 'unknown_date' WHEN publish_date < '2020-06-01' THEN 'too_old' ELSE 'in_window' END AS reason FROM catalog)
+SELECT doc_id, reason <> 'too_old' AS open, reason FROM g"""
+)
+def p21_date_gate(spark, sf):
+    return views.catalog(spark, sf).select("doc_id", cascades.date_gate(F.col("publish_date"), F.col("doc_id") % 10 == 0, "2020-06-01").alias("g")).select("doc_id", "g.open", "g.reason")
+
+
+@query(r"SELECT page_id, coalesce(regexp_matches(url, '(?i)^https?://') AND lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) = 'blog.tionsh.example.net' AND regexp_matches(url, '^[A-Za-z]+://[^/?#]*/e'), false) AS is_article FROM pages")
+def p22_article_url(spark, sf):
+    return table(spark, sf, "pages").select("page_id", cascades.article_url(F.col("url"), "blog.tionsh.example.net", "/e").alias("is_article"))
+
+
+@query(
+    r"""WITH s AS (SELECT conv_id, turn, string_split(regexp_extract(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '(?s)^(.*?)(?:\n\s*\n|\z)', 1), '.')[1] AS first FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+SELECT conv_id, turn, regexp_matches(first, 'en|er') AND regexp_matches(first, 'ti|un') AS refused FROM s"""
+)
+def p28_evidence_refusal(spark, sf):
+    refused = cascades.evidence_refusal(F.col("text"), ("en", "er"), ("ti", "un"), ".")
+    return table(spark, sf, "conversations").where("role = 'assistant' and text is not null").select("conv_id", "turn", refused.alias("refused"))
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(text, '(?m)[ \t]+$', '', 'g')) AS digest FROM documents")
+def x18_trim_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(cascades.trim_lines(F.col("text")), 256).alias("digest"))
+
+
+@query(f"{SQL_MARKED} SELECT c.doc_id, p.source || '.example.org' AS domain FROM m c JOIN m p ON c.parent_doc_id = p.doc_id")
+def j02_parent_domains(spark, sf):
+    return catalog.parent_domains(_marked(spark, sf))
+
+
+@query(
+    f"""{SQL_MARKED} SELECT source, count(DISTINCT coalesce(CASE WHEN doc_id % 3 = 0 THEN 'topic' || (doc_id % 5) END, CASE WHEN doc_id % 4 = 0 THEN 'policy' || (doc_id % 7) END, title)) AS topics
+FROM m WHERE quality_status = 'accepted' AND document_kind IN ('policy', 'procedure', 'annual_notice') GROUP BY source"""
+)
+def a04_valid_topics(spark, sf):
+    named = lambda word, every, of: F.when(F.col("doc_id") % every == 0, F.concat(F.lit(word), (F.col("doc_id") % of).cast("string"))).otherwise("")
+    return catalog.valid_topics(_marked(spark, sf).withColumn("topic_key", named("topic", 3, 5)).withColumn("policy_name", named("policy", 4, 7)), "source")
+
+
+@query(
+    f"""WITH {SQL_CATALOG}, p AS (SELECT doc_id, text, ['er', 'a', 'zz', 'tion '][doc_id % 4 + 1] AS point FROM catalog)
+SELECT doc_id, contains(text, point) OR CASE WHEN point = 'er' THEN regexp_matches(text, '@|###') WHEN point = 'a' THEN regexp_matches(text, '[0-9]{{3}}') ELSE false END AS supported FROM p"""
+)
+def p25_point_supported(spark, sf):
+    point = F.element_at(F.array(*map(F.lit, ("er", "a", "zz", "tion "))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", cascades.point_supported(F.col("text"), point, cascades.DEMO_POINTS).alias("supported"))
+
+
+@query(
+    f"""WITH {SQL_CATALOG}, a AS (SELECT *, (doc_id % 10) / 10.0::DOUBLE AS sim, document_kind IN ('policy','procedure','faq','form','manual','service_guide') OR (document_kind = 'annual_notice' AND publish_date >= '2022') AND publish_date <> 'unknown' AS fit FROM catalog),
+r AS (SELECT *, CASE WHEN doc_id % 13 = 0 THEN '无高置信检索结果' WHEN doc_id % 13 = 1 THEN 'probe 状态 partial，待复核' WHEN sim < 0.55 THEN 'top 相似度 ' || printf('%.2f', sim) || ' 低于固化线 0.55'
+  WHEN NOT fit THEN '命中文档类型不足以作为依据（' || document_kind || '）' ELSE '' END AS reason FROM a)
+SELECT doc_id, CASE WHEN reason = '' THEN 'grounded' ELSE 'needs_docs' END AS status, CASE WHEN reason = '' THEN doc_id::VARCHAR ELSE '' END AS doc_ids, reason FROM r"""
+)
+def p29_grounding(spark, sf):
+    hit = F.struct("doc_id", (F.col("doc_id") % 10 / F.lit(10.0)).alias("similarity"), "document_kind", "publish_date")
+    status = F.when(F.col("doc_id") % 13 == 0, "not_answerable").when(F.col("doc_id") % 13 == 1, "partial").otherwise("answerable")
+    made = views.catalog(spark, sf).select("doc_id", cascades.grounding(status, F.array(hit, hit), F.array().cast("array<string>"), 2025).alias("g"))
+    return made.select("doc_id", "g.status", F.array_join(F.col("g.doc_ids").cast("array<string>"), ",").alias("doc_ids"), "g.reason")
+
+
+def _retained(spark, sf):
+    status = F.element_at(F.array(*map(F.lit, ("active", "historical", "archived"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return views.catalog(spark, sf).withColumn("retention_status", status)
+
+
+SQL_RETAINED = f"WITH {SQL_CATALOG}, r AS (SELECT *, ['active', 'historical', 'archived'][doc_id % 3 + 1] AS retention_status FROM catalog)"
+
+
+@query(
+    f"""{SQL_RETAINED}, s AS (SELECT source || lang AS k, count(*) AS n, count(*) FILTER (retention_status = 'active') AS a FROM r WHERE document_kind = 'annual_notice' GROUP BY ALL)
+SELECT count(*) AS annual_series, count(*) FILTER (n > 1) AS duplicate_series, count(*) FILTER (a > 1) AS duplicate_active_series FROM s"""
+)
+def a10_series_counts(spark, sf):
+    docs = _retained(spark, sf).withColumn("temporal_class", rules.temporal_class(F.col("document_kind"))).withColumn("series_key", F.concat("source", "lang"))
+    return evaluation.series_counts(docs)
+
+
+@query(
+    f"""{SQL_RETAINED}, c AS (SELECT doc_id, CASE WHEN document_kind IN ('policy','procedure','annual_notice','form','manual','service_guide') AND retention_status = 'historical' THEN 'historical' WHEN retention_status <> 'active' THEN NULL
+  WHEN document_kind IN ('policy','procedure','faq','annual_notice','form','manual','service_guide') THEN 'main_qa' WHEN document_kind = 'public_list' THEN 'public_list' END AS wanted FROM r),
+d AS (SELECT doc_id, wanted, CASE WHEN doc_id % 10 = 0 THEN 'main_qa' ELSE wanted END AS collection, unnest(range(0, doc_id % 4 + 1)) AS k FROM c)
+SELECT collection, count(*) AS chunk_count, count(DISTINCT doc_id) AS document_count, count(DISTINCT CASE WHEN collection IS DISTINCT FROM wanted THEN doc_id END) AS invalid_documents FROM d WHERE collection IS NOT NULL GROUP BY collection"""
+)
+def a06_collection_stats(spark, sf):
+    wanted = rules.collection_of(F.col("document_kind"), F.col("retention_status"))
+    chunks = _retained(spark, sf).withColumn("wanted", wanted).withColumn("collection", F.when(F.col("doc_id") % 10 == 0, "main_qa").otherwise(F.col("wanted")))
+    chunks = chunks.where("collection is not null").select("doc_id", "wanted", "collection", F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 4)).alias("k"))
+    return evaluation.collection_stats(chunks, F.col("wanted"))
+
+
+@query(
+    f"""WITH {SQL_CATALOG}, e AS (SELECT doc_id * 7 % 400 AS question_id, doc_id FROM catalog WHERE doc_id % 3 = 0), h AS (SELECT doc_id * 7 % 400 + doc_id % 2 * 7 AS question_id, doc_id, parent_doc_id FROM catalog WHERE doc_id % 5 > 1)
+SELECT e.question_id, coalesce(bool_or(h.doc_id IS NOT NULL), false) AS hit FROM e LEFT JOIN h ON e.question_id = h.question_id AND (e.doc_id = h.doc_id OR e.doc_id = h.parent_doc_id) GROUP BY e.question_id"""
+)
+def j10_family_hits(spark, sf):
+    docs, i = views.catalog(spark, sf), F.col("doc_id")
+    expected = docs.where("doc_id % 3 = 0").select((i * 7 % 400).alias("question_id"), "doc_id")
+    hits = docs.where("doc_id % 5 > 1").select((i * 7 % 400 + i % 2 * 7).alias("question_id"), "doc_id", "parent_doc_id")
+    return evaluation.family_hits(hits, expected)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'left' ELSE 'right' END AS side FROM documents WHERE (doc_id % 3 <> 0) <> (doc_id % 4 <> 0)")
+def j18_unmatched_keys(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    return catalog.unmatched_keys(docs.where("doc_id % 3 != 0"), docs.where("doc_id % 4 != 0"))

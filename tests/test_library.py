@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.functions import rules, text
+from folioforge.functions import cascades, rules, text
 from folioforge.operators import catalog, chunking, evaluation, links, retrieval, versions
 from folioforge.plans import registry
 from folioforge.sources import tables
@@ -121,3 +121,78 @@ def test_stream_of_counts(spark):
     q = state.windowed_counts(events).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_document_kinds_in_rule_order(spark):
+    rows = [
+        ("2024 年国家奖学金评审通知", "", "accepted", False, "annual_notice"),
+        ("学生管理办法", "第一条 为了", "accepted", False, "policy"),
+        ("2024 年拟录取名单公示", "", "accepted", False, "public_list"),
+        ("关于印发《学生活动管理办法》的通知", "", "accepted", False, "policy"),
+        ("新闻与传播硕士 2027 年推免通知", "", "accepted", False, "annual_notice"),
+        ("学校新闻", "", "accepted", False, "news"),
+        ("开放日", "", "accepted", False, "promotion"),
+        ("甲", "下载申请表", "accepted", False, "form"),
+        ("甲", "下载申请表" + "字" * 300, "accepted", False, "incomplete"),
+        ("甲", "乙", "accepted", True, "manual"),
+        ("学生管理办法", "", "rejected", True, "incomplete"),
+        (None, None, None, None, "incomplete"),
+    ]
+    got = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, t string, b string, s string, a boolean")
+    got = got.select("i", cascades.document_kind(*map(F.col, "tbsa")).alias("k")).orderBy("i").collect()
+    assert [r.k for r in got] == [r[4] for r in rows]
+
+
+def test_admission_levels_topics_and_facts(spark):
+    rows = [
+        ("奖学金办法", "招生", "", "其他"),
+        ("课程培训班招生简章", "", "non_degree_program", "非学历项目"),
+        ("课程培训班招生简章", "授予硕士学位", "other_admission", "其他招生"),
+        ("接收推免生", "", "recommendation_admission", "推免/预推免"),
+        ("夏令营报名", "选拔", "recommendation_admission", "推免/预推免"),
+        ("硕士复试", "", "reexamination", "复试/调剂"),
+        ("博士招生", "", "doctoral_admission", "博士招生"),
+        ("博士招生", "MBA", "master_admission", "硕士招生"),
+        ("报名", "高考", "undergraduate_admission", "本科招生"),
+        ("转专业", "", "", "转专业"),
+        ("甲", "暑校", "", "国际项目"),
+        (None, None, "", "其他"),
+    ]
+    level = cascades.admission_level(F.col("t"), F.col("b"))
+    got = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, t string, b string")
+    got = got.select("i", level.alias("level"), cascades.topic(F.col("t"), F.col("b"), level).alias("topic")).orderBy("i").collect()
+    assert [(r.level, r.topic) for r in got] == [r[2:] for r in rows]
+    assert one(spark, cascades.fact_signals(F.col("t")), t="3 月 5 日 报名") == ["action", "date"]
+    assert not one(spark, cascades.has_facts(F.col("t")), t="加油")
+    assert one(spark, cascades.date_gate(F.col("d"), F.lit(False)), d="2023-12-31").asDict() == {"open": False, "reason": "too_old"}
+    urls = {"https://W.example/s/a": True, "http://w.example/s?b=1": True, "ftp://w.example/s": False, "https://w.example/x/s": False, "": False}
+    assert {u: one(spark, cascades.article_url(F.col("u"), "w.example"), u=u) for u in urls} == urls
+    said = {"资料未提及。好": True, "好。资料未提及": False, "好\n \n资料未提及": False, "资料齐全": False}
+    assert {a: one(spark, cascades.evidence_refusal(F.col("a")), a=a) for a in said} == said
+    assert one(spark, cascades.trim_lines(F.col("a")), a="a \t\nb  ") == "a\nb"
+
+
+def test_grounding_and_points(spark):
+    schema = "s string, h array<struct<doc_id: string, similarity: double, document_kind: string, publish_date: string>>, m array<string>"
+    rows = [
+        ("answerable", [("a", None, "faq", None), ("b", 0.8, "procedure", "2020"), ("b", 0.7, "procedure", "2020"), ("c", 0.6, "annual_notice", "2024-01-01"), ("d", 0.6, "faq", None)], []),
+        ("answerable", [("a", 0.52, "faq", "")], []),
+        ("answerable", [("a", 0.9, "news", "2026-01-01"), ("b", 0.8, "annual_notice", "2019-01-01")], []),
+        ("not_answerable", None, ["why"]),
+        ("answerable", None, None),
+    ]
+    got = [r.g for r in spark.createDataFrame(rows, schema).select(cascades.grounding(F.col("s"), F.col("h"), F.col("m"), 2026).alias("g")).collect()]
+    assert [(g.status, g.doc_ids) for g in got] == [("grounded", ["b", "c"])] + [("needs_docs", [])] * 4
+    assert [g.reason for g in got[1:4]] == ["top 相似度 0.52 低于固化线 0.55", "命中文档类型不足以作为依据（annual_notice、news）", "why"]
+    point = cascades.point_supported(F.col("b"), F.col("p"))
+    assert one(spark, point, b="请带身份证明", p="申请材料") and one(spark, point, b="甲 (乙)", p="(乙)")
+    assert not one(spark, point, b="甲", p="办理材料")
+
+
+def test_collection_stats_and_families(spark):
+    chunks = spark.createDataFrame([(1, "main", "main"), (1, "main", "main"), (2, "main", None), (3, "list", "list")], "doc_id long, collection string, wanted string")
+    assert sorted(map(tuple, evaluation.collection_stats(chunks, F.col("wanted")).collect())) == [("list", 1, 1, 0), ("main", 3, 2, 1)]
+    assert [tuple(r) for r in evaluation.invalid_chunks(chunks, F.col("wanted")).collect()] == [("main", 2)]
+    hits = spark.createDataFrame([("q", 5, 1), ("r", 6, None), ("t", 7, None)], "question_id string, doc_id long, parent_doc_id long")
+    expected = spark.createDataFrame([("q", 1), ("r", 1), ("s", 6)], "question_id string, doc_id long")
+    assert sorted(map(tuple, evaluation.family_hits(hits, expected).collect())) == [("q", True), ("r", False), ("s", False)]
