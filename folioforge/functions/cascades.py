@@ -294,3 +294,77 @@ def grounding(status: Column, hits: Column, missing: Column, year: int, least: f
         "",
     )
     return F.struct(F.when(reason == "", "grounded").otherwise("needs_docs").alias("status"), F.when(reason == "", ids).otherwise(F.slice(ids, 1, 0)).alias("doc_ids"), reason.alias("reason"))
+
+
+@dataclass(frozen=True)
+class RelevancePack:
+    """Words that keep or reject an article, by title and then by the preview of its body."""
+
+    exclude: tuple[str, ...]
+    soft: tuple[str, ...]
+    include: tuple[str, ...]
+    signal: tuple[str, ...]
+    news: tuple[str, ...]
+    party: tuple[str, ...]
+    noise: tuple[str, ...] = ("news", "event", "promotion")
+    party_label: str = "党建:"
+    preview: int = 600
+    markers: int = 2
+
+
+#: Words of relevance for Chinese articles.
+ZH_RELEVANCE = RelevancePack(
+    exclude=(
+        "喜报", "喜讯", "精彩回顾", "活动回顾", "风采", "讲座", "论坛", "党建", "主题党日", "校友", "人物专访", "专访", "学术活动", "学术讲座", "比赛", "获奖", "赛事", "精彩瞬间", "节日",
+        "教师招聘", "学院新闻", "晚会", "典礼", "剪影", "纪实", "打卡", "投票", "摄影", "征集令", "招募令", "军训", "运动会", "文艺", "演出", "展览", "参访", "研讨会", "成功举办", "圆满举办",
+        "顺利举行", "圆满落幕", "落幕", "收官", "一等奖", "二等奖", "国赛", "夺冠", "金奖", "论文入选", "论文发表", "成果速递", "顶会", "诚邀全球英才", "诚邀海内外英才", "英才加盟", "招聘公告",
+        "结项", "党课", "党支部", "党委",
+    ),
+    soft=("讲座", "论坛"),
+    include=(
+        "推免", "预推免", "推荐免试", "直博", "硕博连读", "优秀大学生", "夏令营", "申请考核", "博士招生", "硕士招生", "复试", "调剂", "招生简章", "招生", "报考", "报名", "申请", "实验班", "拔尖班",
+        "卓越班", "创新班", "转专业", "专业分流", "双学位", "辅修", "选拔", "国际项目", "联合培养", "指南", "办理", "流程", "办法", "细则", "通知", "常见问题", "faq", "FAQ", "选课", "奖学金",
+        "助学金", "新生", "报到", "须知", "安排", "公示",
+    ),
+    signal=("推免", "预推免", "夏令营", "招生", "报名", "申请", "复试", "调剂", "选拔", "转专业", "实验班", "报考", "录取", "简章", "通知"),
+    news=("召开", "举行", "出席", "致辞", "走访", "调研", "座谈", "合影", "开幕式", "闭幕式"),
+    party=("党支部", "党员", "党课", "党委", "主题党日", "八项规定", "廉洁", "红色记忆", "党纪", "入党"),
+)
+DEMO_RELEVANCE = RelevancePack(exclude=("###", "keit", "$$"), soft=("keit",), include=("tion", "eau"), signal=("ung",), news=("heit", "ung", "ment"), party=("ción", "dad", "ento"))
+
+
+def _found(c: Column, words: tuple[str, ...]) -> Column:
+    return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+
+
+def relevance(title: Column, body: Column, p: RelevancePack = ZH_RELEVANCE, kinds: KindPack = ZH_KINDS) -> Column:
+    """``keep, reason, matched`` of an article. An empty body is judged by its title alone."""
+    title, body = strip(_text(title)), _text(body)
+    preview = F.substring(body, 1, p.preview)
+    excluded, included = (F.coalesce(F.get(_found(title, words), 0), F.lit("")) for words in (p.exclude, p.include))
+    plain, read = included == "", body != ""
+    news, party = _found(preview, p.news), _found(preview, p.party)
+    kind = document_kind(title, preview, F.lit("accepted"), F.lit(False), kinds)
+    listed = lambda words: F.array_join(F.array_sort(words), "+")
+    made = lambda reason, matched: F.struct(F.lit(reason in ("strong_include", "neutral_pass")).alias("keep"), F.lit(reason).alias("reason"), matched.alias("matched"))
+    return cascade(
+        [
+            ((excluded != "") & (~excluded.isin(*p.soft) | (plain & ~any_of(title, p.signal))), made("strong_exclude", excluded)),
+            (read & plain & kind.isin(*p.noise), made("news_noise", kind)),
+            (read & plain & (F.size(news) >= p.markers), made("news_noise", listed(news))),
+            (read & plain & (F.size(party) >= p.markers), made("news_noise", F.concat(F.lit(p.party_label), listed(party)))),
+            (read & ~has_facts(body), made("no_facts", F.array_join(fact_signals(body), ","))),
+            (~plain, made("strong_include", included)),
+        ],
+        made("neutral_pass", F.lit("")),
+    )
+
+
+#: Titles that explain a policy, and titles that name one.
+EXPLAINS, NAMES_POLICY = "一图读懂|图解|解读|释义|问答|热点问答", "《[^》]*(?:办法|规定|细则|条例|章程)[^》]*》"
+
+
+def account_kind(title: Column, body: Column, explains: str = EXPLAINS, names: str = NAMES_POLICY, p: KindPack = ZH_KINDS) -> Column:
+    """The kind of an account's article: what explains a policy is a procedure, all else by ``document_kind``."""
+    title = strip(_text(title))
+    return F.when(title.rlike(explains) & ~title.rlike(names), "procedure").otherwise(document_kind(title, body, F.lit("accepted"), F.lit(False), p))

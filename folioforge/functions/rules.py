@@ -17,7 +17,7 @@ def any_of(c: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def cascade(rules: list[tuple[Column, str]], default: str | None) -> Column:
+def cascade(rules: list[tuple[Column, str | Column]], default: str | bool | Column | None) -> Column:
     """The value of the first rule that holds. A null condition does not hold."""
     out = F.lit(default) if not rules else None
     for condition, value in rules:

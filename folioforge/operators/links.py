@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import collapse
+from folioforge.functions.text import collapse, strip
+from folioforge.operators.retrieval import small
 
 ANCHOR = r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 
@@ -55,3 +56,14 @@ def drop_repeated_lines(rows: DataFrame, text: str = "text") -> DataFrame:
     lines = F.split(text, "\n")
     kept = F.filter(lines, lambda x, i: (i == 0) | (x != F.element_at(lines, F.greatest(i, F.lit(1)))))
     return rows.withColumn(text, F.array_join(kept, "\n"))
+
+
+def match_accounts(articles: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Articles with the ``account_id`` whose name or alias equals their stripped ``account``; null without one.
+
+    ``accounts`` has account_id, account_name, aliases, enabled and position; of several, the first in position counts.
+    """
+    named = F.explode(F.concat(F.array("account_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_name")
+    known = accounts.where("coalesce(enabled, true)").select(named, "account_id", "position").where("_name != ''")
+    known = known.groupBy("_name").agg(F.min_by("account_id", "position").alias("account_id"))
+    return articles.join(small(known, 10_000), strip(F.col("account")) == F.col("_name"), "left").drop("_name")

@@ -622,3 +622,46 @@ def j10_family_hits(spark, sf):
 def j18_unmatched_keys(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
     return catalog.unmatched_keys(docs.where("doc_id % 3 != 0"), docs.where("doc_id % 4 != 0"))
+
+
+def _sql_kind_of(prefix: str, more: str) -> str:
+    """The SQL of p12 over other rows ``m``, as a table ``kinds``, and what selects from it."""
+    return f"{prefix}, kinds AS ({_SQL['p12_document_kind'].removeprefix(SQL_MARKED)}) {more}"
+
+
+SQL_PLAIN = f"WITH {SQL_CATALOG}, a AS (SELECT doc_id, regexp_replace(title, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS title, text, 'accepted' AS quality_status, false AS has_attachment FROM catalog)"
+
+
+@query(
+    _sql_kind_of(
+        f"{SQL_PLAIN}, m AS (SELECT * REPLACE (text[1:600] AS text) FROM a), facts AS ({_SQL['p17_fact_signals'].replace('WITH f AS', 'WITH ff AS').replace('FROM f', 'FROM ff')})",
+        """, w AS (SELECT m.*, kind, facts, enough, CASE WHEN contains(title, '###') THEN '###' WHEN contains(title, 'keit') THEN 'keit' WHEN contains(title, '$$') THEN '$$' ELSE '' END AS ex,
+  CASE WHEN contains(title, 'tion') THEN 'tion' WHEN contains(title, 'eau') THEN 'eau' ELSE '' END AS inc,
+  list_filter(['heit', 'ment', 'ung'], lambda x: contains(text, x)) AS news, list_filter(['ción', 'dad', 'ento'], lambda x: contains(text, x)) AS party FROM m JOIN kinds USING (doc_id) JOIN facts USING (doc_id)),
+r AS (SELECT *, CASE WHEN ex <> '' AND (ex <> 'keit' OR (inc = '' AND NOT contains(title, 'ung'))) THEN 'strong_exclude'
+  WHEN text <> '' AND inc = '' AND (kind IN ('news', 'event', 'promotion') OR len(news) >= 2 OR len(party) >= 2) THEN 'news_noise' WHEN text <> '' AND NOT enough THEN 'no_facts' WHEN inc <> '' THEN 'strong_include' ELSE 'neutral_pass' END AS reason FROM w)
+SELECT doc_id, reason IN ('strong_include', 'neutral_pass') AS keep, reason, CASE reason WHEN 'strong_exclude' THEN ex WHEN 'strong_include' THEN inc WHEN 'no_facts' THEN facts WHEN 'neutral_pass' THEN ''
+  ELSE CASE WHEN kind IN ('news', 'event', 'promotion') THEN kind WHEN len(news) >= 2 THEN array_to_string(news, '+') ELSE '党建:' || array_to_string(list_sort(party), '+') END END AS matched FROM r""",
+    )
+)
+def p16_relevance(spark, sf):
+    made = cascades.relevance(F.col("title"), F.col("text"), cascades.DEMO_RELEVANCE, cascades.DEMO_KINDS)
+    return views.catalog(spark, sf).select("doc_id", made.alias("r")).select("doc_id", "r.keep", "r.reason", "r.matched")
+
+
+@query(_sql_kind_of(f"{SQL_PLAIN}, m AS (SELECT * FROM a)", "SELECT doc_id, CASE WHEN regexp_matches(title, 'ent|un') AND NOT regexp_matches(title, 'ti[a-z]') THEN 'procedure' ELSE kind END AS kind FROM kinds JOIN m USING (doc_id)"))
+def p20_account_kind(spark, sf):
+    kind = cascades.account_kind(F.col("title"), F.col("text"), "ent|un", "ti[a-z]", cascades.DEMO_KINDS)
+    return views.catalog(spark, sf).select("doc_id", kind.alias("kind"))
+
+
+@query(
+    """WITH n AS (SELECT 'src' || k AS name, 'acc' || k AS account_id, k AS position FROM range(12) t(k) WHERE k % 4 <> 3 UNION ALL SELECT 'src' || (k + 6), 'acc' || k, k FROM range(12) t(k) WHERE k % 4 <> 3),
+f AS (SELECT name, arg_min(account_id, position) AS account_id FROM n GROUP BY name) SELECT doc_id, account_id FROM documents LEFT JOIN f ON source = name"""
+)
+def j12_match_accounts(spark, sf):
+    k = F.col("id")
+    name = lambda x: F.concat(F.lit("src"), x.cast("string"))
+    accounts = spark.range(12).select(F.concat(F.lit("acc"), k.cast("string")).alias("account_id"), name(k).alias("account_name"), F.array(name(k + 6)).alias("aliases"), (k % 4 != 3).alias("enabled"), k.alias("position"))
+    articles = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(" "), "source").alias("account"))
+    return links.match_accounts(articles, accounts).select("doc_id", "account_id")

@@ -196,3 +196,22 @@ def test_collection_stats_and_families(spark):
     hits = spark.createDataFrame([("q", 5, 1), ("r", 6, None), ("t", 7, None)], "question_id string, doc_id long, parent_doc_id long")
     expected = spark.createDataFrame([("q", 1), ("r", 1), ("s", 6)], "question_id string, doc_id long")
     assert sorted(map(tuple, evaluation.family_hits(hits, expected).collect())) == [("q", True), ("r", False), ("s", False)]
+
+
+def test_relevance_and_account_kinds(spark):
+    facts = "2024 年 3 月 报名 材料"
+    rows = [
+        ("转专业学生风采展示", facts, (False, "strong_exclude", "风采")),
+        ("学术论坛", "", (False, "strong_exclude", "论坛")),
+        ("推免政策讲座通知", facts, (True, "strong_include", "推免")),
+        ("招生简章", "加油", (False, "no_facts", "")),
+        ("校园一日", "领导出席并致辞 " + facts, (False, "news_noise", "出席+致辞")),
+        ("追寻", "党员与党纪 " + facts, (False, "news_noise", "党建:党员+党纪")),
+        ("开放日", facts, (False, "news_noise", "promotion")),
+        ("校园一日", facts, (True, "neutral_pass", "")),
+        ("校园一日", None, (True, "neutral_pass", "")),
+    ]
+    got = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(rows)], "i int, t string, b string").select("i", cascades.relevance(F.col("t"), F.col("b")).alias("r")).orderBy("i").collect()
+    assert [tuple(r.r) for r in got] == [r[2] for r in rows]
+    kinds = {"一图读懂转专业": "procedure", "解读《学生管理办法》": "policy"}
+    assert {t: one(spark, cascades.account_kind(F.col("t"), F.lit("")), t=t) for t in kinds} == kinds
