@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.rules import ENDURING_KINDS, temporal_class
-from folioforge.functions.text import host, iso_date, school_year, strip
+from folioforge.functions.rules import ENDURING_KINDS, collection_of, temporal_class
+from folioforge.functions.text import document_key, host, iso_date, school_year, strip
 
 
 def fold(log: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:
@@ -148,3 +148,54 @@ def unmatched_keys(left: DataFrame, right: DataFrame, key: str = "doc_id") -> Da
     marked = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
     sides = marked.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l != r")
     return sides.select(key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side"))
+
+
+def retained_by_parent(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """``docs`` where archived attachments of a sound kind take over the lifecycle of their best parent.
+
+    Active parents lead historical ones, then the later date and the larger doc_id count. ``edges`` has
+    parent_doc_id and child_doc_id. Only attachments that change are joined back.
+    """
+    order = lambda status: F.when(status == "active", 2).when(status == "historical", 1).otherwise(0)
+    parent = docs.select(
+        F.col("doc_id").alias("parent_doc_id"),
+        F.struct(order(F.col("retention_status")).alias("o"), "publish_date", "doc_id", F.col("retention_status").alias("status"), F.col("series_key").alias("series"), F.coalesce("canonical_doc_id", "doc_id").alias("canonical")).alias("p"),
+    )
+    best = edges.select("parent_doc_id", "child_doc_id").join(parent, "parent_doc_id").groupBy(F.col("child_doc_id").alias("doc_id")).agg(F.max("p").alias("p"))
+    joined = docs.join(best, "doc_id", "left")
+    fits = (F.col("document_type") == "attachment") & (F.col("document_kind") != "incomplete") & (F.col("quality_status") == "accepted") & (F.col("retention_status") == "archived")
+    moves = F.coalesce(fits & (F.col("p.o") > 0) & collection_of(F.col("document_kind"), F.col("p.status")).isNotNull(), F.lit(False))
+    new = {"series_key": F.col("p.series"), "retention_status": F.col("p.status"), "retention_reason": F.lit("retained_by_parent_relation"), "canonical_doc_id": F.col("p.canonical")}
+    return joined.select(*(F.when(moves, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in docs.columns))
+
+
+def explains(articles: DataFrame, docs: DataFrame, official: tuple[str, ...]) -> DataFrame:
+    """Relations of articles to the official document that they explain: ``parent, child, evidence, confidence``.
+
+    A named URL decides; without one, a topic with exactly one active official policy does. ``articles`` has
+    doc_id and related_url, ``docs`` the catalog with topic_key; keys are text.
+    """
+    named = F.coalesce(strip(F.col("related_url")), F.lit("")) != ""
+    by_url = articles.where(named).select(document_key(strip(F.col("related_url"))).alias("parent"), F.col("doc_id").alias("child"), F.lit("seed related_official_url").alias("evidence"), F.lit(1.0).alias("confidence"))
+    policy = docs.where(F.col("source_type").isin(*official) & (F.col("document_kind") == "policy") & (F.col("quality_status") == "accepted") & (F.col("retention_status") == "active"))
+    policy = policy.where("topic_key != '' and topic_key != 'unknown.topic'").groupBy("topic_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("parent")).where("n = 1")
+    topics = articles.where(~named).select("doc_id").join(docs.select("doc_id", "topic_key"), "doc_id").join(policy, "topic_key").where("parent != doc_id")
+    return by_url.union(topics.select("parent", F.col("doc_id").alias("child"), F.concat(F.lit("topic_key 唯一匹配: "), "topic_key").alias("evidence"), F.lit(0.7).alias("confidence")))
+
+
+def allow_list_changes(allowed: DataFrame, found: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """``key, change``: allowed entries that were not found are ``missing``, stored ones no longer allowed ``revoked``."""
+    gone = lambda a, b, change: a.select(key).distinct().join(b.select(key), key, "left_anti").withColumn("change", F.lit(change))
+    return gone(allowed, found, "missing").union(gone(stored, allowed, "revoked"))
+
+
+def index_canonical(docs: DataFrame, by: str) -> DataFrame:
+    """The document that stands for each group of two or more: current first, then date, length, attachments, doc_id."""
+    order = F.struct((F.col("validity_status") == "current").alias("c"), "publish_date", F.length("text").alias("l"), F.col("is_attachment"), "doc_id")
+    return docs.groupBy(by).agg(F.count("*").alias("n"), F.max(order)["doc_id"].alias("canonical_doc_id")).where("n > 1")
+
+
+def published(evidence: DataFrame, sure: float = 0.9) -> DataFrame:
+    """The date of each document by priority and position, and whether sure pieces of evidence disagree."""
+    told = F.when(F.col("confidence") >= sure, F.col("date"))
+    return evidence.groupBy("doc_id").agg(F.min_by("date", F.struct("priority", "pos")).alias("date"), F.coalesce(F.min(told) != F.max(told), F.lit(False)).alias("conflict"))

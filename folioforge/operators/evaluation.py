@@ -117,3 +117,10 @@ def family_hits(hits: DataFrame, expected: DataFrame) -> DataFrame:
     named = hits.select("question_id", "doc_id").union(hits.where("parent_doc_id is not null").select("question_id", "parent_doc_id"))
     found = expected.join(named, ["question_id", "doc_id"], "left_semi").select("question_id", F.lit(True).alias("hit"))
     return found.union(expected.select("question_id", F.lit(False))).groupBy("question_id").agg(F.max("hit").alias("hit"))
+
+
+def first_documents(hits: DataFrame, keep: int = 3) -> DataFrame:
+    """The first distinct documents of each question in rank order: ``question_id, doc_id, place``."""
+    first = hits.groupBy("question_id", "doc_id").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("rank", "doc_id")).cast("long")
+    return first.withColumn("place", place).where(F.col("place") <= keep).select("question_id", "doc_id", "place")

@@ -665,3 +665,66 @@ def j12_match_accounts(spark, sf):
     accounts = spark.range(12).select(F.concat(F.lit("acc"), k.cast("string")).alias("account_id"), name(k).alias("account_name"), F.array(name(k + 6)).alias("aliases"), (k % 4 != 3).alias("enabled"), k.alias("position"))
     articles = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(" "), "source").alias("account"))
     return links.match_accounts(articles, accounts).select("doc_id", "account_id")
+
+
+@query(
+    f"""{SQL_RETAINED}, d AS (SELECT *, CASE WHEN doc_id % 5 = 3 THEN 'attachment' ELSE 'article' END AS document_type FROM r),
+e AS (SELECT doc_id AS child, doc_id - 1 AS parent FROM d WHERE doc_id % 5 = 3 UNION ALL SELECT doc_id, doc_id - 2 FROM d WHERE doc_id % 5 = 3),
+b AS (SELECT child, arg_max({{'id': p.doc_id, 'status': p.retention_status, 'series': p.source}}, row(CASE p.retention_status WHEN 'active' THEN 2 WHEN 'historical' THEN 1 ELSE 0 END, p.publish_date, p.doc_id)) AS p FROM e JOIN d p ON e.parent = p.doc_id GROUP BY child),
+m AS (SELECT d.*, p, coalesce(document_type = 'attachment' AND document_kind <> 'incomplete' AND retention_status = 'archived' AND p.status <> 'archived' AND (document_kind IN ('policy','procedure','annual_notice','form','manual','service_guide')
+  OR (p.status = 'active' AND document_kind IN ('faq', 'public_list'))), false) AS moves FROM d LEFT JOIN b ON d.doc_id = b.child)
+SELECT doc_id, CASE WHEN moves THEN p.status ELSE retention_status END AS retention_status, CASE WHEN moves THEN p.series ELSE source END AS series_key, CASE WHEN moves THEN p.id END AS canonical_doc_id,
+  CASE WHEN moves THEN 'retained_by_parent_relation' ELSE 'own' END AS retention_reason FROM m"""
+)
+def j15_retained_by_parent(spark, sf):
+    i, none = F.col("doc_id"), F.lit(None).cast("long")
+    docs = _retained(spark, sf).select("doc_id", "document_kind", "publish_date", "retention_status", F.lit("accepted").alias("quality_status"), F.when(i % 5 == 3, "attachment").otherwise("article").alias("document_type"), F.col("source").alias("series_key"), none.alias("canonical_doc_id"), F.lit("own").alias("retention_reason"))
+    edges = docs.where("doc_id % 5 = 3").select(F.explode(F.array(i - 1, i - 2)).alias("parent_doc_id"), i.alias("child_doc_id"))
+    return catalog.retained_by_parent(docs, edges).select("doc_id", "retention_status", "series_key", "canonical_doc_id", "retention_reason")
+
+
+@query(
+    f"""{SQL_RETAINED}, t AS (SELECT doc_id::VARCHAR AS doc_id, 'topic' || (doc_id % 97) AS topic_key, document_kind, retention_status, doc_id AS i FROM r), u AS (SELECT topic_key, min(doc_id) AS parent FROM t WHERE document_kind = 'policy' AND retention_status = 'active' GROUP BY topic_key HAVING count(*) = 1)
+SELECT left(sha256('https://a.example/' || i), 12) AS parent, doc_id AS child, 'seed related_official_url' AS evidence, 1.0::DOUBLE AS confidence FROM t WHERE i % 4 = 0
+UNION ALL SELECT parent, doc_id, 'topic_key 唯一匹配: ' || topic_key, 0.7::DOUBLE FROM t JOIN u USING (topic_key) WHERE i % 4 = 1 AND parent <> doc_id"""
+)
+def j13_explains(spark, sf):
+    i = F.col("doc_id")
+    docs = _retained(spark, sf).select(i.alias("i"), i.cast("string").alias("doc_id"), F.concat(F.lit("topic"), (i % 97).cast("string")).alias("topic_key"), "document_kind", "retention_status", F.lit("accepted").alias("quality_status"), F.lit("site").alias("source_type"))
+    articles = docs.where("i % 4 < 2").select("doc_id", F.when(F.col("i") % 4 == 0, F.concat(F.lit("https://a.example/"), F.col("i").cast("string"))).alias("related_url"))
+    return catalog.explains(articles, docs, ("site",))
+
+
+@query("SELECT doc_id, 'missing' AS change FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 = 0 UNION ALL SELECT doc_id, 'revoked' FROM documents WHERE doc_id % 5 = 0 AND doc_id % 3 = 0")
+def o04_allow_list_changes(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    return catalog.allow_list_changes(docs.where("doc_id % 3 != 0"), docs.where("doc_id % 4 != 0"), docs.where("doc_id % 5 = 0"), "doc_id")
+
+
+@query(
+    f"""WITH {SQL_CATALOG} SELECT source, count(*) AS n, arg_max(doc_id, row(doc_id % 3 = 0, publish_date, length(text), has_attachment, doc_id)) AS canonical_doc_id FROM catalog GROUP BY source HAVING count(*) > 1"""
+)
+def w03_index_canonical(spark, sf):
+    docs = views.catalog(spark, sf).withColumn("validity_status", F.when(F.col("doc_id") % 3 == 0, "current").otherwise("unknown")).withColumnRenamed("has_attachment", "is_attachment")
+    return catalog.index_canonical(docs, "source")
+
+
+@query(
+    f"""WITH {SQL_CATALOG}, e AS (SELECT doc_id // 4 AS doc_id, doc_id % 3 AS priority, doc_id AS pos, publish_date AS date, CASE WHEN doc_id % 2 = 0 THEN 0.95 ELSE 0.5 END AS confidence FROM catalog)
+SELECT doc_id, arg_min(date, row(priority, pos)) AS date, count(DISTINCT date) FILTER (confidence >= 0.9) > 1 AS conflict FROM e GROUP BY doc_id"""
+)
+def t08_published(spark, sf):
+    """T-08, X-41."""
+    i = F.col("doc_id")
+    evidence = views.catalog(spark, sf).select(F.floor(i / 4).alias("doc_id"), (i % 3).alias("priority"), i.alias("pos"), F.col("publish_date").alias("date"), F.when(i % 2 == 0, 0.95).otherwise(0.5).alias("confidence"))
+    return catalog.published(evidence)
+
+
+@query(
+    """WITH h AS (SELECT doc_id % 40 AS question_id, doc_id // 3 AS doc_id, min(doc_id * 7919 % 1009 * 100000 + doc_id) AS rank FROM documents GROUP BY ALL)
+SELECT question_id, doc_id, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS place FROM h QUALIFY place <= 3"""
+)
+def w07_first_documents(spark, sf):
+    i = F.col("doc_id")
+    hits = table(spark, sf, "documents").select((i % 40).alias("question_id"), F.floor(i / 3).alias("doc_id"), (i * 7919 % 1009 * 100000 + i).alias("rank"))
+    return evaluation.first_documents(hits)

@@ -215,3 +215,26 @@ def test_relevance_and_account_kinds(spark):
     assert [tuple(r.r) for r in got] == [r[2] for r in rows]
     kinds = {"一图读懂转专业": "procedure", "解读《学生管理办法》": "policy"}
     assert {t: one(spark, cascades.account_kind(F.col("t"), F.lit("")), t=t) for t in kinds} == kinds
+
+
+def test_attachments_follow_their_best_parent(spark):
+    schema = "doc_id long, document_type string, document_kind string, quality_status string, publish_date string, retention_status string, retention_reason string, series_key string, canonical_doc_id long"
+    docs = spark.createDataFrame(
+        [
+            (1, "article", "policy", "accepted", "2020-01-01", "historical", "x", "s1", None),
+            (2, "article", "policy", "accepted", "2019-01-01", "active", "x", "s2", 9),
+            (3, "attachment", "form", "accepted", "unknown", "archived", "x", "s3", None),
+            (4, "attachment", "news", "accepted", "unknown", "archived", "x", "s4", None),
+            (5, "attachment", "form", "low_quality", "unknown", "archived", "x", "s5", None),
+        ],
+        schema,
+    )
+    edges = spark.createDataFrame([(1, 3), (2, 3), (2, 4), (2, 5), (77, 3)], "parent_doc_id long, child_doc_id long")
+    got = {r.doc_id: (r.retention_status, r.series_key, r.canonical_doc_id) for r in catalog.retained_by_parent(docs, edges).collect()}
+    assert got == {1: ("historical", "s1", None), 2: ("active", "s2", 9), 3: ("active", "s2", 9), 4: ("archived", "s4", None), 5: ("archived", "s5", None)}
+
+
+def test_published_prefers_priority_and_sees_conflicts(spark):
+    rows = [(1, 2, 0, "2020-01-01", 0.95), (1, 0, 1, "2021-01-01", 0.95), (2, 0, 1, "2020-01-01", 0.95), (2, 0, 0, "2022-01-01", 0.5)]
+    got = catalog.published(spark.createDataFrame(rows, "doc_id long, priority int, pos int, date string, confidence double")).collect()
+    assert sorted(map(tuple, got)) == [(1, "2021-01-01", True), (2, "2022-01-01", False)]
