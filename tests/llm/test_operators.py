@@ -149,6 +149,22 @@ def test_packs_of_languages_give_the_same_scores(docs, monkeypatch):
     assert {(r.doc_id, r.log_ppl) for r in perplexity.score_documents(docs).collect()} == want
 
 
+def test_bands_hold_for_copies_near_copies_and_small_languages(spark):
+    rnd = random.Random(8)
+    vocabulary = ["".join(rnd.choice("bdklmnrst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    clean = lambda: " ".join(rnd.choice(vocabulary) for _ in range(120))
+    soup = lambda: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0A#~;.,!") for _ in range(6)) for _ in range(60))
+    base = clean().split()
+    near = lambda k: " ".join([*base, *(["x"] * 3), f"end{k}"])
+    texts = {"copies": [clean() for _ in range(60)] + [" ".join(base)] * 120, "near": [clean() for _ in range(60)] + [near(k) for k in range(120)], "small": [clean() for _ in range(15)]}
+    rows = [(x, t, False) for x, ts in texts.items() for t in ts] + [(x, soup(), True) for x in texts]
+    df = spark.createDataFrame([(i, t, x) for i, (x, t, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in perplexity.quality_rules(df).collect()}
+    assert all(not out[i].kept and not out[i].base_failed for i, r in enumerate(rows) if r[2])
+    for x in texts:
+        assert np.mean([out[i].kept for i, r in enumerate(rows) if r[0] == x and not r[2]]) > 0.9, x
+
+
 def labelled(spark):
     rnd = random.Random(2)
     good = [(i, words(rnd, rnd.randint(30, 200)), 1) for i in range(120)]
