@@ -149,6 +149,13 @@ def test_packs_of_languages_give_the_same_scores(docs, monkeypatch):
     assert {(r.doc_id, r.log_ppl) for r in perplexity.score_documents(docs).collect()} == want
 
 
+def test_bands_reject_most_bad_documents_and_keep_good_ones(spark):
+    sf = "/root/testdata/sf0.1"
+    out = perplexity.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    assert out[out.quality == 0].kept.mean() < 0.25 and out[out.quality == 1].kept.mean() > 0.95
+    assert (out.high > out.low).all()
+
+
 def test_bands_hold_for_copies_near_copies_and_small_languages(spark):
     rnd = random.Random(8)
     vocabulary = ["".join(rnd.choice("bdklmnrst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(60)]
