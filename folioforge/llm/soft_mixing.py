@@ -10,6 +10,7 @@ one aggregation over a narrow numeric table; only sums over all documents come t
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -81,11 +82,14 @@ def posteriors(table: DataFrame, labels: DataFrame, domains: list[str]) -> list[
     return [w / sum(weights[1:], weights[0]) for w in weights]
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epochs: float = 1.0, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epochs: float | None = None, seed: int = 17) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, p_<domain>..., rate, copies``.
 
-    ``weights`` are the wanted shares of tokens. The total is what makes the domain of the largest weight keep rate
-    1; no target asks for more than ``max_epochs`` times the tokens that a domain is expected to hold. ``copies``
+    ``weights`` are the wanted shares of tokens, and are fitted as given. The total is what makes the domain of the
+    largest weight keep its tokens, so rates of scarce domains exceed 1; with ``max_epochs`` it is the largest total for
+    which no domain needs more than so many times the tokens that it is expected to hold. A domain that no document
+    belongs to with a probability of half or more cannot be met: it is left out with a warning, and the others keep
+    their proportions. ``copies``
     rounds the rate up with a chance equal to its fraction, by a hash of doc_id and ``seed``.
 
     Null and empty texts have no tokens; they get a rate by their posterior and weigh nothing. A null doc_id is rounded
@@ -100,11 +104,18 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
     p = posteriors(table, known, domains)
     soft = cut(table.select("doc_id", "n_tokens", *(x.alias(f"p_{d}") for x, d in zip(p, domains, strict=True))), "posteriors")
     mass = [F.col("n_tokens") * F.col(f"p_{d}") for d in domains]
-    first = soft.agg(*(F.coalesce(F.sum(x), F.lit(0.0)).alias(d) for x, d in zip(mass, domains, strict=True))).first()
-    held = np.array([first[d] for d in domains])
+    likely = [F.sum(F.when(F.col(f"p_{d}") >= 0.5, F.col("n_tokens"))) for d in domains]
+    first = soft.agg(F.array(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in mass), *(F.coalesce(x, F.lit(0)).cast("double") for x in likely)).alias("x")).first()["x"]
+    held, sure = np.array(first[: len(domains)]), np.array(first[len(domains) :])
     share = np.array([weights[d] for d in domains]) / sum(weights.values())
-    lead = int(share.argmax())
-    target = np.minimum(held[lead] / share[lead] * share, held * max_epochs)
+    fit = np.flatnonzero((share == 0) | (sure > 0))
+    if len(fit) < len(domains) and held.sum():
+        logging.getLogger(__name__).warning("no documents for the wanted share of: %s", ", ".join(f"{d} {w:.4g}" for i, (d, w) in enumerate(zip(domains, share, strict=True)) if i not in fit))
+    target, asked = held.copy(), fit[share[fit] > 0]
+    if len(asked):
+        lead = asked[share[asked].argmax()]
+        total = held[lead] / share[lead] if max_epochs is None else (held[asked] / share[asked]).min() * max_epochs
+        target[fit] = total * share[fit]
     rate, scale = F.lit(1.0), max(float(held.sum()), 1.0)
     for _ in range(ROUNDS):
         live = F.when(rate > 0, 1.0).otherwise(0.0)
@@ -112,14 +123,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
         gram = [F.sum(mass[i] * F.col(f"p_{domains[j]}") * live) for i in range(len(domains)) for j in range(i, len(domains))]
         got = soft.agg(F.array(*(F.coalesce(x, F.lit(0.0)) for x in sums + gram)).alias("x")).first()["x"]
         gap = (np.array(got[: len(domains)]) - target) / scale
-        if np.abs(gap).max() < TOLERANCE:
+        if not len(fit) or np.abs(gap[fit]).max() < TOLERANCE:
             break
         g, at = np.zeros((len(domains),) * 2), len(domains)
         for i in range(len(domains)):
             for j in range(i, len(domains)):
                 g[i, j] = g[j, i] = got[at] / scale
                 at += 1
-        step = np.linalg.solve(g + 1e-9 * np.eye(len(domains)), gap)
+        step = np.zeros(len(domains))
+        step[fit] = np.linalg.solve(g[np.ix_(fit, fit)] + 1e-9 * np.eye(len(fit)), gap[fit])
         move = sum((F.col(f"p_{d}") * float(s) for d, s in zip(domains[1:], step[1:], strict=True)), F.col(f"p_{domains[0]}") * float(step[0]))
         rate = F.greatest(F.lit(0.0), rate - move)
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)

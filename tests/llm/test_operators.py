@@ -343,6 +343,23 @@ def test_mixing_meets_targets(spark, docs, none):
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
 
 
+def test_mixing_meets_the_weights_of_a_scarce_domain(spark):
+    rows = labelled(spark)
+    labels = rows.select("doc_id", F.when(F.col("label") == 1, "good").otherwise("bad").alias("domain"))
+    few = rows.where("label = 1 or doc_id % 10 = 0")
+    out = soft_mixing.mix(few, labels, {"good": 0.6, "bad": 0.4}).toPandas()
+    for by, slack in (("rate", 0.01), ("copies", 0.05)):
+        got = np.array([(out.n_tokens * out[f"p_{d}"] * out[by]).sum() for d in ("good", "bad")])
+        assert abs(got[0] / got.sum() - 0.6) < slack, by
+    assert out.copies.max() > 1
+    once = soft_mixing.mix(few, labels, {"good": 0.6, "bad": 0.4}, max_epochs=1.0).toPandas()
+    got = np.array([(once.n_tokens * once[f"p_{d}"] * once.rate).sum() for d in ("good", "bad")])
+    assert abs(got[0] / got.sum() - 0.6) < 0.01 and once.rate.max() < 1.1
+    absent = soft_mixing.mix(rows, labels, {"good": 0.7, "bad": 0.2, "none": 0.1}).toPandas()
+    got = np.array([(absent.n_tokens * absent[f"p_{d}"] * absent.rate).sum() for d in ("good", "bad")])
+    assert abs(got[0] / got.sum() - 7 / 9) < 0.01 and absent.copies.max() < 100
+
+
 def test_pipeline_stages_keep_columns_and_drop_what_they_should(spark, tmp_path):
     import corpus_pipeline
 
