@@ -41,10 +41,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says; with at most one epoch a domain, once or not at all."""
+    """Documents as often as their copies say, each copy a row. Of a doc_id's rows the least copies hold for all; null doc_ids stay once."""
     rates = soft_mixing.mix(docs, domains(table(spark, sf_dir, "labels")), WEIGHTS)
-    gone = rates.where("copies = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    other = rates.where("doc_id is not null").groupBy("doc_id").agg(F.min("copies").alias("copies")).where("copies <> 1")
+    times = F.coalesce("copies", F.lit(1)).cast("int")
+    return docs.join(other, "doc_id", "left").select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

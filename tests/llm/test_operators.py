@@ -360,6 +360,16 @@ def test_mixing_meets_the_weights_of_a_scarce_domain(spark):
     assert abs(got[0] / got.sum() - 7 / 9) < 0.01 and absent.copies.max() < 100
 
 
+def test_pipeline_emits_each_document_copies_times(spark, monkeypatch):
+    import corpus_pipeline
+
+    rates = spark.createDataFrame([(1, 0), (2, 1), (3, 3), (None, 0)], "doc_id long, copies long")
+    monkeypatch.setattr(soft_mixing, "mix", lambda *_: rates)
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 2) for i in (1, 2, 3, None)], "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.mixing(spark, docs, "/root/testdata/sf0.001").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["2", "3", "3", "3", "None"] and all(r.text == f"t{r.doc_id}" for r in got)
+
+
 def test_pipeline_stages_keep_columns_and_drop_what_they_should(spark, tmp_path):
     import corpus_pipeline
 
