@@ -3,11 +3,15 @@
 A gear rolling hash over the last 16 bytes decides, at every character start, whether a chunk may end;
 the cut then moves to the next word start if one is near. Cuts depend on nearby bytes alone, so
 an insertion changes the chunks around it and leaves all others. A chunk whose digest occurred earlier
-(in order of doc_id and position) is a repeat; runs of repeats of at least ``min_words`` words are removed.
+(in order of doc_id, text hash and position) is a repeat; runs of repeats of at least ``min_words`` words are removed.
 
 Passes over the texts: one counts 64-bit chunk hashes, which Spark adds up; hashes counted twice go into
-a bitmap of fixed size; the second pass gives 128-bit digests of chunks in the bitmap, so only these
-move; the third removes runs. The bitmap filters work only: digests decide.
+a bitmap of bounded size; the second pass gives 128-bit digests of chunks in the bitmap, so only these
+move; the third removes runs. The bitmap filters work only: digests decide. Beyond some tens of millions of
+repeated hashes the bitmap lets more chunks through, at most all: 16 bytes of digest and 20 of place for each.
+
+A row is known by its doc_id and the 64-bit hash of its text, so rows that share a doc_id are told apart.
+A digest that very many chunks share is joined where its rows lie and never gathered in one task.
 """
 
 from __future__ import annotations
@@ -19,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folioforge.llm import bloom
-from folioforge.llm.arrays import IS_CONT, IS_SPACE, SpanHasher, row_of, text_slices, words
+from folioforge.llm.arrays import IS_CONT, SpanHasher, row_of, text_slices, words
+from folioforge.llm.skew import split_join
 from folioforge.storage import cut
 
 #: A cut at one character start in 32 on average; chunks of 16 to 512 bytes away from text ends.
@@ -91,8 +97,8 @@ def _digests(wanted):
                 hit = np.flatnonzero(bloom.might_contain(wanted.value, SpanHasher(data).spans(begin, end).view(np.int64)))
                 raw = data.tobytes()
                 dig = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begin[hit].tolist(), end[hit].tolist(), strict=True)]
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(row[hit]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((hit - first[row[hit]]).astype(np.int32)), pa.array(dig, pa.binary())], names=["doc_id", "idx", "digest"])
+                ids = [batch.column(c).slice(lo, hi - lo).take(pa.array(row[hit])) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array((hit - first[row[hit]]).astype(np.int32)), pa.array(dig, pa.binary())], names=["doc_id", "key", "idx", "digest"])
 
     return run
 
@@ -112,7 +118,7 @@ def _remove(min_words: int):
                 for i, rep in enumerate(repeats.slice(lo, hi - lo).to_pylist()):
                     a, b = int(first[i]), int(first[i + 1])
                     at = np.array([r["idx"] for r in rep or []], np.int64)
-                    kept, spans, sources, pos = [], [], set(), int(off[i])
+                    kept, spans, sources, pos, gone = [], [], set(), int(off[i]), 0
                     if len(at):
                         edge = np.flatnonzero(np.diff(at) != 1) + 1
                         for run_ in np.split(np.arange(len(at)), edge):
@@ -121,6 +127,7 @@ def _remove(min_words: int):
                                 kept.append(raw[pos : begin[x]])
                                 spans.append((int(begin[x]), int(end[y - 1])))
                                 sources.update(rep[k]["first_doc"] for k in run_)
+                                gone += y - x
                                 pos = int(end[y - 1])
                     if spans:
                         kept.append(raw[pos : off[i + 1]])
@@ -129,12 +136,13 @@ def _remove(min_words: int):
                     text = b"".join(kept).decode("utf-8", "replace") if spans else raw[off[i] : off[i + 1]].decode("utf-8", "replace")
                     rows["text"].append(None if given_null[lo + i] else text)
                     rows["n_chunks"].append(b - a)
-                    rows["n_repeats"].append(len(at))
+                    rows["n_repeats"].append(gone)
                     rows["removed_chars"].append(sum(s["stop"] - s["start"] for s in spans))
                     rows["spans"].append(spans)
                     rows["first_doc_ids"].append(sorted(sources))
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True))], names=["doc_id", *rows])
+                given = [batch.column(c).slice(lo, hi - lo) for c in (0, 3)]
+                yield pa.RecordBatch.from_arrays([given[0], *(pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)), given[1]], names=["doc_id", *rows, "kept"])
 
     return run
 
@@ -142,22 +150,29 @@ def _remove(min_words: int):
 OUT = "doc_id long, text string, n_chunks long, n_repeats long, removed_chars long, spans array<struct<start: long, stop: long>>, first_doc_ids array<long>"
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
-    """One row per input row: its text without repeated passages, counts, removed character spans and the
-    doc_ids where removed chunks were first seen.
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bitmap_bits: int = BITMAP_BITS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: its text without repeated passages, counts of its chunks and of the removed ones, removed
+    character spans and the doc_ids where removed chunks were first seen; then the columns ``keep`` of the input as they are.
 
-    The earliest copy in order of (doc_id, position) stays, also within one document. Null texts stay null, empty ones
-    empty. Rows with a null doc_id stay unchanged and are no source. Rows that repeat a doc_id count as one
-    document. Whole copies of an earlier document become empty. Other columns are ignored.
+    The earliest copy in order of (doc_id, hash of the text, position) stays, also within one document. Null texts stay
+    null, empty ones empty. Rows with a null doc_id stay unchanged and are no source. Rows that share a doc_id are documents of their
+    own if their texts differ; rows equal in both are one document and get one answer. Whole copies of an earlier
+    document become empty. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    named = docs.where("doc_id is not null and length(text) > 0")
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"),
+        F.struct(F.lit(0).alias("none_"), *keep).alias("kept"),
+    )
+    named = docs.where("doc_id is not null and length(text) > 0").select("doc_id", "key", "text")
     counted = named.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     wanted = spark.sparkContext.broadcast(bloom.build(counted.where("n > 1"), "key", bitmap_bits))
-    seen = cut(named.mapInArrow(_digests(wanted), "doc_id long, idx int, digest binary"), "chunks")
-    place = F.struct("doc_id", "idx")
-    first = seen.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    repeats = seen.join(first, "digest").where(place != F.col("first")).select("doc_id", "idx", F.col("first.doc_id").alias("first_doc")).distinct()
-    repeats = repeats.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", "first_doc"))).alias("repeats"))
-    return docs.join(repeats, "doc_id", "left").select("doc_id", "text", "repeats").mapInArrow(_remove(min_words), OUT)
+    seen = cut(named.mapInArrow(_digests(wanted), "doc_id long, key long, idx int, digest binary"), "chunks")
+    place = F.struct("doc_id", "key", "idx")
+    first = cut(seen.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    repeats = split_join(seen, first, ["digest"], "n").where(place != F.col("first")).select("doc_id", "key", "idx", F.col("first.doc_id").alias("first_doc")).distinct()
+    repeats = repeats.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("idx", "first_doc"))).alias("repeats"))
+    both = docs.join(repeats, ["doc_id", "key"], "left").select("doc_id", "text", "repeats", "kept")
+    out = StructType([*StructType.fromDDL(OUT).fields, both.schema["kept"]])
+    done = both.mapInArrow(_remove(min_words), out)
+    return done.select(*StructType.fromDDL(OUT).names, *(F.col("kept")[c].alias(c) for c in keep))
