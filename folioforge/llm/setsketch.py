@@ -8,19 +8,23 @@ register maxima, so sketches merge; equal registers are likelier the more two se
 
 Order of work, so that no group of copies is ever expanded into all its pairs:
 
-1. documents with equal sets are one class, known by its smallest doc_id; only that one goes on;
-2. in every bucket all members meet the bucket's smallest member; a pair goes on unless the joint
+1. rows with equal sets are one class, a node of its own number; one row of the class, the first by doc_id
+   and text hash, stands for it;
+2. in every bucket all members meet the bucket's smallest node; a pair goes on unless the joint
    likelihood of its registers and set sizes speaks against the threshold; what is left is verified on
    full sets, which gives links and components;
-3. members that a bucket holds from different components meet in blocks of bounded size, where their
-   registers are compared; of a member's partners that pass, the ``BEST`` likeliest are verified first, which
-   joins most members of a large group to it;
-4. what still lies in different components meets once more, now together with the full sets, so that every
-   pair whose registers pass is verified where it is found and only links are returned;
-5. the components of all verified links are final.
+3. in a bucket that holds several components, the members outside its largest one meet all others in
+   blocks of bounded size, where their registers are compared; the largest component goes out once, a block a
+   task. Of a member's partners that pass, the ``BEST`` likeliest are verified first, which joins most
+   members of a large group to it;
+4. what still lies in different components meets once more; members with a partner whose registers pass are
+   dealt again with their full sets, so that every such pair is verified where it is found and only links
+   are returned;
+5. the components of all verified links are final. Classes become doc_ids only then.
 
 Recall: a pair at the threshold misses all bands with a probability of about 5e-6 and fails the
-likelihood test with about 3e-5. A verified link is exact up to collisions of 64-bit shingle hashes.
+likelihood test with about 3e-5. A verified link is exact up to collisions of 64-bit shingle hashes; rows are
+told apart by doc_id and a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from pyspark.sql import functions as F
 from folioforge.llm import bloom
 from folioforge.llm.arrays import U64, mix, shingle_sets, text_slices
 from folioforge.llm.components import connected_components
+from folioforge.llm.skew import split_join
 from folioforge.storage import cut
 
 ROWS, BANDS = 4, 32
@@ -95,11 +100,16 @@ def passes(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, thres
     same = ra.shape[-1] - up - down
     u, v = na / (na + nb), nb / (na + nb)
     most = np.minimum(u / v, v / u)
+    out = np.zeros(len(same), bool)
+    # sizes or shares of equal registers more than six deviations short of the threshold need no likelihood
+    near = np.flatnonzero((most >= threshold - 1e-12) & (same >= ra.shape[-1] * threshold - 6.5 * np.sqrt(ra.shape[-1] * threshold * (1 - threshold)) - 1))
+    up, down, same, u, v, most = (x[near] for x in (up, down, same, u, v, most))
     at = _log_likelihood(np.minimum(threshold, most), up, down, same, u, v)
     best = at.copy()
     for j in np.linspace(0, 0.98, 50) * threshold:
         best = np.maximum(best, _log_likelihood(np.minimum(j, most), up, down, same, u, v))
-    return (most >= threshold - 1e-12) & (best - at <= SLACK)
+    out[near] = best - at <= SLACK
+    return out
 
 
 def _sketch(width: int):
@@ -111,11 +121,12 @@ def _sketch(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "same", "regs"],
+                    names=["doc_id", "key", "n_shingles", "same", "regs"],
                 )
 
     return run
@@ -172,54 +183,74 @@ def _overlap(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _block_pairs(percent: int, best: int | None):
-    """Pairs of one block task whose members lie in different components and whose registers pass.
+def _compared(t: pa.Table, within: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of one block task whose members lie in different components and whose registers pass; their equal registers.
 
-    With ``best`` each member keeps only so many partners, those with the most equal registers. Without it
-    rows bring their full sets, and only pairs that these confirm are returned.
+    Members of part 0 meet those of part 1, or each other ``within`` a block. The bucket's hub has met all of them before.
     """
+    node, comp, n, part = (t.column(c).to_numpy() for c in ("node", "component", "n", "part"))
+    regs, hub = _matrix(t.column("regs").combine_chunks()), t.column("hub")[0].as_py()
+    rows = [np.flatnonzero((part == k) & (node != hub)) for k in (0, 1)]
+    out = []
+    for k, i in enumerate(rows[0].tolist()):
+        other = rows[0][k + 1 :] if within else rows[1]
+        other = other[comp[other] != comp[i]]
+        for lo in range(0, len(other), PAIRS):
+            j = other[lo : lo + PAIRS]
+            ok = passes(regs[i], regs[j], n[i], n[j], percent / 100)
+            if ok.any():
+                out.append((np.full(int(ok.sum()), i), j[ok], (regs[i] == regs[j[ok]]).sum(axis=1)))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def task(t: pa.Table, apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node, comp, n, block = (t.column(c).to_numpy() for c in ("node", "component", "n", "block"))
-        regs = _matrix(t.column("regs").combine_chunks())
-        hub, kinds, at = t.column("hub")[0].as_py(), *np.unique(comp, return_inverse=True)
-        large = np.bincount(at).argmax()
-        left, right = [], []
-        for i in np.flatnonzero((at != large) & (node != hub)):
-            # a pair of two small components is met twice; the smaller index leads
-            other = (at != at[i]) & (node != hub) & ((at == large) | (np.arange(len(node)) > i))
-            if apart:
-                other &= block != block[i]
-            right.append(np.flatnonzero(other))
-            left.append(np.full(len(right[-1]), i))
-        if not left:
-            return
-        i, j = np.concatenate(left), np.concatenate(right)
-        ok, equal = [], []
-        for lo in range(0, len(i), PAIRS):
-            p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
-            ok.append(passes(regs[p], regs[q], n[p], n[q], percent / 100))
-            equal.append((regs[p] == regs[q]).sum(axis=1))
-        if ok:
-            ok, equal = np.concatenate(ok), np.concatenate(equal)
-            i, j, equal = i[ok], j[ok], equal[ok]
-        if best and len(i):
+
+def _tasks(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple]:
+    for key, t in _runs(it, ["key", "bi", "bj"]):
+        i, j, equal = _compared(t, key[1] == key[2], percent)
+        if len(i):
+            yield key, t, i, j, equal
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _best(percent: int):
+    """For each member the ``BEST`` partners with the most equal registers, of those that pass."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t, i, j, equal in _tasks(it, percent):
             order = np.lexsort((-equal, i))
             i, j = i[order], j[order]
             begin = np.concatenate([[0], np.flatnonzero(np.diff(i)) + 1])
-            keep = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i)))) < best
-            i, j = i[keep], j[keep]
-        elif not best:
-            sets = [np.frombuffer(m.as_buffer(), U64) for m in t.column("members").combine_chunks()]
-            keep = np.array([_overlap(sets[p], sets[q], percent) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
-            i, j = i[keep], j[keep]
-        yield node[i], node[j]
+            keep = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i)))) < BEST
+            node = t.column("node").to_numpy()
+            yield _edges(node[i[keep]], node[j[keep]])
+
+    return run
+
+
+def _involved(percent: int):
+    """Which rows of a task have a partner whose registers pass."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, bi, bj), t in _runs(it, ["key", "bi", "bj"]):
-            for a, b in task(t, bi != bj):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for (key, bi, bj), t, i, j, _ in _tasks(it, percent):
+            node = t.column("node").to_numpy()[np.unique(np.concatenate([i, j]))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), x)) for x in (key, bi, bj)] + [pa.array(node)], names=["key", "bi", "bj", "node"])
+
+    return run
+
+
+def _confirmed(percent: int):
+    """The pairs of a task whose registers pass and whose full sets, which the rows bring, reach the threshold."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t, i, j, _ in _tasks(it, percent):
+            sets = [np.frombuffer(m.as_buffer(), U64) for m in t.column("members").combine_chunks()]
+            node = t.column("node").to_numpy()
+            keep = np.array([_overlap(sets[p], sets[q], percent) for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            yield _edges(node[i[keep]], node[j[keep]])
 
     return run
 
@@ -227,11 +258,10 @@ def _block_pairs(percent: int, best: int | None):
 def _sets(width: int, wanted):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ids = batch.column(0).to_numpy()
-            batch = batch.filter(pa.array(bloom.might_contain(wanted.value, ids)))
+            batch = batch.filter(pa.array(bloom.might_contain(wanted.value, batch.column(0).to_numpy())))
             for lo, hi, data, off in text_slices(batch):
                 sets = shingle_sets(data, off, width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "members"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "key", "members"])
 
     return run
 
@@ -256,78 +286,135 @@ def _confirm(percent: int):
     return run
 
 
-def full_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``node, members`` (sorted shingle hashes) of the documents named by distinct ids."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "node"))
-    sets = docs.where("doc_id is not null").mapInArrow(_sets(width, wanted), "node long, members binary").join(ids, "node", "left_semi")
-    return cut(sets.dropDuplicates(["node"]), "sets")
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``node, members`` (sorted shingle hashes) of distinct nodes, from the rows that stand for their classes."""
+    ids = cut(classes.join(nodes, "node").select("node", "doc_id", "key"), "wanted")
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "doc_id"))
+    sets = docs.where("doc_id is not null").select("doc_id", "key", "text").mapInArrow(_sets(width, wanted), "doc_id long, key long, members binary")
+    return cut(sets.join(ids, ["doc_id", "key"]).select("node", "members").dropDuplicates(["node"]), "sets")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full shingle sets reach the threshold.
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets reach the threshold.
 
     Only texts that pass a bitmap of the wanted ids are read into sets. A node with many partners is
     dealt out in salted groups of about 512, each of which gets that node's set once.
     """
-    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, width)
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).alias("salts"))
-    partners = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.col("b").alias("node")).join(sets, "node").select("a", "salt", F.col("node").alias("b"), "members")
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs, width)
+    salts = cut(pairs.groupBy("a").agg(F.count("*").alias("pairs")).withColumn("salts", F.ceil(F.col("pairs") / 512)), "salts")
+    partners = split_join(pairs, salts, ["a"], "pairs").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.col("b").alias("node")).join(sets, "node").select("a", "salt", F.col("node").alias("b"), "members")
     owners = salts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(sets, "node").select(F.col("node").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "members")
     dealt = partners.unionByName(owners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return dealt.mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _mixed(hits: DataFrame, reps: DataFrame, label: DataFrame) -> DataFrame:
-    """Members of buckets that hold different components, dealt into pairs of blocks."""
-    open_ = hits.where("size > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
-    return (
-        open_.join(mixed, "key")
-        .join(reps, "node")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-        .withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("block", "with").alias("bi"), F.greatest("block", "with").alias("bj"), "block", "hub", "node", "component", "n", "regs")
-    )
+    """Members of buckets that hold different components, dealt into block tasks ``key, bi, bj``.
 
+    With L members in the bucket's largest component and s others, L + s ceil(L / BLOCK) + s ceil(s / BLOCK) rows go out:
+    tasks (b, -1) hold block b of the large side and all others, tasks (bi, bj) two blocks of the others.
+    """
+    long = lambda x: F.lit(x).cast("long")
+    open_ = hits.where("size > 2").select("key", "node", "hub").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sides = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where("top.n < size")
+    sides = cut(sides.select("key", "size", F.col("top.component").alias("main"), F.ceil(F.col("top.n") / BLOCK).alias("large"), F.ceil((F.col("size") - F.col("top.n")) / BLOCK).alias("small")), "sides")
+    rows = split_join(open_, sides, ["key"], "size")
+    upto = lambda n: F.sequence(long(0), F.col(n) - 1)
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("component") == F.col("main"), F.col("large")).otherwise(F.col("small")))
+    rows = rows.withColumn("own", own)
+    to = lambda bi, bj, part: F.struct(bi.alias("bi"), bj.alias("bj"), part.alias("part"))
+    meet_large = F.transform(upto("large"), lambda b: to(b, long(-1), F.lit(0)))
+    meet_small = F.transform(upto("small"), lambda b: to(F.least(b, "own"), F.greatest(b, "own"), (F.col("own") > b).cast("int")))
+    tasks = F.when(F.col("component") == F.col("main"), F.array(to(F.col("own"), long(-1), F.lit(1)))).otherwise(F.concat(meet_large, meet_small))
+    return rows.select("key", "hub", "node", "component", F.inline(tasks)).join(reps, "node").select("key", "bi", "bj", "part", "hub", "node", "component", "n", "regs")
 
-def _pairs_of(dealt: DataFrame, percent: int, best: int | None) -> DataFrame:
-    dealt = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return dealt.mapInArrow(_block_pairs(percent, best), "a long, b long").distinct()
 
+def _run_tasks(dealt: DataFrame, each, schema: str) -> DataFrame:
+    return dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(each, schema).distinct()
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
-    A text that is null, empty or without words has an empty set, is its own component and is kept. Rows
-    with a null doc_id cannot be named: component_id is null and they are kept. Rows that repeat a doc_id
-    with the same text get the same answer; if the texts differ, each row follows its own text. Other
-    columns are ignored. An empty table gives an empty result.
-    """
+PAIR = "a long, b long"
+
+
+def linked_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (doc_id, key, text): sketches (doc_id, key, n_shingles, same), classes (node, same, doc_id, key) and links (a, b) of nodes."""
     threshold = percent / 100
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(docs.mapInArrow(_sketch(width), "doc_id long, n_shingles long, same binary, regs binary"), "sketches")
+    sketches = cut(docs.select("doc_id", "key", "text").mapInArrow(_sketch(width), "doc_id long, key long, n_shingles long, same binary, regs binary"), "sketches")
     full = sketches.where("same is not null and doc_id is not null")
-    classes = cut(full.groupBy("same").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
-    reps = sketches.join(classes.withColumnRenamed("same", "same_"), (F.col("same") == F.col("same_")) & (F.col("doc_id") == F.col("node")))
-    reps = cut(reps.select("node", F.col("n_shingles").alias("n"), "regs").dropDuplicates(["node"]), "reps")
+    classes = full.groupBy("same").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.count("*").alias("copies"))
+    # numbered where it is written, once; a retried task commits its own numbers or none
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "same", "rep.doc_id", "rep.key", "n", "regs", "copies"), "classes")
+    reps = classes.select("node", "n", "regs")
 
     bands = reps.select("node", "regs").mapInArrow(_bands, "key long, node long")
-    buckets = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hits = cut(bands.join(buckets, "key"), "hits")
+    buckets = cut(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    hits = cut(split_join(bands, buckets, ["key"], "size"), "hits")
 
-    star = hits.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    left, right = reps.toDF("a", "na", "ra"), reps.toDF("b", "nb", "rb")
-    star = star.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate(threshold), "a long, b long")
-    links = cut(verify(cut(star, "star"), docs, width, percent), "links")
+    star = cut(hits.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    hubs = cut(star.groupBy("a").agg(F.count("*").alias("size")).join(reps.toDF("a", "na", "ra"), "a"), "hubs")
+    star = split_join(star.join(reps.toDF("b", "nb", "rb"), "b"), hubs, ["a"], "size")
+    star = star.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimate(threshold), PAIR)
+    links = cut(verify(cut(star, "likely"), classes, docs, width, percent), "links")
 
-    likely = cut(_pairs_of(_mixed(hits, reps, connected_components(links)), percent, BEST), "likely")
-    links = cut(links.union(verify(likely, docs, width, percent)), "links")
+    likely = cut(_run_tasks(_mixed(hits, reps, connected_components(links)), _best(percent), PAIR), "likely")
+    links = cut(links.union(verify(likely, classes, docs, width, percent)), "links")
     dealt = cut(_mixed(hits, reps, connected_components(links)), "mixed")
-    dealt = dealt.join(full_sets(dealt.select("node").distinct(), docs, width), "node")
-    links = cut(links.union(_pairs_of(dealt, percent, None)), "links")
+    task = ["key", "bi", "bj", "node"]
+    involved = cut(_run_tasks(dealt, _involved(percent), "key long, bi long, bj long, node long"), "involved")
+    if not involved.isEmpty():
+        dealt = dealt.join(involved, task, "left_semi").join(full_sets(involved.select("node").distinct(), classes, docs, width), "node")
+        links = cut(links.union(_run_tasks(dealt, _confirmed(percent), PAIR)), "links")
+    return sketches.drop("regs"), classes.drop("n", "regs"), links
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("key"))
 
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``.
+
+    A text that is null, empty or without words has an empty set, is its own component and is kept. Rows
+    with a null doc_id cannot be named: component_id is null and they are kept. Rows that share a doc_id are one
+    document for reachability, whatever their texts: every text that has words brings its links. Other
+    columns are ignored. An empty table gives an empty result.
+    """
+    sketches, classes, links = linked_classes(_keyed(docs), width, percent)
+    member = sketches.where("same is not null and doc_id is not null").select("doc_id", "same").distinct()
+    shared = member.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1")
+    shared = cut(member.join(shared, "doc_id").join(classes.select("same", "node"), "same").select("doc_id", "node"), "shared")
+    if not shared.isEmpty():  # rows of one doc_id are chained, so that no doc_id is gathered in one task
+        hub = shared.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.union(shared.join(hub, "doc_id").where("a != node").select("a", F.col("node").alias("b")))
+    label = connected_components(links)
+    named = label.join(classes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = label.join(named, "component").select("node", "component_id")
+    of_class = cut(classes.join(of_class, "node", "left").select("same", F.coalesce("component_id", "doc_id").alias("component_id"), "copies"), "groups")
+    linked = split_join(sketches.where("same is not null and doc_id is not null"), of_class, ["same"], "copies")
+    alone = sketches.where("same is null or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` with all columns, one of each group of near copies: the first by doc_id and text hash.
+
+    Groups are of texts, so rows that share a doc_id but not a text are judged each. Rows equal in doc_id and text are
+    copies, of which one stays. Rows without words or with a null doc_id stay. An empty table gives no rows.
+    """
+    keyed = _keyed(docs)
+    sketches, classes, links = linked_classes(keyed, width, percent)
     label = connected_components(links)
-    of_class = classes.join(label, "node", "left").select("same", F.coalesce("component", "node").alias("component"))
-    out = sketches.join(of_class, "same", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    of_class = cut(classes.join(label, "node", "left").select("same", "doc_id", "key", F.coalesce("component", "node").alias("component")), "groups")
+    first = of_class.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.doc_id", "first.key")
+    rows = sketches.where("same is not null and doc_id is not null").groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
+    gone = cut(rows.select("doc_id", "key").join(first, ["doc_id", "key"], "left_anti").withColumnsRenamed({"doc_id": "gone_id", "key": "gone_key"}), "gone")
+    twice = cut(rows.where("rows > 1").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")), "twice")
+    same = lambda ids: (docs["doc_id"].cast("long") == ids["gone_id"]) & (F.xxhash64(docs["text"].cast("string")) == ids["gone_key"])
+    out = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return out
+    again = out.join(twice, same(twice), "left_semi").withColumn("twice_key", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "twice_key"]).drop("twice_key")
+    return out.join(twice, same(twice), "left_anti").unionByName(again)
