@@ -5,8 +5,8 @@ frequencies and a few repetition and shape rates, encoded by a learned layer; ga
 (tanh branch times sigmoid branch) weights the encodings, and the weighted sum is scored. Only document
 labels train it; encoder, gates and scorer are fitted together by Adam in numpy.
 
-Bounds: the fit takes at most ``FIT_DOCS`` labelled documents, the ones with the smallest hash of doc_id
-among those of at most ``FIT_CHARS`` characters; scoring covers every whole text.
+Bounds: the fit takes at most ``FIT_DOCS`` labelled rows, the ones with the smallest hash of doc_id and text, and of each at
+most ``FIT_PASSAGES`` passages spread evenly over the whole text; scoring covers every passage of every text.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from folioforge.llm.arrays import IS_SPACE, SpanHasher, row_of, row_sums, text_slices, window_hashes, words
+from folioforge.llm.arrays import IS_SPACE, SpanHasher, row_of, text_slices, window_hashes, words
 
-PASSAGE, FIT_DOCS, FIT_CHARS = 64, 4000, 50_000
+PASSAGE, FIT_DOCS, FIT_PASSAGES = 64, 4000, 64
 WIDTH, GATE, EPOCHS, BATCH, SEED = 24, 12, 30, 64, 5
 _CLASSES = 14
 
@@ -101,16 +102,33 @@ class Attention:
         return self.forward(x, first)["p"]
 
 
-def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray) -> Attention:
-    """Adam on class-balanced cross-entropy, over minibatches of whole documents. The order is fixed by ``SEED``."""
+def gradients(net: Attention, x: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the weighted cross-entropy, sum of weight x loss, by all weights of the network."""
+    w, o = net.weights, net.forward(x, first)
+    gy = (o["p"] - label) * weight
+    gz = gy[:, None] * w["c"]
+    ga = (gz[o["row"]] * o["h"]).sum(axis=1)
+    ge = o["att"] * (ga - np.add.reduceat(o["att"] * ga, first[:-1])[o["row"]])
+    gt, gs = ge[:, None] * w["a"] * o["s"] * (1 - o["t"] ** 2), ge[:, None] * w["a"] * o["t"] * o["s"] * (1 - o["s"])
+    gh = (o["att"][:, None] * gz[o["row"]] + gt @ w["v"].T + gs @ w["u"].T) * (1 - o["h"] ** 2)
+    return {"c": o["z"].T @ gy, "c_b": np.array([gy.sum()]), "a": (o["t"] * o["s"]).T @ ge, "v": o["h"].T @ gt, "u": o["h"].T @ gs, "enc": o["x"].T @ gh, "enc_b": gh.sum(axis=0)}
+
+
+def start(x: np.ndarray) -> Attention:
+    """The network before training; ``SEED`` fixes it."""
     rng = np.random.default_rng(SEED)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-2
     shape = {"enc": (x.shape[1], WIDTH), "enc_b": (WIDTH,), "v": (WIDTH, GATE), "u": (WIDTH, GATE), "a": (GATE,), "c": (WIDTH,), "c_b": (1,)}
     w = {k: (rng.normal(size=s) / np.sqrt(s[0]) if not k.endswith("_b") else np.zeros(s)) for k, s in shape.items()}
-    net = Attention(mean, scale, w)
+    return Attention(x.mean(axis=0), x.std(axis=0) + 1e-2, w)
+
+
+def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray) -> Attention:
+    """Adam on class-balanced cross-entropy, over minibatches of whole documents. The order is fixed by ``SEED``."""
+    net, rng = start(x), np.random.default_rng(SEED + 1)
+    w = net.weights
     share = np.clip(np.array([(label == 0).mean(), (label == 1).mean()]), 1e-3, 1)
     weight = np.sqrt(0.5 / share)[label]
-    m1, m2, step = {k: np.zeros(s) for k, s in shape.items()}, {k: np.zeros(s) for k, s in shape.items()}, 0
+    m1, m2, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(label))
         for lo in range(0, len(order), BATCH):
@@ -118,66 +136,62 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray) -> Attention:
             n = (first[1:] - first[:-1])[docs]
             f = np.concatenate([[0], np.cumsum(n)])
             rows = np.arange(f[-1]) + np.repeat(first[docs] - f[:-1], n)
-            o = net.forward(x[rows], f)
-            gy = (o["p"] - label[docs]) * weight[docs] / len(docs)
-            gz = gy[:, None] * w["c"]
-            gh = o["att"][:, None] * gz[o["row"]]
-            ga = (gz[o["row"]] * o["h"]).sum(axis=1)
-            ge = o["att"] * (ga - np.add.reduceat(o["att"] * ga, f[:-1])[o["row"]])
-            gt, gs = ge[:, None] * w["a"] * o["s"] * (1 - o["t"] ** 2), ge[:, None] * w["a"] * o["t"] * o["s"] * (1 - o["s"])
-            gh = (gh + gt @ w["v"].T + gs @ w["u"].T) * (1 - o["h"] ** 2)
-            g = {"c": o["z"].T @ gy, "c_b": np.array([gy.sum()]), "a": (o["t"] * o["s"]).T @ ge, "v": o["h"].T @ gt, "u": o["h"].T @ gs, "enc": o["x"].T @ gh, "enc_b": gh.sum(axis=0)}
+            g = gradients(net, x[rows], f, label[docs], weight[docs] / len(docs))
             step += 1
             for k in w:
-                g[k] = g[k] + 1e-4 * w[k]
-                m1[k] = 0.9 * m1[k] + 0.1 * g[k]
-                m2[k] = 0.999 * m2[k] + 0.001 * g[k] ** 2
+                d = g[k] + 1e-4 * w[k]
+                m1[k] = 0.9 * m1[k] + 0.1 * d
+                m2[k] = 0.999 * m2[k] + 0.001 * d**2
                 w[k] -= 0.01 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
     return net
 
 
 def _encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        label = batch.column(2).to_numpy()
         for lo, hi, data, off in text_slices(batch):
             x, first = passages(data, off)
-            parts = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), pa.array(label[lo:hi])], names=["bag", "label"])
+            parts = []
+            for a, n in zip(first[:-1].tolist(), np.diff(first).tolist(), strict=True):
+                take = a + np.unique(np.arange(min(n, FIT_PASSAGES)) * n // min(n, FIT_PASSAGES))
+                parts.append(x[take].astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(parts, pa.binary())], names=["row", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Attention | None:
     """The network fitted to ``labels`` (doc_id, label 0 or 1); None without labelled documents of both classes.
 
-    Rows of ``labels`` with another or a null label are ignored; a repeated doc_id counts once, with its smallest label.
+    Rows of ``labels`` with another or a null label are ignored; a doc_id labelled twice counts with its smallest label. Rows
+    of ``docs`` that share a doc_id have its label each; rows equal in doc_id and text count once. At most ``FIT_DOCS`` bags
+    of ``FIT_PASSAGES`` passages come to the driver (104 MB).
     """
     known = labels.where(F.col("label").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("label").cast("int").alias("label"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chosen = docs.where(F.length("text") <= FIT_CHARS).select("doc_id").join(known, "doc_id").dropDuplicates(["doc_id"])
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    ids = {r[0]: r[1] for r in chosen.collect()}
-    if len(set(ids.values())) < 2:
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    chosen = docs.select("doc_id", "row").join(known, "doc_id").groupBy("row").agg(F.min("label").alias("label")).orderBy("row").limit(FIT_DOCS)
+    label = {r[0]: r[1] for r in chosen.collect()}
+    if len(set(label.values())) < 2:
         return None
-    rows = docs.where(F.length("text") <= FIT_CHARS).join(F.broadcast(docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, label int")), "doc_id")
-    got = rows.select("doc_id", "text", "label").mapInArrow(_encode, "bag binary, label int").toArrow()
-    label = got["label"].to_numpy().astype(np.int64)
+    rows = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(r,) for r in label], "row long")), "row").select("row", "text")
+    got = rows.mapInArrow(_encode, "row long, bag binary").groupBy("row").agg(F.first("bag").alias("bag")).toArrow().sort_by("row")  # the same fit whatever the order of rows
     bags = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for b in got["bag"].to_pylist()]
-    order = sorted(range(len(bags)), key=lambda i: bags[i].tobytes())  # the same fit whatever the order of rows
-    first = np.concatenate([[0], np.cumsum([len(bags[i]) for i in order])])
-    return fit(np.concatenate([bags[i] for i in order]), first, label[order])
+    first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    return fit(np.concatenate(bags), first, np.array([label[r] for r in got["row"].to_pylist()], np.int64))
 
 
-def score(docs: DataFrame, net: Attention | None) -> DataFrame:
-    """``doc_id, score`` for every row: the estimated probability of label 1. One narrow stage.
+def score(docs: DataFrame, net: Attention | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, score`` for every row, the estimated probability of label 1, then the columns ``keep`` of the input. One narrow stage.
 
     Null and empty texts are one passage without words. Without a network every score is 0.5.
     Repeated rows are scored each; other columns are ignored; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("none_"), *keep).alias("kept"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo, hi, data, off in text_slices(batch):
                 y = np.full(hi - lo, 0.5) if held.value is None else held.value.scores(*passages(data, off))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(y.astype(np.float64))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(y.astype(np.float64)), batch.column(2).slice(lo, hi - lo)], names=["doc_id", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    out = StructType([*StructType.fromDDL("doc_id long, score double").fields, rows.schema["kept"]])
+    return rows.mapInArrow(run, out).select("doc_id", "score", *(F.col("kept")[c].alias(c) for c in keep if c not in ("doc_id", "score")))
