@@ -5,8 +5,9 @@ widths 2, 3 and 4 run over them; each filter keeps its maximum; a softmax layer
 probabilities. A document's probabilities are the softmax of the mean log probabilities of its windows.
 Applying the network uses tables of byte-pair responses, which are the same sums in another order.
 
-Bounds: the fit takes at most ``FIT_DOCS`` documents of each language, by smallest hash of doc_id, and of each
-at most ``FIT_WINDOWS`` windows spread evenly over the whole text. Prediction covers whole texts.
+Bounds: the fit learns the ``FIT_LANGS`` languages with the most distinct texts, from at most ``FIT_DOCS`` rows of each, those of the
+smallest hash of doc_id and text, and of each at most ``FIT_WINDOWS`` windows spread evenly over the whole text. Prediction
+covers whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.arrays import row_of, row_sums, text_slices
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
-FIT_DOCS, FIT_WINDOWS, EPOCHS, BATCH, SEED = 400, 6, 12, 64, 11
+FIT_LANGS, FIT_DOCS, FIT_WINDOWS, EPOCHS, BATCH, SEED = 200, 400, 6, 12, 64, 11
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,25 +139,37 @@ def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for lo, hi, data, off in text_slices(batch):
             x, first = windows(data, off)
-            n = np.diff(first)
-            take = np.concatenate([np.unique(a + np.arange(FIT_WINDOWS) * k // FIT_WINDOWS) for a, k in zip(first[:-1], n, strict=True)])
-            row = row_of(first)[take]
-            lang = batch.column(2).slice(lo, hi - lo).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[take]], pa.binary()), lang], names=["bytes", "lang"])
+            parts = []
+            for a, n in zip(first[:-1].tolist(), np.diff(first).tolist(), strict=True):
+                parts.append(x[a + np.unique(np.arange(FIT_WINDOWS) * n // FIT_WINDOWS)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(parts, pa.binary())], names=["row", "lang", "bytes"])
 
 
 def train(docs: DataFrame) -> ByteConvNet | None:
-    """The network fitted to ``doc_id, text, lang``. Rows with null text, lang or doc_id teach nothing; None if no row is left."""
-    known = docs.where("text is not null and lang is not null and doc_id is not null and length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= FIT_DOCS).select("doc_id", "lang").distinct()
-    got = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(_cut, "bytes binary, lang string").toArrow()
+    """The network fitted to ``doc_id, text, lang``. Rows with null text, lang or doc_id teach nothing; None if no row is left.
+
+    Rows equal in doc_id, text and lang count once. Which rows are taken is told by a bar on their hash for each language, set
+    from its number of distinct rows to let half as many again through; a task then ranks the few that passed. So no
+    language is gathered in one task, and at most ``FIT_LANGS`` x ``FIT_DOCS`` x ``FIT_WINDOWS`` windows come to the driver (62 MB).
+    """
+    known = docs.where("text is not null and lang is not null and doc_id is not null and length(text) > 0")
+    known = known.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "text", F.col("lang").cast("string").alias("lang"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("row", 0.05).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGS).collect()
+    if not sizes:
+        return None
+    place = F.shiftrightunsigned("row", 1) / float(1 << 63)
+    bars = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * FIT_DOCS / max(r["n"], 1))) for r in sizes], "lang string, bar double")
+    passed = known.join(F.broadcast(bars), "lang").where(place <= F.col("bar")).select("row", "text", "lang")
+    few = passed.mapInArrow(_cut, "row long, lang string, bytes binary").groupBy("lang", "row").agg(F.first("bytes").alias("bytes"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("row"))
+    got = few.withColumn("rank", rank).where(F.col("rank") <= FIT_DOCS).select("lang", "bytes").toArrow()
     if not got.num_rows:
         return None
     rows = sorted(zip(got["lang"].to_pylist(), got["bytes"].to_pylist(), strict=True))
     langs = sorted({x for x, _ in rows})
     at = {x: i for i, x in enumerate(langs)}
-    return fit(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(-1, WINDOW), np.array([at[x] for x, _ in rows]), langs)
+    label = np.repeat([at[x] for x, _ in rows], [len(b) // WINDOW for _, b in rows])
+    return fit(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(-1, WINDOW), label, langs)
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
