@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import attention_mil, bpe, cdc_dedup, chat_events, collision_lsh, langid_cnn, perplexity, queries, setsketch, soft_mixing, warc_revisit
+from folioforge.llm import attention_mil, bpe, cdc_dedup, chat_events, collision_lsh, langid_cnn, perplexity, queries, setsketch, skew, soft_mixing, warc_revisit
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, node string, n string, key int"
@@ -92,6 +92,47 @@ def test_group_of_near_copies_with_few_common_neighbours(spark):
     assert got == want
 
 
+def repeated_ids():
+    rnd = random.Random(41)
+    x, y, z = (words(rnd, 200) for _ in range(3))
+    rows = [(1, x), (1, y), (2, x + " more"), (3, y + " other"), (4, z), (4, z), (5, z), (6, ""), (6, z + " end"), (6, words(rnd, 50)), (7, None), (7, words(rnd, 9)), (None, x)]
+    return rows + [(rnd.randint(8, 30), " ".join(w if rnd.random() > 0.01 else "new" for w in rnd.choice([x, y, z]).split())) for _ in range(60)]
+
+
+def test_near_duplicates_with_repeated_ids_equal_brute_force(spark):
+    rows = repeated_ids()
+    sets = [shingles(t) for _, t in rows]
+    near = lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if rows[a][0] is not None and rows[b][0] is not None and near(a, b)]
+    want = components({i for i, _ in rows if i is not None}, [(rows[a][0], rows[b][0]) for a, b in linked])
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, node int").repartition(4)
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in setsketch.near_duplicates(df).collect())
+    own = [want.get(i, -1) if s else i or -1 for (i, _), s in zip(rows, sets, strict=True)]  # a row without words stands alone
+    assert got == sorted((i or -1, len(s), c, i is None or i == c) for (i, _), s, c in zip(rows, sets, own, strict=True))
+    # one row of each group of texts stays, judged by the texts alone
+    key = {r.node: r.k for r in df.select("node", F.xxhash64("text").alias("k")).collect()}
+    group = components(range(len(rows)), linked)
+    kept = {min((rows[k][0], key[k]) for k in group if group[k] == g) for g in set(group.values()) if sets[g] and rows[g][0] is not None}
+    out = setsketch.drop_near_duplicates(df).collect()
+    assert all(r.node is not None and rows[r.node] == (r.doc_id, r.text) for r in out)
+    assert sorted((r.doc_id, key[r.node]) for r in out if r.doc_id is not None and sets[r.node]) == sorted(kept)
+    assert sorted(r.node for r in out if r.doc_id is None or not sets[r.node]) == [k for k, (i, _) in enumerate(rows) if i is None or not sets[k]]
+
+
+def test_mixed_buckets_deal_the_large_side_once(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = words(rnd, 100).split()
+    half = base[:50] + words(rnd, 50).split()
+    rows = [(k, " ".join([*base, f"end{k}"])) for k in range(200)] + [(1000 + k, " ".join([*half, *words(rnd, 3).split()])) for k in range(12)]
+    monkeypatch.setattr(setsketch, "BLOCK", 32)
+    dealt, plain = [], setsketch._mixed
+    monkeypatch.setattr(setsketch, "_mixed", lambda *a: dealt.append(plain(*a)) or dealt[-1])
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {got[k] for k in range(200)} == {0} and {got[1000 + k] for k in range(12)} == {1000}
+    sizes = [r for d in dealt for r in d.groupBy("key").agg(F.countDistinct("node").alias("n"), F.count("*").alias("rows")).collect()]
+    assert all(r.rows <= r.n + 12 * (-(-r.n // 32) + 2) for r in sizes)
+
+
 def test_registers_merge_and_estimate():
     rnd = np.random.default_rng(1)
     a, b = (np.unique(rnd.integers(0, 2**63, 500).astype(np.uint64)) for _ in range(2))
@@ -192,12 +233,49 @@ def test_attention_learns_and_scores_odd_rows(spark, docs, none):
 
 def test_attention_gradient_is_right():
     rng = np.random.default_rng(0)
-    x, first = rng.normal(size=(7, 5)), np.array([0, 3, 7])
-    net = attention_mil.fit(x, first, np.array([0, 1]))
+    x, first, label, weight = rng.normal(size=(7, 5)), np.array([0, 3, 7]), np.array([0, 1]), np.array([0.7, 1.3])
+    net = attention_mil.start(x)
+
+    def loss():
+        p = net.scores(x, first)
+        return -(weight * np.where(label == 1, np.log(p), np.log(1 - p))).sum()
+
+    for name, g in attention_mil.gradients(net, x, first, label, weight).items():
+        w = net.weights[name].reshape(-1)
+        for k in rng.integers(0, len(w), 6).tolist():
+            was, ends = w[k], []
+            for step in (1e-5, -1e-5):
+                w[k] = was + step
+                ends.append(loss())
+            w[k] = was
+            assert abs((ends[0] - ends[1]) / 2e-5 - g.reshape(-1)[k]) < 1e-6, name
+    net = attention_mil.fit(x, first, label)
     o = net.forward(x, first)
     assert np.allclose(np.add.reduceat(o["att"], first[:-1]), 1) and (o["p"] > 0.5).tolist() == [False, True]
 
 
+def test_fits_take_bounded_samples_of_repeated_ids(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(7, words(rnd, 30), "en") for _ in range(3000)] + [(8, "same text again and again", "de")] * 3000
+    rows += [(100 + i, words(rnd, 5000 if i < 3 else 20), "fr") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    taken = {}
+    monkeypatch.setattr(langid_cnn, "fit", lambda x, y, langs: taken.update(windows=len(x), langs=langs, each=np.bincount(y)))
+    langid_cnn.train(docs)
+    assert taken["langs"] == ["de", "en", "fr"] and taken["each"][0] == 1 and 250 * 1 <= taken["each"][1] <= 400 * 6
+    monkeypatch.setattr(langid_cnn, "FIT_LANGS", 2)
+    langid_cnn.train(docs)
+    assert taken["langs"] == ["en", "fr"]
+    monkeypatch.setattr(attention_mil, "FIT_DOCS", 500)
+    monkeypatch.setattr(attention_mil, "fit", lambda x, first, label: taken.update(bags=label, size=np.diff(first)))
+    labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0)] + [(100 + i, i % 2) for i in range(30)], "doc_id long, label int")
+    attention_mil.train(docs, labels)
+    assert len(taken["bags"]) == 500 and taken["size"].max() <= attention_mil.FIT_PASSAGES and set(taken["bags"]) == {0, 1}
+    monkeypatch.setattr(attention_mil, "FIT_DOCS", 5000)
+    attention_mil.train(docs, labels)
+    assert len(taken["bags"]) == 3000 + 1 + 30 and taken["size"].max() == attention_mil.FIT_PASSAGES
+
+
 def test_langid(spark, docs, none):
     rnd = random.Random(5)
     rows = [(i, " ".join(rnd.choice(["the", "and", "thing", "over"]) for _ in range(rnd.randint(3, 90))), "en") for i in range(60)]
@@ -255,6 +333,58 @@ def test_substring_dedup(spark, docs, none):
     assert odd[None].removed_chars == 0 and cdc_dedup.remove_repeats(none).count() == 0
 
 
+def repeats_brute_force(rows, min_words=cdc_dedup.MIN_WORDS):
+    """Texts after removal, row by row, from the chunks of each text and one dictionary of their first places."""
+    def pieces(text):
+        raw = (text or "").encode()
+        begin, _ = cdc_dedup.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        return [raw[a:b] for a, b in zip(begin, [*begin[1:], len(raw)][: len(begin)], strict=True)]
+
+    key = {t: k for t, k in rows}
+    first = {}
+    for i, t in sorted({(i, t) for i, t in key if i is not None and t}, key=lambda x: (x[0], key[x])):
+        for at, p in enumerate(pieces(t)):
+            first.setdefault(p, (i, t, at))
+    out = []
+    for i, t in [x for x, _ in rows]:
+        if i is None or not t:
+            out.append((i, t))
+            continue
+        cut_, kept, run = pieces(t), [], []
+        text = b"".join(cut_)
+        starts = np.cumsum([0, *map(len, cut_)])
+        begins = [m.start() for m in re.finditer(rb"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]", text)]
+        for at, p in [*enumerate(cut_), (len(cut_), None)]:
+            if p is not None and first[p] != (i, t, at):
+                run.append((at, p))
+                continue
+            n = sum(starts[run[0][0]] <= b < starts[run[-1][0] + 1] for b in begins) if run else 0
+            kept += [] if n >= min_words else [q for _, q in run]
+            run = []
+            if p is not None:
+                kept.append(p)
+        out.append((i, b"".join(kept).decode()))
+    return out
+
+
+def test_substring_dedup_equals_brute_force_with_repeated_ids(spark, monkeypatch):
+    rnd = random.Random(31)
+    passages = [words(rnd, 60) for _ in range(6)]
+    rows = [(1, words(rnd, 30) + " " + passages[0]), (2, words(rnd, 30) + " " + passages[0] + " " + words(rnd, 30)), (2, words(rnd, 90)), (2, words(rnd, 200))]
+    rows += [(rnd.randint(3, 40), " ".join([words(rnd, rnd.randint(0, 40)), *rnd.sample(passages, rnd.randint(0, 3)), words(rnd, 15)])) for _ in range(120)]
+    rows += [rows[5], rows[5], (None, passages[1]), (50, None), (51, ""), (52, passages[2] * 3)]
+    df = spark.createDataFrame([(*r, f"x{k}", k) for k, r in enumerate(rows)], "doc_id long, text string, note string, digest int").repartition(4)
+    keys = {r.note: r.k for r in df.select("note", F.xxhash64("text").alias("k")).collect()}
+    want = repeats_brute_force([(r, keys[f"x{k}"]) for k, r in enumerate(rows)])
+    for most in (1 << 16, 2):
+        monkeypatch.setattr(cdc_dedup, "split_join", lambda *a: skew.split_join(*a, least=4, most=most))  # noqa: B023
+        got = cdc_dedup.remove_repeats(df, keep=("note", "digest")).collect()
+        assert {r.note: (r.doc_id, r.text) for r in got} == {f"x{k}": r for k, r in enumerate(want)} and len(got) == len(rows)
+    assert sum(len(t or "") for _, t in want) < sum(len(t or "") for _, t in rows)
+    out = {r.note: r for r in got}
+    assert out["x2"].text == rows[2][1] and out["x3"].text == rows[3][1] and out["x2"].n_repeats == 0 and out["x1"].removed_chars > 100
+
+
 def test_chunks_cover_texts_and_survive_insertions():
     text = words(random.Random(9), 400)
     found = []
@@ -307,28 +437,66 @@ def test_bpe_equals_the_library_and_round_trips(spark, docs, none):
     assert all(bytes(r.decoded).decode() == text[r.doc_id] for r in back)
 
 
-def test_vectors_equal_brute_force(spark):
-    rng = np.random.default_rng(3)
+def vector_rows(rng):
     centre = rng.normal(size=(6, 16))
     rows = [(i, (centre[i % 6] + 0.12 * rng.normal(size=16)).tolist(), i % 2) for i in range(150)]
     rows += [(200, rows[0][1], 0), (201, [2 * x for x in rows[0][1]], 0), (202, None, 0), (203, [0.0] * 16, 0), (204, [None] + [1.0] * 15, 0), (205, [float("nan")] * 16, 1), (206, rows[0][1], None), (207, [], 1), (208, [1e300] * 16, 1)]
-    ok = {i: (np.array(v, float), lab) for i, v, lab in rows if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)}
-    unit = {i: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for i, (v, _) in ok.items()}
-    links = [(a, b) for a in ok for b in ok if a < b and ok[a][1] == ok[b][1] and unit[a] @ unit[b] >= 0.93]
-    want = components([r[0] for r in rows], links)
+    rows += [(3, (centre[4] + 0.05 * rng.normal(size=16)).tolist(), 0), (200, rows[0][1], 0), (209, [1.0, 2.0], 0), (210, [2.0, 4.1], 0), (211, [1.0], 0), (212, [3.0], 0), (213, [-1.0], 0)]
+    return rows
+
+
+def vector_brute_force(rows, threshold=0.93):
+    """Links of each row and component of each vec_id; rows that share a vec_id share its component."""
+    unit = {}
+    for k, (_, v, lab) in enumerate(rows):
+        if v and lab is not None and None not in v and np.isfinite(v).all() and any(v):
+            x = np.array(v, float) / np.abs(v).max()
+            unit[k] = x / np.linalg.norm(x)
+    linked = [(a, b) for a in unit for b in unit if a < b and rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold]
     degree = defaultdict(int)
-    for a, b in links:
+    for a, b in linked:
         degree[a] += 1
         degree[b] += 1
-    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, node int").repartition(3)
-    for block in (2048, 16):
-        collision_lsh.BLOCK = block
-        got = {r.vec_id: r for r in collision_lsh.near_duplicate_vectors(df).collect()}
-        assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (degree[i], want[i], i == want[i]) for i in want}
-    collision_lsh.BLOCK = 2048
+    group = components([r[0] for r in rows], [(rows[a][0], rows[b][0]) for a, b in linked])
+    return sorted((r[0], degree[k], group[r[0]], r[0] == group[r[0]]) for k, r in enumerate(rows))
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_vectors_equal_brute_force(spark, monkeypatch, block, kind):
+    rows = vector_rows(np.random.default_rng(3))
+    name = {None: None, 0: 5, 1: 2**62 if kind == "long" else 6}
+    rows = [(i, v, name[lab] if kind != "string" or lab is None else f"label {lab}") for i, v, lab in rows]
+    df = spark.createDataFrame([(*r, 0) for r in rows], f"vec_id long, embedding array<double>, label {kind}, node int").repartition(3)
+    monkeypatch.setattr(collision_lsh, "BLOCK", block)
+    got = collision_lsh.near_duplicate_vectors(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == vector_brute_force(rows)
     assert collision_lsh.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_real_size_and_null_ids(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 64))
+    near = base[rng.integers(0, 60, 500)] + 0.2 * rng.normal(size=(500, 64))  # cosines of about 0.96 and less
+    rows = [(i, v, i % 3) for i, v in enumerate([*base.tolist(), *near.tolist()])]
+    got = collision_lsh.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == vector_brute_force(rows)
+    odd = collision_lsh.near_duplicate_vectors(spark.createDataFrame([(None, [1.0, 2.0], 0), (1, [1.0, 2.0], 0)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in odd} == {(None, 0, None, True), (1, 0, 1, True)}
+
+
+@pytest.mark.parametrize("dim", [2, 16, 64, 256])
+def test_the_count_is_calibrated(dim):
+    least, found = collision_lsh.calibrated(dim, 0.93)
+    assert least >= 1 and found > 0.998
+    rng = np.random.default_rng(dim)
+    value = np.sort(rng.normal(size=300))
+    run = np.repeat([0, 1, 2], 100)
+    value = np.concatenate([np.sort(rng.normal(size=100)) for _ in range(3)])
+    got = {(int(i), int(j)) for a, b in collision_lsh.window_pairs(run, value, 0.4) for i, j in zip(a, b, strict=True)}
+    assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if run[i] == run[j] and value[j] - value[i] <= 0.4}
+
+
 def test_mixing_meets_targets(spark, docs, none):
     rows = labelled(spark)
     labels = rows.select("doc_id", F.when(F.col("label") == 1, "good").otherwise("bad").alias("domain"))
