@@ -1,17 +1,21 @@
 """Mixing documents to target domain weights with soft memberships, in DataFrame functions only.
 
-A table of labelled documents (doc_id, domain) trains a Gaussian naive Bayes classifier over cheap text
-features, among them hits of words that are typical of a domain. Every document gets posterior domain
-probabilities. Nonnegative rates are then fitted by projected gradient steps on the least-squares distance between the
-expected domain token totals, sum of rate x tokens x posterior, and the targets. The step's metric is the inverse
-Gram matrix of the documents with a positive rate (domains x domains), so few rounds suffice. Each round is
-one aggregation over a narrow numeric table; only sums over all documents come to the driver.
+A table of labelled documents (doc_id, domain) trains the classifier: shrunken log odds of hashed words, counted over all
+labelled documents, tell each document's word evidence for every domain (its sum and its strongest word); with a few rates of
+shape they go into a multinomial logistic regression, which gives every document posterior domain probabilities. The
+regression is fitted on documents that did not count in the odds it is shown. Nonnegative rates are then fitted by
+projected gradient steps on the least-squares distance between the expected domain token totals, sum of rate x tokens x
+posterior, and the targets. The step's metric is the inverse Gram matrix of the documents with a positive rate (domains
+x domains), so few rounds suffice. Each round is one aggregation over a narrow numeric table; only sums over all documents
+come to the driver.
+
+Bounds of the model: the ``WORDS`` words of the largest odds, 8 bytes and two odds a domain each; ``FIT_DOCS`` labelled
+documents, by smallest hash, for the regression. Word counts, features, posteriors and rates cover all documents.
 """
 
 from __future__ import annotations
 
 import logging
-import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,71 +23,137 @@ from pyspark.sql import functions as F
 
 from folioforge.storage import cut
 
-#: Labelled documents that the word lists are learned from, at most; by smallest hash of doc_id.
-LEXICON_DOCS, LEXICON_WORDS = 8_000, 24
-ROUNDS, TOLERANCE = 12, 1e-4
+#: Words of the model at most, the least number of labelled documents that hold one, and the labelled documents that the regression is fitted on, at most.
+WORDS, LEAST_DOCS, FIT_DOCS = 1 << 16, 4, 8_000
+#: Weight of the prior share in a word's odds, in documents; odds nearer to 0 than ``STRONG`` tell nothing.
+SHRINK, STRONG = 10.0, 0.5
+#: Weight decay of the regression.
+DECAY = 1e-4
+ROUNDS, TOLERANCE = 50, 1e-4
+SHAPE = ("s0", "s1", "s2", "s3")
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}]+")
-
-
-def lexicon(docs: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
-    """For each domain up to ``LEXICON_WORDS`` words that its documents hold far more often than others'."""
-    # the chosen ids are a bounded side, so texts are filtered where they are read and never shuffled
-    chosen = cut(docs.select("doc_id").join(labels, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEXICON_DOCS), "chosen")
-    total = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    if not total:
-        return {}
-    held = docs.join(F.broadcast(chosen), "doc_id").select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).where("length(word) between 3 and 40")
-    wide = cut(held.groupBy("word").agg(*(F.sum(F.when(F.col("domain") == d, 1).otherwise(0)).alias(f"n{i}") for i, d in enumerate(total))).where(f"{' + '.join(f'n{i}' for i in range(len(total)))} >= 5"), "words")
-    every, out = sum(total.values()), {}
-    for i, d in enumerate(total):
-        rest = sum((F.col(f"n{j}") for j in range(len(total)) if j != i), F.lit(0))
-        odds = (F.col(f"n{i}") + 0.5) / (total[d] + 1) / ((rest + 0.5) / (every - total[d] + 1))
-        rows = wide.withColumn("odds", odds).where((F.col(f"n{i}") >= max(5, 0.05 * total[d])) & (F.col("odds") >= 5)).orderBy(F.desc("odds"), "word").limit(LEXICON_WORDS)
-        out[d] = [r["word"] for r in rows.select("word").collect()]
-    return out
-
-
-def features(docs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
-    """``doc_id, n_tokens`` (words of the text) and feature columns f0, f1, ... A null text is empty."""
+    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
+
+
+def _row_keys(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _words(text).alias("words"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"), F.struct(F.lit(0).alias("none_"), *keep).alias("kept"))
+
+
+def word_odds(rows: DataFrame, known: DataFrame, domains: list[str]) -> DataFrame:
+    """``word`` (64-bit hash) and odds ``w0, w1, ...`` of each domain from all labelled rows, ``h0, ...`` from one half of them.
+
+    Odds of a word are log((n_d + SHRINK x prior_d) / (n + SHRINK) / prior_d), where n_d of the n labelled documents that hold it
+    are of domain d; weak ones are 0. A row that repeats counts as often as it is there.
+    """
+    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
+    held = rows.join(known, "doc_id")
+    count = lambda on: [F.count(F.when((F.col("domain") == d) & on, 1)) for d in domains]
+    both = [c.alias(f"{k}{i}") for k, on in (("n", F.lit(True)), ("m", F.col("half") == 0)) for i, c in enumerate(count(on))]
+    total = held.select("domain", half.alias("half")).agg(*both).first()
+    held = held.select("domain", half.alias("half"), F.explode(_words(F.col("text"))).alias("word")).where("length(word) between 2 and 40")
+    wide = held.groupBy(F.xxhash64("word").alias("word")).agg(*both).where(F.expr(" + ".join(f"n{i}" for i in range(len(domains)))) >= LEAST_DOCS)
+    out = []
+    for k, name in (("n", "w"), ("m", "h")):
+        every = max(sum(total[f"{k}{i}"] for i in range(len(domains))), 1)
+        here = sum((F.col(f"{k}{i}") for i in range(1, len(domains))), F.col(f"{k}0"))
+        for i in range(len(domains)):
+            prior = max(total[f"{k}{i}"], 0.5) / every
+            odds = F.log((F.col(f"{k}{i}") + SHRINK * prior) / (here + SHRINK) / prior)
+            out.append(F.when(F.abs(odds) >= STRONG, odds).otherwise(0.0).alias(f"{name}{i}"))
+    top = F.greatest(*(F.abs(F.col(f"w{i}")) for i in range(len(domains))), F.lit(0.0))
+    return wide.select("word", *out).withColumn("top", top).where("top > 0").orderBy(F.desc("top"), "word").limit(WORDS).drop("top")
+
+
+def features(rows: DataFrame, odds: DataFrame, domains: int) -> DataFrame:
+    """``doc_id, text_key, n_tokens``, shape rates and word evidence of every distinct (doc_id, text_key).
+
+    Words meet the odds in a broadcast join of at most ``WORDS`` rows, and only hits go on. The empty word stands once in every row, so rows
+    without hits stay and repeated rows are told by how often it is there.
+    """
     chars = F.greatest(F.length("text"), F.lit(1))
     share = lambda pattern: F.regexp_count("text", F.lit(pattern)) / chars
-    cols = [F.sqrt(share("[A-Z]")), F.sqrt(share(r"[#*$%&|!]")), F.size(F.array_distinct("words")) / F.size("words") + 0.1 * F.log1p(F.size("words"))]
-    cols += [F.least(F.size(F.array_intersect("words", F.array(*map(F.lit, w)))), F.lit(3)).cast("double") for w in words.values() if w]
     tokens = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return base.select("doc_id", tokens.alias("n_tokens"), *(c.alias(f"f{i}") for i, c in enumerate(cols)))
+    words = _words(F.col("text"))
+    shape = [F.sqrt(share("[A-Z]")), F.sqrt(share(r"[#*$%&|!]")), F.size(words) / (tokens + 1), F.log1p(tokens)]
+    base = rows.select("doc_id", "text_key", tokens.alias("n_tokens"), *(c.cast("double").alias(n) for c, n in zip(shape, SHAPE, strict=True)), words.alias("words"))
+    # the empty word may already be there as what stands before the first letter
+    every = base.withColumn("word", F.explode(F.array_append(F.array_remove("words", ""), ""))).drop("words")
+    every = every.withColumn("word", F.when(F.col("word") != "", F.xxhash64("word")))
+    hits = every.join(F.broadcast(odds), "word", "left").where("word is null or w0 is not null")
+    one = F.count(F.when(F.col("word").isNull(), 1))
+    evidence = []
+    for k, name in (("w", "e"), ("h", "g")):
+        for i in range(domains):
+            evidence += [(F.coalesce(F.sum(f"{k}{i}"), F.lit(0.0)) / one).alias(f"{name}{i}s"), F.greatest(F.coalesce(F.max(f"{k}{i}"), F.lit(0.0)), F.lit(0.0)).alias(f"{name}{i}m")]
+    return hits.groupBy("doc_id", "text_key").agg(F.first("n_tokens").alias("n_tokens"), *(F.first(c).alias(c) for c in SHAPE), *evidence)
+
+
+def regression(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, scale, weights and offsets of a multinomial logistic regression with weight decay, by Newton's method with a step search."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    w, hot = np.zeros((z.shape[1], classes)), np.eye(classes)[y]
+
+    def loss(w):
+        s = z @ w
+        s = s - s.max(axis=1, keepdims=True)
+        return -((s - np.log(np.exp(s).sum(axis=1, keepdims=True))) * hot).sum() / len(x) + DECAY * (w * w).sum()
+
+    for _ in range(60):
+        s = z @ w
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        g = z.T @ (p - hot) / len(x) + 2 * DECAY * w
+        h = np.zeros((w.size, w.size))
+        for i in range(classes):
+            for j in range(classes):
+                v = p[:, i] * ((i == j) - p[:, j])
+                h[i :: classes, j :: classes] = (z * v[:, None]).T @ z / len(x)
+        step = np.linalg.solve(h + (2 * DECAY) * np.eye(w.size), g.reshape(-1)).reshape(w.shape)
+        size, now = 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
+    return mean, scale, w[:-1], w[-1]
 
 
-def posteriors(table: DataFrame, labels: DataFrame, domains: list[str]) -> list[Column]:
-    """Posterior probability columns, one for each domain, from the labelled rows of a feature table."""
-    names = [c for c in table.columns if c.startswith("f")]
-    stats = table.join(labels, "doc_id").groupBy("domain").agg(F.count("*").alias("n"), *(g(c).alias(f"{k}_{c}") for c in names for k, g in (("m", F.avg), ("v", F.var_pop))))
-    got = {r["domain"]: r for r in stats.collect()}
-    total = sum(r["n"] for r in got.values())
-    if not total:
+def posteriors(table: DataFrame, known: DataFrame, domains: list[str]) -> list[Column]:
+    """Posterior probability columns, one for each domain, by a regression on labelled rows of the feature table."""
+    labelled = table.join(known, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)))
+    got = []
+    for half in (1, None):  # the half that did not count in the odds; all rows if it lacks a domain that has labels
+        part = labelled if half is None else labelled.where(F.col("half") == half)
+        got.append(part.orderBy(F.xxhash64("doc_id", "text_key"), "doc_id").limit(FIT_DOCS).collect())
+        if half is None or {r["domain"] for r in got[0]} == {r[0] for r in known.join(table.select("doc_id"), "doc_id").select("domain").distinct().collect()}:
+            break
+    rows, name = got[-1], "g" if len(got) == 1 else "e"
+    there = [d for d in domains if d in {r["domain"] for r in rows}]
+    if not there:
         return [F.lit(1.0 / len(domains)) for _ in domains]
-    pooled = {c: sum(r["n"] * r[f"v_{c}"] for r in got.values()) / total + 1e-4 for c in names}
+    inputs = [f"{i}{k}" for i in range(len(domains)) for k in "sm"]
+    x = np.array([[*(r[c] for c in SHAPE), *(r[f"{name}{c}"] for c in inputs)] for r in rows])
+    mean, scale, w, off = regression(x, np.array([there.index(r["domain"]) for r in rows]), len(there))
     logs = []
     for d in domains:
-        if d not in got:
+        if d not in there:
             logs.append(F.lit(-1e3))
             continue
-        r, y = got[d], F.lit(math.log(got[d]["n"] / total))
-        for c in names:
-            var = (r["n"] * r[f"v_{c}"] + 20 * pooled[c]) / (r["n"] + 20) + 1e-4
-            y = y - F.pow(F.col(c) - r[f"m_{c}"], F.lit(2.0)) / (2 * var) - 0.5 * math.log(var)
+        k, y = there.index(d), F.lit(float(off[there.index(d)]))
+        for i, c in enumerate([*SHAPE, *(f"e{c}" for c in inputs)]):
+            y = y + (F.col(c) - float(mean[i])) * float(w[i, k] / scale[i])
         logs.append(y)
     top = F.greatest(*logs) if len(logs) > 1 else logs[0]
     weights = [F.exp(F.greatest(y - top, F.lit(-60.0))) for y in logs]
     return [w / sum(weights[1:], weights[0]) for w in weights]
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epochs: float | None = None, seed: int = 17) -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, p_<domain>..., rate, copies``.
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epochs: float | None = None, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, p_<domain>..., rate, copies``, then the columns ``keep`` of the input.
 
     ``weights`` are the wanted shares of tokens, and are fitted as given. The total is what makes the domain of the
     largest weight keep its tokens, so rates of scarce domains exceed 1; with ``max_epochs`` it is the largest total for
@@ -93,16 +163,20 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
     rounds the rate up with a chance equal to its fraction, by a hash of doc_id and ``seed``.
 
     Null and empty texts have no tokens; they get a rate by their posterior and weigh nothing. A null doc_id is rounded
-    by the hash of null. Repeated rows are mixed each. Without labels all posteriors are equal. Labels of unknown
+    by the hash of null. Repeated rows are mixed each; rows that share a doc_id are told apart by their texts. If the
+    rounds end before the totals meet the targets, a warning tells asked and reached shares. Without labels all posteriors are equal. Labels of unknown
     domains, null labels and null doc_ids teach nothing; a doc_id labelled twice counts with its smallest domain.
     """
     domains = sorted(weights)
     known = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = cut(features(docs, lexicon(rows, known)), "features")
+    rows = _row_keys(docs, keep)
+    odds = cut(word_odds(rows.select("doc_id", "text"), known, domains), "odds")
+    table = cut(features(rows, odds, len(domains)), "features")
     p = posteriors(table, known, domains)
-    soft = cut(table.select("doc_id", "n_tokens", *(x.alias(f"p_{d}") for x, d in zip(p, domains, strict=True))), "posteriors")
+    one = table.select("doc_id", "text_key", "n_tokens", *(x.alias(f"p_{d}") for x, d in zip(p, domains, strict=True)))
+    mine = [rows[c].eqNullSafe(one[c]) for c in ("doc_id", "text_key")]
+    soft = cut(rows.drop("text").join(one, mine[0] & mine[1]).select(rows["doc_id"], "n_tokens", *(f"p_{d}" for d in domains), "kept"), "posteriors")
     mass = [F.col("n_tokens") * F.col(f"p_{d}") for d in domains]
     likely = [F.sum(F.when(F.col(f"p_{d}") >= 0.5, F.col("n_tokens"))) for d in domains]
     first = soft.agg(F.array(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in mass), *(F.coalesce(x, F.lit(0)).cast("double") for x in likely)).alias("x")).first()["x"]
@@ -117,7 +191,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
         total = held[lead] / share[lead] if max_epochs is None else (held[asked] / share[asked]).min() * max_epochs
         target[fit] = total * share[fit]
     rate, scale = F.lit(1.0), max(float(held.sum()), 1.0)
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         live = F.when(rate > 0, 1.0).otherwise(0.0)
         sums = [F.sum(m * rate) for m in mass]
         gram = [F.sum(mass[i] * F.col(f"p_{domains[j]}") * live) for i in range(len(domains)) for j in range(i, len(domains))]
@@ -125,6 +199,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
         gap = (np.array(got[: len(domains)]) - target) / scale
         if not len(fit) or np.abs(gap[fit]).max() < TOLERANCE:
             break
+        if turn + 1 == ROUNDS:
+            logging.getLogger(__name__).warning("targets not met after %d rounds: asked %s, reached %s", ROUNDS, dict(zip(domains, target, strict=True)), dict(zip(domains, got, strict=False)))
+            break
         g, at = np.zeros((len(domains),) * 2), len(domains)
         for i in range(len(domains)):
             for j in range(i, len(domains)):
@@ -136,4 +213,5 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
         rate = F.greatest(F.lit(0.0), rate - move)
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     out = soft.withColumn("rate", rate)
-    return out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    out = out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
+    return out.select(*(c for c in out.columns if c != "kept"), *(F.col("kept")[c].alias(c) for c in keep if c != "doc_id"))
