@@ -185,13 +185,17 @@ def score(docs: DataFrame, net: Attention | None, keep: tuple[str, ...] = ()) ->
     Repeated rows are scored each; other columns are ignored; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("none_"), *keep).alias("kept"))
+    others = [c for c in keep if c not in ("doc_id", "score", "text")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("none_"), *others).alias("kept"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo, hi, data, off in text_slices(batch):
                 y = np.full(hi - lo, 0.5) if held.value is None else held.value.scores(*passages(data, off))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(y.astype(np.float64)), batch.column(2).slice(lo, hi - lo)], names=["doc_id", "score", "kept"])
+                row = batch.slice(lo, hi - lo)
+                given = [row.column(1)] if "text" in keep else []
+                yield pa.RecordBatch.from_arrays([row.column(0), pa.array(y.astype(np.float64)), *given, row.column(2)], names=["doc_id", "score", *(["text"] if given else []), "kept"])
 
-    out = StructType([*StructType.fromDDL("doc_id long, score double").fields, rows.schema["kept"]])
-    return rows.mapInArrow(run, out).select("doc_id", "score", *(F.col("kept")[c].alias(c) for c in keep if c not in ("doc_id", "score")))
+    text = ", text string" if "text" in keep else ""
+    out = StructType([*StructType.fromDDL(f"doc_id long, score double{text}").fields, rows.schema["kept"]])
+    return rows.mapInArrow(run, out).select("doc_id", "score", *(["text"] if text else []), *(F.col("kept")[c].alias(c) for c in others))
