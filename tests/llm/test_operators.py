@@ -168,26 +168,88 @@ def test_base_counts_equal_brute_force(docs, none, spark):
     assert perplexity.quality_rules(none).count() == 0
 
 
-def test_kneser_ney_sums_to_one_and_matches_brute_force():
-    data = np.frombuffer(b"the cat sat on the mat and the cat ran " * 20 + bytes(range(97, 123)), np.uint8)
-    code, count = np.unique(perplexity.grams(data, np.array([0, len(data)])), return_counts=True)
-    model = perplexity.Model(["x"], [perplexity.fit_language(code, count, 0)])
-    for context in [int(code[3]) // 48, 5 * 48**2 + 7 * 48 + 9]:
-        p = np.exp(model.log_probability(context * 48 + np.arange(48), 0))
+class PlainKneserNey:
+    """Modified Kneser-Ney by dictionaries: the last order counts documents, lower ones count what stands before; single high grams are not stored."""
+
+    def __init__(self, texts):
+        top, low, stored = perplexity.ORDER, perplexity.LOW, perplexity.STORED
+        self.count = {top: defaultdict(int)}
+        for t in texts:
+            padded = bytes(top - 1) + t
+            for g in {padded[i : i + top] for i in range(len(t))}:
+                self.count[top][g] += 1
+        for k in range(top - 1, 0, -1):
+            self.count[k] = defaultdict(int)
+            for g in self.count[k + 1]:
+                self.count[k][g[1:]] += 1
+        self.weight, self.main = {}, {}
+        for k in range(1, top + 1):
+            c = self.count[k]
+            d = perplexity._discounts(np.array([sum(v == x for v in c.values()) for x in (1, 2, 3, 4)]))
+            total, gone = defaultdict(int), defaultdict(float)
+            for g, v in c.items():
+                total[g[:-1]] += v
+                gone[g[:-1]] += d[min(v, 3)] if k <= low or v >= stored else v
+            for x in total:
+                self.weight[x] = gone[x] / total[x]
+            for g, v in c.items():
+                self.main[g] = (v - d[min(v, 3)]) / total[g[:-1]] if k <= low or v >= stored else 0.0
+
+    def p(self, g):
+        if not g:
+            return 1 / 256
+        return self.main.get(g, 0.0) + self.weight.get(g[:-1], 1.0) * self.p(g[1:])
+
+
+def kneser_ney_texts():
+    rnd = random.Random(17)
+    vocabulary = [words(rnd, 1) for _ in range(25)]
+    return [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 30))) for _ in range(40)] + ["a", "", "\n\n", "zq"]
+
+
+@pytest.mark.parametrize("shard", [8_000_000, 700])
+def test_perplexity_equals_plain_kneser_ney(spark, monkeypatch, shard):
+    monkeypatch.setattr(perplexity, "SHARD", shard)
+    texts = kneser_ney_texts()
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(100 + i, t[::-1], "xx") for i, t in enumerate(texts)] + [(500, texts[0], "en"), (500, texts[0], "en"), (501, None, None)]
+    plain = {x: PlainKneserNey([(t or "").encode() for i, t, y in rows if y == x and i < 500]) for x in ("en", "xx")}
+    seen = []
+    keep = perplexity._score
+    monkeypatch.setattr(perplexity, "_score", lambda m, x, n: seen.append(n) or keep(m, x, n))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = perplexity.score_documents(df).collect()
+    assert len(got) == len(rows) and (seen[0] > 2) == (shard == 700)
+    # copies of eight words and more count once; shorter ones, as here, each
+    counted = [t for i, t, y in rows if y == "en"]
+    once = [t for k, t in enumerate(counted) if len(t.split()) < 8 or t not in counted[:k]]
+    plain["en"] = PlainKneserNey([t.encode() for t in once])
+    for r in got:
+        t = next(t for i, t, _ in rows if i == r.doc_id) or ""
+        raw = bytes(perplexity.ORDER - 1) + t.encode()
+        want = [-np.log(plain[r.lang].p(raw[i : i + perplexity.ORDER])) for i in range(len(t.encode()))] if t else [0.0]
+        assert abs(r.log_ppl - np.mean(want)) < 2e-4, (r, np.mean(want))
+
+
+def test_kneser_ney_sums_to_one_and_the_model_grows():
+    texts = [t.encode() for t in kneser_ney_texts()]
+
+    def parts(texts):
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        key, n = np.unique(perplexity.grams(np.frombuffer(b"".join(texts), np.uint8), off, np.ones(len(texts), int)), return_counts=True)
+        tables = {perplexity.ORDER: (key, n)}
+        for k in range(perplexity.ORDER - 1, perplexity.LOW - 1, -1):
+            g = tables[k + 1][0]
+            tables[k] = np.unique((g >> 8 * (k + 1)) << 8 * k | g & ((1 << 8 * k) - 1), return_counts=True)
+        discounts = {k: np.array([np.zeros(4), perplexity._discounts(np.bincount(np.minimum(tables[k][1], 5), minlength=6)[1:5])]) for k in range(perplexity.LOW + 1, perplexity.ORDER + 1)}
+        low, entries = perplexity.fit_low(*tables[perplexity.LOW], 2)
+        high = perplexity.fit_high(key, n, low, discounts)
+        return key, perplexity.Model(np.concatenate([entries[0], high[0]]), np.concatenate([entries[1], high[1]]))
+
+    key, model = parts(texts)
+    for context in (int(key[len(key) // 2]) & ~255, int(key[0]) & ~255, (1 << 48) | int.from_bytes(b"\x07xyz ", "big") << 8):
+        p = np.exp(model.log_probability(context + np.arange(256)))
         assert abs(p.sum() - 1) < 1e-5 and (p > 0).all()
-    # highest order by hand: (c - D) / total + weight x the lower order's probability
-    d = perplexity._discounts(count)
-    g = int(code[np.argmax(count)])
-    same = code // 48 == g // 48
-    lower = np.exp(model._find(perplexity.PROBABILITY, 3, np.array([g % 48**3]), 0)[0][0])
-    want = (count.max() - d[min(count.max(), 3)]) / count[same].sum() + d[np.minimum(count[same], 3)].sum() / count[same].sum() * lower
-    assert abs(np.exp(model.log_probability(np.array([g]), 0)[0]) - want) < 1e-5
-
-
-def test_packs_of_languages_give_the_same_scores(docs, monkeypatch):
-    want = {(r.doc_id, r.log_ppl) for r in perplexity.score_documents(docs).collect()}
-    monkeypatch.setattr(perplexity, "PACK_GRAMS", 1)
-    assert {(r.doc_id, r.log_ppl) for r in perplexity.score_documents(docs).collect()} == want
+    assert len(model.keys) > 1.5 * len(parts(texts[:10])[1].keys)
 
 
 def test_bands_reject_most_bad_documents_and_keep_good_ones(spark):
@@ -505,12 +567,61 @@ def test_mixing_meets_targets(spark, docs, none):
     assert abs(got[0] / got.sum() - 0.8) < 0.01 and (out.rate >= 0).all() and (out.copies >= np.floor(out.rate)).all()
     right = labels.toPandas().set_index("doc_id").domain
     assert np.mean([(p > 0.5) == (right[i] == "good") for i, p in zip(out.doc_id, out.p_good, strict=True)]) > 0.95
-    odd = soft_mixing.mix(docs, labels, {"good": 0.8, "bad": 0.2}).collect()
-    assert len(odd) == len(odd_docs()) and soft_mixing.mix(none, labels, {"good": 1.0}).count() == 0
+    odd = soft_mixing.mix(docs, labels, {"good": 0.8, "bad": 0.2}, keep=("node", "key")).collect()
+    assert sorted(str((r.doc_id, r.node, r.key)) for r in odd) == sorted(str((r[0], r[3], r[5])) for r in odd_docs())
+    assert soft_mixing.mix(none, labels, {"good": 1.0}).count() == 0
+    equal = soft_mixing.mix(rows, labels.limit(0), {"good": 0.8, "bad": 0.2}).collect()
+    assert len(equal) == rows.count() and all(r.p_good == r.p_bad == 0.5 for r in equal)
     plan = soft_mixing.mix(rows, labels, {"good": 0.8, "bad": 0.2})._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapInArrow", plan)
 
 
+def test_posteriors_tell_domains_by_few_words_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), queries.domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    half = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    out = soft_mixing.mix(documents, labels.where(~half), queries.WEIGHTS).join(labels.where(half), "doc_id").toPandas()
+    for d in queries.WEIGHTS:
+        mine = out[out.domain == d]
+        assert (mine.n_tokens * mine[f"p_{d}"]).sum() / mine.n_tokens.sum() > 0.8, d
+
+
+def test_odds_evidence_and_rates_equal_brute_force(spark):
+    rows = labelled(spark)
+    given = rows.toPandas()
+    given["domain"] = np.where(given.label == 1, "good", "bad")
+    known = spark.createDataFrame(given[given.doc_id % 2 == 0][["doc_id", "domain"]])
+    domains = ["bad", "good"]
+    text = soft_mixing._row_keys(rows, ())
+    odds = soft_mixing.word_odds(text.select("doc_id", "text"), known, domains)
+    distinct = {r.doc_id: set(re.split(r"[^a-zA-Zé]+", r.text.lower())) for r in given.itertuples()}
+    here = given[given.doc_id % 2 == 0]
+    n = {d: (here.domain == d).sum() for d in domains}
+    hits = defaultdict(lambda: defaultdict(int))
+    for r in here.itertuples():
+        for w in distinct[r.doc_id]:
+            if 2 <= len(w) <= 40:
+                hits[w][r.domain] += 1
+    want = {}
+    for w, c in hits.items():
+        if sum(c.values()) >= soft_mixing.LEAST_DOCS:
+            o = [np.log((c[d] + 10 * n[d] / len(here)) / (sum(c.values()) + 10) / (n[d] / len(here))) for d in domains]
+            o = [x if abs(x) >= 0.5 else 0.0 for x in o]
+            if any(o):
+                want[w] = o
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in want], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    assert {r.word: pytest.approx([r.w0, r.w1]) for r in odds.collect()} == {hashed[w]: o for w, o in want.items()}
+    for r in soft_mixing.features(text, odds, 2).collect():
+        mine = [want[w] for w in distinct[r.doc_id] if w in want]
+        for i in (0, 1):
+            assert r[f"e{i}s"] == pytest.approx(sum(o[i] for o in mine)) and r[f"e{i}m"] == pytest.approx(max([0.0, *(o[i] for o in mine)]))
+    # the rates are a fixed point of the projected gradient: totals met, so no step is left
+    out = soft_mixing.mix(rows, known, {"good": 0.7, "bad": 0.3}).toPandas()
+    total = np.array([(out.n_tokens * out[f"p_{d}"] * out.rate).sum() for d in ("good", "bad")])
+    keeps = (out.n_tokens * out.p_good).sum()
+    assert np.allclose(total, [keeps, keeps * 3 / 7], rtol=1e-3) and out.rate.min() >= 0
+
+
 def test_mixing_meets_the_weights_of_a_scarce_domain(spark):
     rows = labelled(spark)
     labels = rows.select("doc_id", F.when(F.col("label") == 1, "good").otherwise("bad").alias("domain"))
@@ -531,11 +642,57 @@ def test_mixing_meets_the_weights_of_a_scarce_domain(spark):
 def test_pipeline_emits_each_document_copies_times(spark, monkeypatch):
     import corpus_pipeline
 
-    rates = spark.createDataFrame([(1, 0), (2, 1), (3, 3), (None, 0)], "doc_id long, copies long")
-    monkeypatch.setattr(soft_mixing, "mix", lambda *_: rates)
-    docs = spark.createDataFrame([(i, f"t{i}", "en", "s", 2) for i in (1, 2, 3, None)], "doc_id long, text string, lang string, source string, n_chars int")
+    copies = {"a": 0, "b": 1, "c": 3, "d": 2, "e": 0}
+    docs = spark.createDataFrame([(1, "a", "en", "s", 2), (2, "b", "en", "s", 2), (3, "c", "en", "s", 2), (3, "d", "en", "s", 2), (None, "e", "en", "s", 2)], "doc_id long, text string, lang string, source string, n_chars int")
+    rate = F.create_map(*(F.lit(x) for kv in copies.items() for x in kv))
+    monkeypatch.setattr(soft_mixing, "mix", lambda d, *_, keep: d.select("doc_id", *keep, rate[F.col("text")].cast("long").alias("copies")))
     got = corpus_pipeline.mixing(spark, docs, "/root/testdata/sf0.001").collect()
-    assert sorted(str(r.doc_id) for r in got) == ["2", "3", "3", "3", "None"] and all(r.text == f"t{r.doc_id}" for r in got)
+    assert sorted(r.text for r in got) == ["b", "c", "c", "c", "d", "d", "e"] and all(r.n_chars == 2 for r in got)
+
+
+def test_pipeline_stages_equal_brute_force_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    real = spark.read.parquet(f"{sf}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    rnd = random.Random(77)
+    base, passage = words(rnd, 120), words(rnd, 60)
+    odd = [(1, base), (1, passage + " " + words(rnd, 60)), (2, base + " end"), (2, words(rnd, 40) + " " + passage), (3, None), (3, ""), (None, base), (None, None), (4, "$$$ ### " * 60), (5, base), (5, base), (6, words(rnd, 3000))]
+    extra = spark.createDataFrame([(i, t, None, "odd", k) for k, (i, t) in enumerate(odd)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = real.unionByName(extra.select([F.col(f.name).cast(f.dataType) for f in real.schema]))
+    plain = lambda df: sorted(map(str, df.select(*corpus_pipeline.COLUMNS).collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        rows = docs.withColumn("key", F.xxhash64("text")).collect()
+        out = stage(spark, docs, sf)
+        if name == "quality":
+            labels = queries.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+            net = attention_mil.train(docs.where(~queries.held_out()), labels)
+            score = {(r.doc_id, r.text): r.score for r in attention_mil.score(docs, net, keep=("text",)).collect()}
+            assert plain(out) == plain(docs) if net is None else sorted(str(tuple(r)) for r in out.collect()) == sorted(str(tuple(r)[:5]) for r in rows if score[r.doc_id, r.text] >= 0.5)
+        elif name == "near_duplicates":
+            sets = [shingles(r.text) for r in rows]
+            group = components(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and rows[a].doc_id is not None and rows[b].doc_id is not None and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+            first = {}
+            for k, r in enumerate(rows):
+                if r.doc_id is not None and sets[k]:
+                    first[group[k]] = min(first.get(group[k], (r.doc_id, r.key, r.text)), (r.doc_id, r.key, r.text))
+            want = [(r.doc_id, r.text) for k, r in enumerate(rows) if r.doc_id is None or not sets[k]] + [(i, t) for i, _, t in first.values()]
+            assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
+        elif name == "repeated_passages":
+            cleaned = repeats_brute_force([((r.doc_id, r.text), r.key) for r in rows])
+            want = [(i, t) for r, (i, t) in zip(rows, cleaned, strict=True) if t == r.text or WORD.search(t)]
+            assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want)) and all(r.text is None or r.source == "odd" or r.n_chars == len(r.text) for r in out.collect())
+        elif name == "mixing":
+            rates = soft_mixing.mix(docs, queries.domains(queries.table(spark, sf, "labels")), queries.WEIGHTS, keep=("text",)).collect()
+            want = [(r.doc_id, r.text) for r in rates for _ in range(r.copies if r.doc_id is not None else 1)]
+            assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
+        else:
+            digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+            assert sorted(str((r.doc_id, r.decoded_sha256)) for r in out.collect()) == sorted(str((r.doc_id, digest(r.text))) for r in rows)
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        if name != "tokens":
+            out.write.parquet(f"file://{tmp_path}/{name}")
+            docs = spark.read.parquet(f"file://{tmp_path}/{name}")
 
 
 def test_pipeline_stages_keep_columns_and_drop_what_they_should(spark, tmp_path):
