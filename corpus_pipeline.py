@@ -16,36 +16,48 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of at least 0.5. Rows of one doc_id go only if all of them score lower."""
+    """Rows with a score of at least 0.5, each by its own text.
+
+    Null and empty texts are scored as texts without words; without labels of both classes every row stays. Rows with a null
+    doc_id are scored and never learned from. An empty table gives no rows.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     net = attention_mil.train(docs.where(~held_out()), labels)
-    bad = attention_mil.score(docs, net).groupBy("doc_id").agg(F.max("score").alias("score")).where("score < 0.5 and doc_id is not null").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    scored = attention_mil.score(docs.withColumn("given_id", F.col("doc_id")), net, keep=("given_id", *COLUMNS[1:])).where("score >= 0.5")
+    return scored.select(F.col("given_id").alias("doc_id"), *COLUMNS[1:])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    gone = setsketch.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies: the first by doc_id and text hash. Rows that share a doc_id are judged by their texts.
+
+    Rows without words and rows with a null doc_id stay. Of rows equal in doc_id and text one stays.
+    """
+    return setsketch.drop_near_duplicates(docs.select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier one holds; those left without any word go."""
-    out = cdc_dedup.remove_repeats(docs).select("doc_id", "text", "removed_chars").where("removed_chars > 0").dropDuplicates(["doc_id"])
-    out = out.select("doc_id", F.col("text").alias("new_text"))
-    docs = docs.join(out, "doc_id", "left")
-    text = F.coalesce("new_text", "text")
-    changed = F.col("new_text").isNotNull()
-    docs = docs.where(~changed | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select("doc_id", text.alias("text"), "lang", "source", F.when(changed, F.length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+    """Documents without passages that an earlier one holds; those left without any word go.
+
+    Every row is cut by its own text, also where rows share a doc_id. Null texts and rows with a null doc_id stay as they are.
+    """
+    kind = docs.schema["n_chars"].dataType
+    out = cdc_dedup.remove_repeats(docs.withColumn("given_id", F.col("doc_id")), keep=("given_id", "lang", "source", "n_chars"))
+    changed = F.col("removed_chars") > 0
+    out = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return out.select(F.col("given_id").alias("doc_id"), "text", "lang", "source", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their copies say, each copy a row. Of a doc_id's rows the least copies hold for all; null doc_ids stay once."""
-    rates = soft_mixing.mix(docs, domains(table(spark, sf_dir, "labels")), WEIGHTS)
-    other = rates.where("doc_id is not null").groupBy("doc_id").agg(F.min("copies").alias("copies")).where("copies <> 1")
+    """Every row as often as its copies say, each copy a row.
+
+    Rows that share a doc_id are rated by their texts. Null texts weigh nothing and are emitted by their rate; rows with a null
+    doc_id stay once.
+    """
+    rates = soft_mixing.mix(docs.withColumn("key", F.xxhash64("text")), domains(table(spark, sf_dir, "labels")), WEIGHTS, keep=("key",))
+    other = rates.where("doc_id is not null and copies <> 1").select(F.col("doc_id").alias("mixed_id"), F.col("key").alias("mixed_key"), "copies").distinct()
+    mine = (docs["doc_id"].cast("long") == other["mixed_id"]) & (F.xxhash64(docs["text"]) == other["mixed_key"])
     times = F.coalesce("copies", F.lit(1)).cast("int")
-    return docs.join(other, "doc_id", "left").select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select(*COLUMNS)
+    return docs.join(other, mine, "left").select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
