@@ -1,6 +1,6 @@
 """Mixing documents to target domain weights with soft memberships, in DataFrame functions only.
 
-A table of labelled documents (doc_id, domain) trains the classifier: shrunken log odds of hashed words, counted over all
+A table of labelled documents (doc_id, domain) trains the classifier: shrunken log odds of hashed words, counted over
 labelled documents, tell each document's word evidence for every domain (its sum and its strongest word); with a few rates of
 shape they go into a multinomial logistic regression, which gives every document posterior domain probabilities. The
 regression is fitted on documents that did not count in the odds it is shown. Nonnegative rates are then fitted by
@@ -9,8 +9,9 @@ posterior, and the targets. The step's metric is the inverse Gram matrix of the
 x domains), so few rounds suffice. Each round is one aggregation over a narrow numeric table; only sums over all documents
 come to the driver.
 
-Bounds of the model: the ``WORDS`` words of the largest odds, 8 bytes and two odds a domain each; ``FIT_DOCS`` labelled
-documents, by smallest hash, for the regression. Word counts, features, posteriors and rates cover all documents.
+Bounds of the model, always of the smallest hashes of doc_id: ``ODDS_DOCS`` labelled documents for the odds, whose labels are
+broadcast so that no text is shuffled; ``FIT_DOCS`` of them for the regression; and the ``WORDS`` words of the largest odds, 8 bytes
+and two odds a domain each. Features, posteriors and rates cover all documents.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from folioforge.storage import cut
 
-#: Words of the model at most, the least number of labelled documents that hold one, and the labelled documents that the regression is fitted on, at most.
-WORDS, LEAST_DOCS, FIT_DOCS = 1 << 16, 4, 8_000
+#: Words of the model at most, the least number of labelled documents that hold one, and labelled documents for odds and regression, at most.
+WORDS, LEAST_DOCS, ODDS_DOCS, FIT_DOCS = 1 << 16, 4, 1 << 18, 8_000
 #: Weight of the prior share in a word's odds, in documents; odds nearer to 0 than ``STRONG`` tell nothing.
 SHRINK, STRONG = 10.0, 0.5
 #: Weight decay of the regression.
@@ -43,13 +44,13 @@ def _row_keys(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 
 def word_odds(rows: DataFrame, known: DataFrame, domains: list[str]) -> DataFrame:
-    """``word`` (64-bit hash) and odds ``w0, w1, ...`` of each domain from all labelled rows, ``h0, ...`` from one half of them.
+    """``word`` (64-bit hash) and odds ``w0, w1, ...`` of each domain from the rows of ``known`` documents (at most ``ODDS_DOCS``), ``h0, ...`` from one half of them.
 
     Odds of a word are log((n_d + SHRINK x prior_d) / (n + SHRINK) / prior_d), where n_d of the n labelled documents that hold it
     are of domain d; weak ones are 0. A row that repeats counts as often as it is there.
     """
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    held = rows.join(known, "doc_id")
+    held = rows.join(F.broadcast(known), "doc_id")
     count = lambda on: [F.count(F.when((F.col("domain") == d) & on, 1)) for d in domains]
     both = [c.alias(f"{k}{i}") for k, on in (("n", F.lit(True)), ("m", F.col("half") == 0)) for i, c in enumerate(count(on))]
     total = held.select("domain", half.alias("half")).agg(*both).first()
@@ -171,7 +172,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
     known = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("domain").alias("domain"))
     rows = _row_keys(docs, keep)
-    odds = cut(word_odds(rows.select("doc_id", "text"), known, domains), "odds")
+    chosen = cut(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ODDS_DOCS), "chosen")
+    odds = cut(word_odds(rows.select("doc_id", "text"), chosen, domains), "odds")
     table = cut(features(rows, odds, len(domains)), "features")
     p = posteriors(table, known, domains)
     one = table.select("doc_id", "text_key", "n_tokens", *(x.alias(f"p_{d}") for x, d in zip(p, domains, strict=True)))
