@@ -46,7 +46,7 @@ from folioforge.storage import cut
 ROWS, BANDS = 4, 32
 M = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 2**15 - 2
-BLOCK, PAIRS = 512, 8192
+BLOCK, PAIRS = 128, 8192
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is dropped.
 SLACK = 8.0
 #: Partners of a member that the first pass over mixed buckets verifies.
@@ -190,19 +190,22 @@ def _compared(t: pa.Table, within: bool, percent: int) -> tuple[np.ndarray, np.n
     """
     node, comp, n, part = (t.column(c).to_numpy() for c in ("node", "component", "n", "part"))
     regs, hub = _matrix(t.column("regs").combine_chunks()), t.column("hub")[0].as_py()
-    rows = [np.flatnonzero((part == k) & (node != hub)) for k in (0, 1)]
-    out = []
-    for k, i in enumerate(rows[0].tolist()):
-        other = rows[0][k + 1 :] if within else rows[1]
-        other = other[comp[other] != comp[i]]
-        for lo in range(0, len(other), PAIRS):
-            j = other[lo : lo + PAIRS]
-            ok = passes(regs[i], regs[j], n[i], n[j], percent / 100)
-            if ok.any():
-                out.append((np.full(int(ok.sum()), i), j[ok], (regs[i] == regs[j[ok]]).sum(axis=1)))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    left, right = (np.flatnonzero((part == k) & (node != hub)) for k in (0, 1))
+    if within:
+        i, j = np.triu_indices(len(left), 1)
+        i, j = left[i], left[j]
+    else:
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+    apart = comp[i] != comp[j]
+    i, j = i[apart], j[apart]
+    near = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent  # sizes alone rule most strangers out
+    i, j = i[near], j[near]
+    ok, equal = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
+    for lo in range(0, len(i), PAIRS):
+        at = slice(lo, lo + PAIRS)
+        a, b = regs[i[at]], regs[j[at]]
+        ok[at], equal[at] = passes(a, b, n[i[at]], n[j[at]], percent / 100), (a == b).sum(axis=1)
+    return i[ok], j[ok], equal[ok]
 
 
 def _tasks(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple]:
