@@ -30,6 +30,9 @@ WORDS, LEAST_DOCS, ODDS_DOCS, FIT_DOCS = 1 << 16, 4, 1 << 18, 8_000
 SHRINK, STRONG = 10.0, 0.5
 #: Weight decay of the regression.
 DECAY = 1e-4
+#: Times that the tokens of documents sure to be of a domain may count towards its target. Published trials of training on
+#: repeated data find no further gain beyond about so many epochs.
+MOST_EPOCHS = 16.0
 ROUNDS, TOLERANCE = 50, 1e-4
 SHAPE = ("s0", "s1", "s2", "s3")
 
@@ -153,14 +156,14 @@ def posteriors(table: DataFrame, known: DataFrame, domains: list[str]) -> list[C
     return [w / sum(weights[1:], weights[0]) for w in weights]
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epochs: float | None = None, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epochs: float | None = None, seed: int = 17, most_epochs: float = MOST_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, p_<domain>..., rate, copies``, then the columns ``keep`` of the input.
 
-    ``weights`` are the wanted shares of tokens, and are fitted as given. The total is what makes the domain of the
-    largest weight keep its tokens, so rates of scarce domains exceed 1; with ``max_epochs`` it is the largest total for
-    which no domain needs more than so many times the tokens that it is expected to hold. A domain that no document
-    belongs to with a probability of half or more cannot be met: it is left out with a warning, and the others keep
-    their proportions. ``copies``
+    ``weights`` are the wanted shares of tokens. The total is what makes the domain of the largest weight keep its tokens, so
+    rates of scarce domains exceed 1; with ``max_epochs`` it is the largest total for which no domain needs more than so
+    many times the tokens that it is expected to hold. A domain's target is at most ``most_epochs`` times the tokens that
+    documents with a probability of half or more bring it, and once what others do; where that cuts a share, a
+    warning tells the asked and the reached one, and the other domains' totals stay as they were. ``copies``
     rounds the rate up with a chance equal to its fraction, by a hash of doc_id and ``seed``.
 
     Null and empty texts have no tokens; they get a rate by their posterior and weigh nothing. A null doc_id is rounded
@@ -180,18 +183,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
     mine = [rows[c].eqNullSafe(one[c]) for c in ("doc_id", "text_key")]
     soft = cut(rows.drop("text").join(one, mine[0] & mine[1]).select(rows["doc_id"], "n_tokens", *(f"p_{d}" for d in domains), "kept"), "posteriors")
     mass = [F.col("n_tokens") * F.col(f"p_{d}") for d in domains]
-    likely = [F.sum(F.when(F.col(f"p_{d}") >= 0.5, F.col("n_tokens"))) for d in domains]
-    first = soft.agg(F.array(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in mass), *(F.coalesce(x, F.lit(0)).cast("double") for x in likely)).alias("x")).first()["x"]
+    likely = [F.sum(F.when(F.col(f"p_{d}") >= 0.5, m)) for d, m in zip(domains, mass, strict=True)]
+    first = soft.agg(F.array(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in mass), *(F.coalesce(x, F.lit(0.0)) for x in likely)).alias("x")).first()["x"]
     held, sure = np.array(first[: len(domains)]), np.array(first[len(domains) :])
     share = np.array([weights[d] for d in domains]) / sum(weights.values())
-    fit = np.flatnonzero((share == 0) | (sure > 0))
-    if len(fit) < len(domains) and held.sum():
-        logging.getLogger(__name__).warning("no documents for the wanted share of: %s", ", ".join(f"{d} {w:.4g}" for i, (d, w) in enumerate(zip(domains, share, strict=True)) if i not in fit))
-    target, asked = held.copy(), fit[share[fit] > 0]
-    if len(asked):
-        lead = asked[share[asked].argmax()]
-        total = held[lead] / share[lead] if max_epochs is None else (held[asked] / share[asked]).min() * max_epochs
-        target[fit] = total * share[fit]
+    lead = share.argmax()
+    asked = share * (held[lead] / share[lead] if max_epochs is None else (held[share > 0] / share[share > 0]).min() * max_epochs)
+    target = np.minimum(asked, most_epochs * sure + held - sure)
+    for i in np.flatnonzero(target < asked * (1 - TOLERANCE)):
+        logging.getLogger(__name__).warning("%s: asked a share of %.4g, reached %.4g, as documents count %g times at most", domains[i], share[i], target[i] / max(target.sum(), 1.0), most_epochs)
     rate, scale = F.lit(1.0), max(float(held.sum()), 1.0)
     for turn in range(ROUNDS):
         live = F.when(rate > 0, 1.0).otherwise(0.0)
@@ -199,7 +199,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
         gram = [F.sum(mass[i] * F.col(f"p_{domains[j]}") * live) for i in range(len(domains)) for j in range(i, len(domains))]
         got = soft.agg(F.array(*(F.coalesce(x, F.lit(0.0)) for x in sums + gram)).alias("x")).first()["x"]
         gap = (np.array(got[: len(domains)]) - target) / scale
-        if not len(fit) or np.abs(gap[fit]).max() < TOLERANCE:
+        if np.abs(gap).max() < TOLERANCE:
             break
         if turn + 1 == ROUNDS:
             logging.getLogger(__name__).warning("targets not met after %d rounds: asked %s, reached %s", ROUNDS, dict(zip(domains, target, strict=True)), dict(zip(domains, got, strict=False)))
@@ -209,8 +209,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
             for j in range(i, len(domains)):
                 g[i, j] = g[j, i] = got[at] / scale
                 at += 1
-        step = np.zeros(len(domains))
-        step[fit] = np.linalg.solve(g[np.ix_(fit, fit)] + 1e-9 * np.eye(len(fit)), gap[fit])
+        step = np.linalg.solve(g + 1e-9 * np.eye(len(domains)), gap)
         move = sum((F.col(f"p_{d}") * float(s) for d, s in zip(domains[1:], step[1:], strict=True)), F.col(f"p_{domains[0]}") * float(step[0]))
         rate = F.greatest(F.lit(0.0), rate - move)
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)

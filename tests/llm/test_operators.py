@@ -634,6 +634,10 @@ def test_mixing_meets_the_weights_of_a_scarce_domain(spark):
     once = soft_mixing.mix(few, labels, {"good": 0.6, "bad": 0.4}, max_epochs=1.0).toPandas()
     got = np.array([(once.n_tokens * once[f"p_{d}"] * once.rate).sum() for d in ("good", "bad")])
     assert abs(got[0] / got.sum() - 0.6) < 0.01 and once.rate.max() < 1.1
+    scarce = soft_mixing.mix(few, labels, {"good": 0.6, "bad": 0.4}, most_epochs=4.0).toPandas()
+    sure = scarce[scarce.p_bad >= 0.5]
+    assert abs((sure.n_tokens * sure.p_bad * (sure.rate - 4)).sum()) < 0.02 * (sure.n_tokens * sure.p_bad).sum() and scarce.rate.max() < 4.2
+    assert abs((scarce.n_tokens * scarce.p_good * (scarce.rate - 1)).sum()) < 0.001 * scarce.n_tokens.sum()
     absent = soft_mixing.mix(rows, labels, {"good": 0.7, "bad": 0.2, "none": 0.1}).toPandas()
     got = np.array([(absent.n_tokens * absent[f"p_{d}"] * absent.rate).sum() for d in ("good", "bad")])
     assert abs(got[0] / got.sum() - 7 / 9) < 0.01 and absent.copies.max() < 100
