@@ -266,7 +266,11 @@ def r04_bm25(spark, sf):
     return retrieval.bm25(table(spark, sf, "documents"), _asked(spark, sf))
 
 
-@query(f"WITH {SQL_BM25} SELECT term, round(idf, 6) AS idf FROM idf")
+@query(
+    r"""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), n AS (SELECT count(*) AS n FROM tok),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY term), raw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df, n)
+SELECT term, round(CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM raw) ELSE idf END, 6) AS idf FROM raw"""
+)
 def a19_inverse_frequencies(spark, sf):
     return retrieval.inverse_frequencies(table(spark, sf, "documents")).withColumn("idf", F.round("idf", 6))
 
@@ -428,9 +432,14 @@ def w08_drop_repeated_lines(spark, sf):
     return links.drop_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, true AS allowed, [t] AS held FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, event_id, n, len(k) < 2, CASE WHEN len(k) < 2 THEN list_append(k, t) ELSE k END FROM (SELECT e.*, list_filter(f.held, lambda x: e.t - x <= 3600000000) AS k FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1))
+SELECT event_id, user_id, allowed FROM f"""
+)
 def z03_rate_limit(spark, sf):
-    """Z-03: a stateful fold that plain SQL cannot express; tested against brute force."""
+    """Z-03: a stateful fold; the SQL walks each user's events one by one."""
     return state.rate_limit(table(spark, sf, "events"), limit=2, seconds=3600)
 
 

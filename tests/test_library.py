@@ -4,9 +4,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.functions import cascades, rules, text
-from folioforge.operators import catalog, chunking, evaluation, links, retrieval, versions
-from folioforge.plans import registry
+from folioforge.functions import cascades, rules, text, web
+from folioforge.operators import catalog, chunking, evaluation, links, reports, retrieval, versions
+from folioforge.plans import governance, pages, registry  # noqa: F401
 from folioforge.sources import tables
 from folioforge.streaming import state
 
@@ -238,3 +238,35 @@ def test_published_prefers_priority_and_sees_conflicts(spark):
     rows = [(1, 2, 0, "2020-01-01", 0.95), (1, 0, 1, "2021-01-01", 0.95), (2, 0, 1, "2020-01-01", 0.95), (2, 0, 0, "2022-01-01", 0.5)]
     got = catalog.published(spark.createDataFrame(rows, "doc_id long, priority int, pos int, date string, confidence double")).collect()
     assert sorted(map(tuple, got)) == [(1, "2021-01-01", True), (2, "2022-01-01", False)]
+
+
+def test_web_functions_on_odd_values(spark):
+    odd = spark.createDataFrame([(None,), ("",), (" x ",)], "c string")
+    c = F.col("c")
+    got = odd.select(
+        web.slug(c).alias("slug"), web.account_url(c).alias("account"), web.next_list_page(c).alias("next"), web.next_page_query(c).alias("query"), web.viewer_target(c, F.lit("http://h/")).alias("viewer"), web.traceable(c).alias("traceable"),
+        web.normal_date(c).alias("date"), web.file_date(c).alias("file"), web.revision_year(c).alias("year"), web.poor_title(c, ("x",)).alias("poor"), web.portal_kind(c, c).alias("portal"), web.total_pages(c).alias("pages"),
+        web.url_name(c).alias("name"), web.client_key(c, c).alias("client"), web.topic_key(c, c, c, versions.policy_name).alias("topic"), web.strictly_newer(c, c).alias("newer"), web.epoch_date(F.lit(None).cast("long")).alias("day"),
+    ).collect()
+    assert [r.slug for r in got] == [None, "untitled", "x"] and all(r.next is None and r.query is None and r.viewer is None for r in got)
+    assert all(r.account.startswith("https://mp.weixin.qq.com/") and not r.traceable and r.date == r.file == "unknown" and r.year is None and r.poor for r in got)
+    assert all(r.portal == "generic" and r.pages == 0 and not r.newer and r.day == "1970-01-01" for r in got)
+    assert [r.client for r in got] == ["unknown", "", "x"] and [r.topic for r in got] == ["unknown.topic", "unknown.topic", "x"]
+    assert one(spark, web.slug(F.col("v")), v="Ａｂ　ｃ！") == "ab-c"
+    assert one(spark, web.join_url(F.lit("http://h.x/a/b.htm?q=/z"), F.col("v")), v="c.pdf") == "http://h.x/a/c.pdf"
+
+
+def test_guards_refuse_what_does_not_fit(spark):
+    ids = spark.createDataFrame([(1,), (2,)], "question_id long")
+    twice = spark.createDataFrame([(1, "answered"), (1, "refused")], "question_id long, status string")
+    strange = spark.createDataFrame([(9, "answered")], "question_id long, status string")
+    for answers in (twice, strange):
+        with pytest.raises(ValueError):
+            reports.merge_answers(ids, answers)
+    for done in (twice, spark.createDataFrame([(1, "odd")], "question_id long, status string")):
+        with pytest.raises(ValueError):
+            reports.resumed(ids, done, ("answered", "refused"))
+    with pytest.raises(Exception, match="unknown collection"):
+        ids.select(reports.collection_names(F.lit("odd"), {"a": "b"})).collect()
+    rates = spark.createDataFrame([(0, None, None, None), (3, None, 0.5, 1.0), (3, 0.9, None, 0.2)], "n int, hit_rate double, refusal_rate double, answer_rate double")
+    assert [r.failures for r in reports.gate_failures(rates, 0.8, 0.8).collect()] == [["empty"], ["no_answerable", "refusal_rate"], ["no_refusable", "answer_rate"]]
