@@ -145,10 +145,32 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(table(spark, sf_dir, "documents"))
 
 
+#: Groups of reachable ids by a walk along the links; for small tables.
+SQL_REACH = """r(id, c) AS (SELECT id, id FROM ids UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a), g AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)"""
+SQL_OP8 = (
+    r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), ids AS (SELECT doc_id AS id FROM documents), """
+    + SQL_REACH
+    + " SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept FROM documents d JOIN g ON g.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"
+)
+
+
 def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+SQL_OP9 = (
+    """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+d AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), ids AS (SELECT vec_id AS id FROM embeddings), """
+    + SQL_REACH
+    + " SELECT v.vec_id, coalesce(d.n_links, 0) AS n_links, g.component_id, v.vec_id = g.component_id AS kept FROM v JOIN g ON g.id = v.vec_id LEFT JOIN d ON d.a = v.vec_id"
+)
+
+
 def op9_collision_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_lsh.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -163,4 +185,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_events": SQL_OP4, "op6_warc_revisit": SQL_OP6}
+    return {"op4_chat_events": SQL_OP4, "op6_warc_revisit": SQL_OP6, "op8_setsketch": SQL_OP8, "op9_collision_lsh": SQL_OP9}

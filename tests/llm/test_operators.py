@@ -712,3 +712,16 @@ def test_pipeline_stages_keep_columns_and_drop_what_they_should(spark, tmp_path)
         before, kept = kept, spark.read.parquet(f"file://{tmp_path}/{name}")
         assert kept.join(before, "doc_id", "left_anti").count() == 0 and 0 < kept.count() <= before.count()
     assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() == kept.count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations", "embeddings"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    got, want = queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(queries.oracle_sql()[name]).fetch_df()
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    plain = lambda df: sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in df[sorted(df.columns)].astype(object).where(df.notna(), None).itertuples(index=False))
+    assert [[x.removesuffix(".0") for x in r] for r in plain(got)] == [[x.removesuffix(".0") for x in r] for r in plain(want)]
