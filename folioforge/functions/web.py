@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from folioforge.functions.text import collapse, squash, strip
 
@@ -58,7 +59,7 @@ VERSION_NOISE = "（[^）]*(?:修订|试行|暂行)[^）]*）|(?:19|20)\\d{2}\\s
 EXTENSION = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Text in compatibility form; no built-in does it."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
