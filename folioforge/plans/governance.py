@@ -10,12 +10,15 @@ from folioforge.plans import views
 from folioforge.plans.registry import query
 from folioforge.plans.views import SQL_CATALOG, table
 
-I = F.col("doc_id")  # noqa: E741
 COLLECTION = "CASE WHEN document_kind IN ('policy','procedure','annual_notice','form','manual','service_guide') AND {r} = 'historical' THEN 'historical' WHEN {r} <> 'active' THEN NULL WHEN document_kind IN ('policy','procedure','faq','annual_notice','form','manual','service_guide') THEN 'main_qa' WHEN document_kind = 'public_list' THEN 'public_list' END"
 
 
-def _pick(values: tuple, of=I) -> F.Column:
-    return F.element_at(F.array(*map(F.lit, values)), (of % len(values) + 1).cast("int"))
+def _id() -> F.Column:
+    return F.col("doc_id")
+
+
+def _pick(values: tuple) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, values)), (_id() % len(values) + 1).cast("int"))
 
 
 def _sql(values: tuple, of: str = "doc_id") -> str:
@@ -39,7 +42,7 @@ SELECT topic, count(*) AS discovered, count(*) FILTER (ok) AS accepted, count(*)
   count(*) FILTER (NOT ok AND reason IN ('duplicate', 'duplicate_text_hash')) AS duplicate, count(*) FILTER (NOT ok AND reason IN ('', 'too_short')) AS other_rejected FROM d GROUP BY topic"""
 )
 def a14_topic_stats(spark, sf):
-    rows = table(spark, sf, "documents").select(_pick(("admission", "", "exam")).alias("topic"), F.when(I % 4 == 0, "accept").otherwise("reject").alias("decision"), _pick(REASONS).alias("reason"), F.when(I % 8 == 0, "historical").alias("retention"))
+    rows = table(spark, sf, "documents").select(_pick(("admission", "", "exam")).alias("topic"), F.when(_id() % 4 == 0, "accept").otherwise("reject").alias("decision"), _pick(REASONS).alias("reason"), F.when(_id() % 8 == 0, "historical").alias("retention"))
     return reports.topic_stats(rows)
 
 
@@ -49,13 +52,13 @@ def a14_topic_stats(spark, sf):
 SELECT source, array_to_string(list_filter([CASE WHEN hit IS NULL THEN 'no_answerable' WHEN hit < 0.8 THEN 'hit_rate' END, CASE WHEN refusal IS NULL THEN 'no_refusable' WHEN refusal < 0.85 THEN 'refusal_rate' END, CASE WHEN answer < 0.9 THEN 'answer_rate' END], lambda x: x IS NOT NULL), ',') AS failures FROM r"""
 )
 def p36_gate_failures(spark, sf):
-    rate = lambda on, of: F.avg(F.when(on, F.when(I % of > 0, 1.0).otherwise(0.0)))
-    r = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), rate(I % 3 > 0, 5).alias("hit_rate"), rate(I % 3 == 0, 7).alias("refusal_rate"), rate(I % 3 > 0, 11).alias("answer_rate"))
+    rate = lambda on, of: F.avg(F.when(on, F.when(_id() % of > 0, 1.0).otherwise(0.0)))
+    r = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), rate(_id() % 3 > 0, 5).alias("hit_rate"), rate(_id() % 3 == 0, 7).alias("refusal_rate"), rate(_id() % 3 > 0, 11).alias("answer_rate"))
     return reports.gate_failures(r, 0.8, 0.85, 0.9).select("source", F.array_join("failures", ",").alias("failures"))
 
 
 def _hosts(*at):
-    return F.array(*(F.concat(F.lit("h"), ((I + k) % 7).cast("string"), F.when((I + k) % 5 == 0, ".other.example").otherwise(".example.org")) for k in at))
+    return F.array(*(F.concat(F.lit("h"), ((_id() + k) % 7).cast("string"), F.when((_id() + k) % 5 == 0, ".other.example").otherwise(".example.org")) for k in at))
 
 
 def _sql_hosts(*at):
@@ -67,7 +70,7 @@ def _sql_hosts(*at):
 SELECT doc_id, array_to_string(CASE WHEN off AND ok THEN list_sort(list_distinct(list_concat(e, h))) ELSE e END, ',') AS expected, CASE WHEN off THEN CASE WHEN ok THEN 'auto_extended' ELSE 'manual' END ELSE '' END AS review FROM o"""
 )
 def p30_extended_domains(spark, sf):
-    made = reports.extended_domains(_hosts(0, 1), _hosts(2, 9, 3), F.when(I % 2 == 0, "answerable_offdomain").otherwise("answerable"), ".example.org")
+    made = reports.extended_domains(_hosts(0, 1), _hosts(2, 9, 3), F.when(_id() % 2 == 0, "answerable_offdomain").otherwise("answerable"), ".example.org")
     return table(spark, sf, "documents").select("doc_id", made.alias("x")).select("doc_id", F.array_join("x.expected", ",").alias("expected"), "x.review")
 
 
@@ -84,8 +87,8 @@ SELECT question_id, CASE WHEN plain OR ok THEN 'grounded' ELSE 'needs_docs' END
 )
 def j11_ground_bank(spark, sf):
     d = table(spark, sf, "documents")
-    bank = d.select(I.alias("question_id"), (I % 14 == 0).alias("should_refuse"), F.when(I % 14 == 7, True).alias("needs_clarification"))
-    found = d.where("doc_id % 5 != 0").select(I.alias("question_id"), F.when(I % 2 == 0, "grounded").otherwise("needs_docs").alias("status"), F.concat(F.lit("r"), I.cast("string")).alias("reason"))
+    bank = d.select(_id().alias("question_id"), (_id() % 14 == 0).alias("should_refuse"), F.when(_id() % 14 == 7, True).alias("needs_clarification"))
+    found = d.where("doc_id % 5 != 0").select(_id().alias("question_id"), F.when(_id() % 2 == 0, "grounded").otherwise("needs_docs").alias("status"), F.concat(F.lit("r"), _id().cast("string")).alias("reason"))
     return reports.ground_bank(bank, found).select("question_id", "status", "reason")
 
 
@@ -107,7 +110,7 @@ def j14_attribute_units(spark, sf):
     f"""WITH {SQL_CATALOG} SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND source IN ('src1', 'src2') THEN 'p' || source WHEN document_kind = 'annual_notice' THEN 'recent_2_school_years' ELSE 'all_history' END AS time_policy FROM catalog"""
 )
 def j20_time_policies(spark, sf):
-    c = views.catalog(spark, sf).drop("time_policy").withColumnRenamed("source", "publisher").withColumn("section", (I % 3).cast("string"))
+    c = views.catalog(spark, sf).drop("time_policy").withColumnRenamed("source", "publisher").withColumn("section", (_id() % 3).cast("string"))
     policies = c.where("publisher in ('src1', 'src2') and section = '0'").select("publisher", "section").distinct().withColumn("time_policy", F.concat(F.lit("p"), "publisher"))
     return reports.with_policy(c, policies, F.when(F.col("document_kind") == "annual_notice", "recent_2_school_years").otherwise("all_history")).select("doc_id", "time_policy")
 
@@ -116,16 +119,16 @@ def j20_time_policies(spark, sf):
 def j21_primary_sources(spark, sf):
     d = table(spark, sf, "documents")
     none = F.array().cast("array<long>")
-    ids = F.when(I % 4 == 0, none).when(I % 4 == 1, F.array(-I - 1, I, I * 0)).otherwise(F.array(-I - 5, -I - 1, I))
-    return reports.primary_sources(d.select(I.alias("answer_id"), ids.alias("source_doc_ids")), d)
+    ids = F.when(_id() % 4 == 0, none).when(_id() % 4 == 1, F.array(-_id() - 1, _id(), _id() * 0)).otherwise(F.array(-_id() - 5, -_id() - 1, _id()))
+    return reports.primary_sources(d.select(_id().alias("answer_id"), ids.alias("source_doc_ids")), d)
 
 
 @query("SELECT d.doc_id AS question_id, CASE WHEN doc_id % 3 = 0 THEN 'missing' WHEN doc_id % 2 = 0 THEN 'answered' ELSE 'refused' END AS status FROM documents d")
 def j17_merge_answers(spark, sf):
     """J-17, J-22: questions without an answer are missing."""
     d = table(spark, sf, "documents")
-    answers = d.where("doc_id % 3 != 0").select(I.alias("question_id"), F.when(I % 2 == 0, "answered").otherwise("refused").alias("status"))
-    return reports.merge_answers(d.select(I.alias("question_id")), answers)
+    answers = d.where("doc_id % 3 != 0").select(_id().alias("question_id"), F.when(_id() % 2 == 0, "answered").otherwise("refused").alias("status"))
+    return reports.merge_answers(d.select(_id().alias("question_id")), answers)
 
 
 SQL_VERSIONS = """r AS (SELECT doc_id AS newer, doc_id - 10 AS older FROM documents WHERE doc_id % 20 = 10), up AS (SELECT older AS doc_id, list(newer) AS up FROM r GROUP BY 1), down AS (SELECT newer AS doc_id, list(older) AS down FROM r GROUP BY 1),
@@ -137,8 +140,8 @@ def j06_apply_versions(spark, sf):
     """J-06, O-08."""
     d = table(spark, sf, "documents")
     none = F.array().cast("array<long>")
-    docs = d.select("doc_id", F.when(I % 30 == 0, F.array(I - 10, I - 20)).otherwise(none).alias("supersedes"), F.lit(None).cast("array<long>").alias("superseded_by"), F.lit("unknown_validity").alias("validity_status"))
-    out = reports.apply_versions(docs, d.where("doc_id % 20 = 10").select(I.alias("newer"), (I - 10).alias("older")))
+    docs = d.select("doc_id", F.when(_id() % 30 == 0, F.array(_id() - 10, _id() - 20)).otherwise(none).alias("supersedes"), F.lit(None).cast("array<long>").alias("superseded_by"), F.lit("unknown_validity").alias("validity_status"))
+    out = reports.apply_versions(docs, d.where("doc_id % 20 = 10").select(_id().alias("newer"), (_id() - 10).alias("older")))
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return out.select("doc_id", join("supersedes"), join("superseded_by"), "validity_status")
 
@@ -146,8 +149,8 @@ def j06_apply_versions(spark, sf):
 @query("SELECT doc_id, '' AS supersedes, 'unknown_validity' AS validity_status, CAST(doc_id % 2 = 0 AS INT) AS relations FROM documents")
 def y05_reset_versions(spark, sf):
     d = table(spark, sf, "documents")
-    docs = d.select("doc_id", F.array(I).alias("supersedes"), F.array(I).alias("superseded_by"), F.lit("current").alias("validity_status"))
-    docs, kept = reports.reset_versions(docs, d.select(I.alias("parent"), F.when(I % 2 == 0, "attachment_of").otherwise("supersedes").alias("relation")))
+    docs = d.select("doc_id", F.array(_id()).alias("supersedes"), F.array(_id()).alias("superseded_by"), F.lit("current").alias("validity_status"))
+    docs, kept = reports.reset_versions(docs, d.select(_id().alias("parent"), F.when(_id() % 2 == 0, "attachment_of").otherwise("supersedes").alias("relation")))
     left = docs.join(kept.select(F.col("parent").alias("doc_id"), F.lit(1).alias("relations")), "doc_id", "left")
     return left.select("doc_id", F.array_join(F.col("supersedes").cast("array<string>"), ",").alias("supersedes"), "validity_status", F.coalesce("relations", F.lit(0)).alias("relations"))
 
@@ -156,12 +159,12 @@ def y05_reset_versions(spark, sf):
 def y03_families(spark, sf):
     a = views.catalog(spark, sf).select("doc_id", "parent_doc_id")
     b = a.select(F.col("doc_id").alias("b_id"), F.col("parent_doc_id").alias("b_parent"))
-    return a.join(b, F.col("b_id") == I + 1).select("doc_id", reports.is_family(I, F.col("parent_doc_id"), F.col("b_id"), F.col("b_parent")).alias("family"))
+    return a.join(b, F.col("b_id") == _id() + 1).select("doc_id", reports.is_family(_id(), F.col("parent_doc_id"), F.col("b_id"), F.col("b_parent")).alias("family"))
 
 
 @query(f"WITH {SQL_CATALOG} SELECT doc_id, TRY_CAST(CASE WHEN doc_id % 4 = 0 THEN publish_date || 'x' ELSE publish_date END AS DATE)::VARCHAR AS day FROM catalog")
 def y02_dates(spark, sf):
-    return views.catalog(spark, sf).select("doc_id", text.iso_date(F.when(I % 4 == 0, F.concat("publish_date", F.lit("x"))).otherwise(F.col("publish_date"))).cast("string").alias("day"))
+    return views.catalog(spark, sf).select("doc_id", text.iso_date(F.when(_id() % 4 == 0, F.concat("publish_date", F.lit("x"))).otherwise(F.col("publish_date"))).cast("string").alias("day"))
 
 
 @query(
@@ -170,13 +173,13 @@ w AS (SELECT *, CASE WHEN links = 0 AND lag(links) OVER o = 0 THEN 'empty_pages'
 SELECT list_id, min(page) AS stop_at, arg_min(stop_reason, page) AS stop_reason FROM w WHERE stop_reason IS NOT NULL GROUP BY list_id"""
 )
 def w11_stale_runs(spark, sf):
-    pages = table(spark, sf, "documents").select(F.floor(I / 40).alias("list_id"), (I % 40).alias("page"), (I * 7 % 5).alias("links"), F.least(I * 7 % 5, I * 11 % 3).alias("fresh"))
+    pages = table(spark, sf, "documents").select(F.floor(_id() / 40).alias("list_id"), (_id() % 40).alias("page"), (_id() * 7 % 5).alias("links"), F.least(_id() * 7 % 5, _id() * 11 % 3).alias("fresh"))
     return reports.stop_of_crawl(pages, "list_id", "page", "links", "fresh")
 
 
 @query(f"WITH {SQL_CATALOG} SELECT doc_id // 6 AS attachment, arg_max(doc_id, row(publish_date, -doc_id)) AS doc_id FROM catalog GROUP BY 1")
 def w13_latest_candidates(spark, sf):
-    return reports.latest_candidate(views.catalog(spark, sf).select(F.floor(I / 6).alias("attachment"), "doc_id", "publish_date", I.alias("seq")))
+    return reports.latest_candidate(views.catalog(spark, sf).select(F.floor(_id() / 6).alias("attachment"), "doc_id", "publish_date", _id().alias("seq")))
 
 
 @query(
@@ -184,7 +187,7 @@ def w13_latest_candidates(spark, sf):
 SELECT question_id, collection, doc_id FROM h QUALIFY collection = 'c0' OR row_number() OVER (PARTITION BY question_id, collection ORDER BY score DESC, doc_id) <= 3"""
 )
 def t04_secondary_hits(spark, sf):
-    hits = table(spark, sf, "documents").select((I % 40).alias("question_id"), F.concat(F.lit("c"), (I % 3).cast("string")).alias("collection"), (I % 3 == 0).alias("is_primary"), (I * 7919 % 1009).alias("score"), "doc_id")
+    hits = table(spark, sf, "documents").select((_id() % 40).alias("question_id"), F.concat(F.lit("c"), (_id() % 3).cast("string")).alias("collection"), (_id() % 3 == 0).alias("is_primary"), (_id() * 7919 % 1009).alias("score"), "doc_id")
     return reports.capped_secondary(hits).select("question_id", "collection", "doc_id")
 
 
@@ -203,7 +206,7 @@ def p02_admitted(spark, sf):
 @query("SELECT 'c' || (doc_id % 3) AS collection, doc_id // 5 AS doc_id, max(left(sha256(text), 8)) AS signature, count(*) AS chunks FROM documents GROUP BY 1, 2")
 def y07_indexed_documents(spark, sf):
     """Y-07, Y-08."""
-    chunks = table(spark, sf, "documents").select(F.concat(F.lit("c"), (I % 3).cast("string")).alias("collection"), F.floor(I / 5).alias("doc_id"), F.left(F.sha2("text", 256), F.lit(8)).alias("signature"))
+    chunks = table(spark, sf, "documents").select(F.concat(F.lit("c"), (_id() % 3).cast("string")).alias("collection"), F.floor(_id() / 5).alias("doc_id"), F.left(F.sha2("text", 256), F.lit(8)).alias("signature"))
     return reports.indexed_documents(chunks)
 
 
@@ -218,7 +221,7 @@ def y10_collection_names(spark, sf):
 SELECT doc_id, body <> '' AS has_body, octet_length(encode(body)) AS body_bytes, coalesce(body <> '' AND q = 'accepted' AND r IN ('active', 'historical') AND c <> 'none', false) AS is_searchable FROM d"""
 )
 def y25_payloads(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.when(I % 9 == 0, "").otherwise(F.col("text")).alias("body"), _pick(QUALITY).alias("quality_status"), _pick(RETENTION).alias("retention_status"), _pick(("main_qa", "none")).alias("index_collection"))
+    docs = table(spark, sf, "documents").select("doc_id", F.when(_id() % 9 == 0, "").otherwise(F.col("text")).alias("body"), _pick(QUALITY).alias("quality_status"), _pick(RETENTION).alias("retention_status"), _pick(("main_qa", "none")).alias("index_collection"))
     return reports.payload(docs).select("doc_id", "has_body", "body_bytes", "is_searchable")
 
 
@@ -226,7 +229,7 @@ def y25_payloads(spark, sf):
 def y27_document_versions(spark, sf):
     """Y-26, Y-27."""
     d = table(spark, sf, "documents")
-    log = d.withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2))))).select("doc_id", (I + F.col("k") * 1_000_000).alias("seq"), F.sha2("text", 256).alias("content_hash"), F.when(I % 2 == 0, F.col("text")).otherwise("changed").alias("body"))
+    log = d.withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2))))).select("doc_id", (_id() + F.col("k") * 1_000_000).alias("seq"), F.sha2("text", 256).alias("content_hash"), F.when(_id() % 2 == 0, F.col("text")).otherwise("changed").alias("body"))
     return reports.version_of(log, d.where("doc_id % 3 = 0").select("doc_id", F.sha2("text", 256).alias("content_hash"))).select("doc_id", "content_hash", "seq", "restorable")
 
 
@@ -237,7 +240,7 @@ def y28_recent_actions(spark, sf):
 
 @query("SELECT doc_id AS url, CASE WHEN doc_id % 6 = 0 THEN 'new' WHEN doc_id % 2 = 0 THEN 'old' WHEN doc_id % 3 = 0 THEN 'new' END AS etag FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
 def y46_upsert(spark, sf):
-    d = table(spark, sf, "documents").select(I.alias("url"))
+    d = table(spark, sf, "documents").select(_id().alias("url"))
     fresh = d.where("url % 3 = 0").withColumn("etag", F.lit("new")).union(d.where("url % 2 = 0 and url % 3 = 1").withColumn("etag", F.lit(None).cast("string")))
     return reports.upsert(d.where("url % 2 = 0").withColumn("etag", F.lit("old")), fresh)
 
@@ -246,8 +249,8 @@ def y46_upsert(spark, sf):
     """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'If-None-Match: "' || doc_id || '"' END, CASE WHEN doc_id % 3 = 0 THEN 'If-Modified-Since: d' || doc_id END], lambda x: x IS NOT NULL), chr(10)) AS headers FROM documents"""
 )
 def z02_conditional_headers(spark, sf):
-    i = I.cast("string")
-    made = reports.conditional_headers(F.when(I % 2 == 0, F.concat(F.lit('"'), i, F.lit('"'))).otherwise(""), F.when(I % 3 == 0, F.concat(F.lit("d"), i)))
+    i = _id().cast("string")
+    made = reports.conditional_headers(F.when(_id() % 2 == 0, F.concat(F.lit('"'), i, F.lit('"'))).otherwise(""), F.when(_id() % 3 == 0, F.concat(F.lit("d"), i)))
     return table(spark, sf, "documents").select("doc_id", F.array_join(made, "\n").alias("headers"))
 
 
@@ -261,27 +264,27 @@ FROM h GROUP BY question_id"""
 def r11_contexts(spark, sf):
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("question_id").orderBy(I * 7919 % 1009, "doc_id"))
-    hits = views.catalog(spark, sf).withColumn("question_id", I % 40).withColumn("place", place).where("place <= 8").withColumnRenamed("source", "publisher").withColumn("heading", F.when(I % 2 == 0, F.concat(F.lit("第"), I.cast("string"))))
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(_id() * 7919 % 1009, "doc_id"))
+    hits = views.catalog(spark, sf).withColumn("question_id", _id() % 40).withColumn("place", place).where("place <= 8").withColumnRenamed("source", "publisher").withColumn("heading", F.when(_id() % 2 == 0, F.concat(F.lit("第"), _id().cast("string"))))
     return reports.context(hits).withColumn("context", F.sha2("context", 256))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND doc_id % 4 > 0 THEN 'offline answer ' || ['', '[1]', '[1][2]', '[1][2][3]'][doc_id % 4 + 1] ELSE 'no evidence' END AS answer FROM documents")
 def r12_offline_answers(spark, sf):
     """R-10, R-12."""
-    return table(spark, sf, "documents").select("doc_id", reports.offline_answer(I % 4, I % 3 > 0, "no evidence").alias("answer"))
+    return table(spark, sf, "documents").select("doc_id", reports.offline_answer(_id() % 4, _id() % 3 > 0, "no evidence").alias("answer"))
 
 
 @query("SELECT doc_id AS question_id FROM documents WHERE doc_id % 3 <> 0")
 def z09_resumed(spark, sf):
     """R-13, Y-17, Z-09: what a resumed run still has to answer."""
-    d = table(spark, sf, "documents").select(I.alias("question_id"))
+    d = table(spark, sf, "documents").select(_id().alias("question_id"))
     return reports.resumed(d, d.where("question_id % 3 = 0").withColumn("status", F.lit("answered")), ("answered", "refused"))
 
 
 @query(f"WITH {SQL_CATALOG} SELECT doc_id FROM catalog WHERE (doc_id % 3 <> 0 OR contains(title, 'tion')) AND (doc_id % 2 <> 0 OR NOT regexp_matches(title, '^Th|er'))")
 def p24_listings(spark, sf):
-    rows = views.catalog(spark, sf).select("doc_id", "title", F.when(I % 3 == 0, "tion").alias("include"), F.when(I % 2 == 0, "^Th|er").otherwise("").alias("exclude"))
+    rows = views.catalog(spark, sf).select("doc_id", "title", F.when(_id() % 3 == 0, "tion").alias("include"), F.when(_id() % 2 == 0, "^Th|er").otherwise("").alias("exclude"))
     return reports.filtered_listing(rows).select("doc_id")
 
 
@@ -298,7 +301,7 @@ def p26_scenes(spark, sf):
 def p32_publish_states(spark, sf):
     """P-32, Y-24."""
     mark = lambda c: F.when(c, "f")
-    return table(spark, sf, "documents").select("doc_id", reports.may_publish(F.lit("f"), mark(I % 2 == 0), mark(I % 4 == 0), F.when(I % 3 == 0, 1).otherwise(0)).alias("state"))
+    return table(spark, sf, "documents").select("doc_id", reports.may_publish(F.lit("f"), mark(_id() % 2 == 0), mark(_id() % 4 == 0), F.when(_id() % 3 == 0, 1).otherwise(0)).alias("state"))
 
 
 @query(f"WITH {SQL_CATALOG} SELECT doc_id, 'event: token' || chr(10) || 'data: ' || to_json({{'text': title}}) || chr(10) || chr(10) AS event FROM catalog")
