@@ -46,7 +46,7 @@ from folioforge.storage import cut
 ROWS, BANDS = 4, 32
 M = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 2**15 - 2
-BLOCK, PAIRS = 128, 8192
+BLOCK, PAIRS = 512, 8192
 #: Log-likelihood by which the best similarity may beat the threshold before a pair is dropped.
 SLACK = 8.0
 #: Partners of a member that the first pass over mixed buckets verifies.
@@ -301,10 +301,10 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, pe
     """The pairs (a, b) of nodes whose full shingle sets reach the threshold.
 
     Only texts that pass a bitmap of the wanted ids are read into sets. A node with many partners is
-    dealt out in salted groups of about 512, each of which gets that node's set once.
+    dealt out in salted groups of about 256, each of which gets that node's set once.
     """
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs, width)
-    salts = cut(pairs.groupBy("a").agg(F.count("*").alias("pairs")).withColumn("salts", F.ceil(F.col("pairs") / 512)), "salts")
+    salts = cut(pairs.groupBy("a").agg(F.count("*").alias("pairs")).withColumn("salts", F.ceil(F.col("pairs") / 256)), "salts")
     partners = split_join(pairs, salts, ["a"], "pairs").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.col("b").alias("node")).join(sets, "node").select("a", "salt", F.col("node").alias("b"), "members")
     owners = salts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).join(sets, "node").select(F.col("node").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "members")
     dealt = partners.unionByName(owners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
