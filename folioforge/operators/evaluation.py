@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import excerpt, terms
-from folioforge.operators.retrieval import small
+from folioforge.operators.retrieval import small, spread
 
 
 def coverage_hits(questions: DataFrame, docs: DataFrame, keep: int = 5) -> DataFrame:
@@ -17,7 +17,7 @@ def coverage_hits(questions: DataFrame, docs: DataFrame, keep: int = 5) -> DataF
     score, publish_date as text, then smaller doc_id. The join is on the domain, so questions meet their domains' documents only.
     """
     wanted = questions.select("question_id", F.explode(F.array_distinct("domains")).alias("domain"), "terms")
-    met = docs.join(small(wanted), "domain")
+    met = spread(docs.select("doc_id", "domain", "text", "publish_date")).join(small(wanted), "domain")
     n = F.size(F.filter("terms", lambda t: F.contains(F.col("text"), t)))
     scored = met.select("question_id", "doc_id", "publish_date", n.alias("n_terms")).where("n_terms >= 2").withColumn("score", F.col("n_terms") + 2)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("publish_date"), "doc_id")

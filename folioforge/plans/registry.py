@@ -272,7 +272,7 @@ df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term
 SELECT term, round(CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM raw) ELSE idf END, 6) AS idf FROM raw"""
 )
 def a19_inverse_frequencies(spark, sf):
-    return retrieval.inverse_frequencies(table(spark, sf, "documents")).withColumn("idf", F.round("idf", 6))
+    return retrieval.inverse_frequencies(retrieval.vocabulary(table(spark, sf, "documents"))).withColumn("idf", F.round("idf", 6))
 
 
 SQL_VECTOR = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), m AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),

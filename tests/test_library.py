@@ -270,3 +270,22 @@ def test_guards_refuse_what_does_not_fit(spark):
         ids.select(reports.collection_names(F.lit("odd"), {"a": "b"})).collect()
     rates = spark.createDataFrame([(0, None, None, None), (3, None, 0.5, 1.0), (3, 0.9, None, 0.2)], "n int, hit_rate double, refusal_rate double, answer_rate double")
     assert [r.failures for r in reports.gate_failures(rates, 0.8, 0.8).collect()] == [["empty"], ["no_answerable", "refusal_rate"], ["no_refusable", "answer_rate"]]
+
+
+def test_bm25_equals_a_plain_loop(spark):
+    texts = {1: "red fox red", 2: "red hen", 3: None, 4: "", 5: "blue hen hen", 6: "owl"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = spark.createDataFrame([(9, "Red red hen yak"), (8, ""), (7, None)], "question_id long, text string")
+    held = {i: (t or "").split() for i, t in texts.items()}
+    df = {w: sum(w in ws for ws in held.values()) for ws in held.values() for w in ws}
+    idf = {w: np.log(len(texts) - n + 0.5) - np.log(n + 0.5) for w, n in df.items()}
+    least = retrieval.EPSILON * np.mean(list(idf.values()))
+    mean = sum(map(len, held.values())) / 5  # the null text has no length
+    score = {}
+    for i, ws in held.items():
+        for w in ("red", "red", "hen"):
+            tf, weight = ws.count(w), idf[w] if idf[w] >= 0 else least
+            score[i] = score.get(i, 0) + weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ws) / mean))
+    got = {(r.question_id, r.doc_id): r.score for r in retrieval.bm25(docs, asked).collect()}
+    assert got == pytest.approx({(9, i): s for i, s in score.items() if s > 0}, abs=1e-6)
+    assert retrieval.bm25(docs.limit(0), asked).count() == 0
