@@ -1,7 +1,9 @@
-"""Column functions for URLs, page marks, names and dates of crawled pages. All stay inside the JVM but ``nfkc``."""
+"""Column functions for URLs, page marks, names and dates of crawled pages. All stay inside the JVM but ``nfkc`` and ``without_menus``."""
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
 
 import pandas as pd
@@ -253,3 +255,34 @@ def attachment_text(name: Column, parent_title: Column, date: Column, publisher:
         F.lit("# "), name, F.lit("\n\n所属通知："), parent_title, F.lit("\n发布日期："), date, F.lit("\n发布单位："), publisher, F.lit("\n原发布页："), page_url,
         F.lit("\n附件下载地址："), file_url, F.lit("\n\n## 附件正文\n\n"), text, F.lit("\n"),
     )
+
+
+#: What a menu line looks like, words of institutional menus, and the least lines of a menu block by place.
+MENU_LINE = r"[^\s。，；：、！？.,;:!?()（）《》【】\[\]{}]{1,15}"
+MENU_WORDS = r"首页|English|信息门户|邮箱|师资队伍|导航|关注我们|扫码|校友|学院简介|科学研究|本科生培养|研究生培养|组织机构|学院领导|党建工作|新闻中心|通知公告"
+MENU_HEAD, MENU_TAIL, MENU_MIDDLE = 5, 3, 8
+
+
+def _menu_row(line: str) -> bool:
+    """A whole menu in one line: at least eight words, seven in ten of at most six characters, one of them a menu word."""
+    words = line.split()
+    return len(words) >= 8 and 10 * sum(len(w) <= 6 for w in words) >= 7 * len(words) and re.search(MENU_WORDS, line) is not None
+
+
+def _without_menus(text: str) -> str:
+    lines = text.split("\n")
+    lines = [x for i, x in enumerate(lines) if not ((i < 4 or i >= len(lines) - 2) and _menu_row(x.strip()))]
+    kept, at = [], 0
+    for short, run in itertools.groupby(lines, lambda x: re.fullmatch(MENU_LINE, x.strip()) is not None):
+        run = list(run)
+        first, at = at == 0, at + len(run)
+        least = MENU_TAIL if at == len(lines) else MENU_HEAD if first else MENU_MIDDLE
+        if not (short and len(run) >= least and any(re.search(MENU_WORDS, x) for x in run)):
+            kept += run
+    return "\n".join(kept)
+
+
+@F.pandas_udf(StringType())
+def without_menus(texts: pd.Series) -> pd.Series:
+    """Text without menu blocks: runs of short lines without punctuation that hold a menu word, and menus in one line. Null stays null."""
+    return texts.map(lambda t: None if t is None else _without_menus(t))

@@ -220,3 +220,19 @@ def y40_file_names(spark, sf):
 @query("SELECT doc_id, CASE WHEN contains(text, 'idiot') THEN 'idiot' WHEN contains(text, '###') THEN '###' WHEN contains(text, 'tion') THEN 'tion' ELSE '' END AS word FROM documents")
 def y53_first_keywords(spark, sf):
     return table(spark, sf, "documents").select("doc_id", web.first_keyword(F.col("text"), ("idiot", "###", "tion")).alias("word"))
+
+
+MENU = ("首页", "学院简介", "师资队伍", "科学研究", "招生", "校历")
+SQL_MENU = "'" + "' || chr(10) || '".join(MENU) + "'"
+
+
+@query(
+    f"""SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN '招生' || chr(10) || '首页' || chr(10) || '校历' || chr(10) || '章程' || chr(10) ELSE '' END || '正文。' || chr(10) || text || chr(10) || '完。'
+|| CASE doc_id % 6 WHEN 4 THEN chr(10) || {SQL_MENU} || chr(10) || '止。' ELSE '' END AS text FROM documents"""
+)
+def p38_menu_lines(spark, sf):
+    """P-38: menus before (six lines go, four stay), after (three lines), in one line, in the middle (six stay, eight go)."""
+    i, block, line = F.col("doc_id") % 6, "\n".join(MENU), " ".join((*MENU, "a", "b"))
+    before = F.when(i == 0, block + "\n").when(i == 1, "招生\n首页\n校历\n章程\n").when(i == 3, line + "\n").otherwise("")
+    after = F.when(i == 2, "\n招生\n 首页\n校历").when(i == 4, f"\n{block}\n止。").when(i == 5, f"\n{block}\na\nb").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", web.without_menus(F.concat(before, F.lit("正文。\n"), "text", F.lit("\n完。"), after)).alias("text"))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import cascades, rules, text, web
 from folioforge.operators import catalog, chunking, evaluation, links, reports, retrieval, versions
-from folioforge.plans import governance, pages, registry  # noqa: F401
-from folioforge.sources import tables
+from folioforge.plans import files, governance, pages, registry  # noqa: F401
+from folioforge.sources import attachments, tables
 from folioforge.streaming import state
 
 SF = "/root/testdata/sf0.001"
@@ -289,3 +289,31 @@ def test_bm25_equals_a_plain_loop(spark):
     got = {(r.question_id, r.doc_id): r.score for r in retrieval.bm25(docs, asked).collect()}
     assert got == pytest.approx({(9, i): s for i, s in score.items() if s > 0}, abs=1e-6)
     assert retrieval.bm25(docs.limit(0), asked).count() == 0
+
+
+def test_attachment_kinds_and_packages(spark):
+    word = files.word_file("T", ["a", " ", "b & <c>"], [["x", "y"], ["", ""]])
+    assert attachments.parse("n.docx", word) == ("docx", "## T\na\nb & <c>\nx | y", 20, None, "ok", [])
+    assert attachments.word_text(word, headings=False).startswith("T\na\nb")
+    cell = lambda inner, pr="": f"<w:tc><w:tcPr>{pr}</w:tcPr><w:p><w:r><w:t>{inner}</w:t></w:r></w:p></w:tc>"
+    rows = f'<w:tr>{cell("w", "<w:gridSpan w:val=\'2\'/>")}{cell("v", "<w:vMerge w:val=\'restart\'/>")}</w:tr><w:tr>{cell("1")}{cell("2")}{cell("", "<w:vMerge/>")}</w:tr>'
+    merged = files.package({"word/document.xml": f'<w:document xmlns:w="{files.WORD}"><w:body><w:p><w:r><w:t>a</w:t><w:tab/><w:br/><w:t>b</w:t></w:r></w:p><w:tbl>{rows}</w:tbl></w:body></w:document>'})
+    assert attachments.word_text(merged) == "a\t\nb\nw | w | v\n1 | 2 | v"
+    sheet = files.sheet_file("s", ['<c r="A1" s="1"><v>0.5</v></c><c r="B1" s="1"><v>45000.25</v></c>', "<c><v>1E2</v></c><c><f>A1</f></c>", '<c r="B3" t="s"><v>0</v></c>', '<c r="B4" t="e"><v>#N/A</v></c>'], ("m",), ("B3:B4",))
+    assert attachments.sheet_text(sheet) == ("## s\n12:00:00 | 2023-03-15T06:00:00\n100.0\n | m", 2, [])
+    assert attachments.sheet_text(sheet, most=1)[2] == [attachments.NOTE_ROWS.format("s", 1)]
+    assert attachments.sheet_text(sheet, large=1) == ("## s\n12:00:00 | 2023-03-15T06:00:00\n100.0\n | m\n | #N/A", 2, [attachments.NOTE_LARGE])
+    assert [attachments.parse(n, c)[0::4] for n, c in ((None, None), ("a.xlsx", b"PK\x03\x04"), ("a", word), ("a.PDF", b""))] == [("unknown", "unsupported_format"), ("xlsx", "parse_failed"), ("docx", "ok"), ("pdf", "parse_failed")]
+    rows = spark.createDataFrame([(1, "a.docx", bytearray(word)), (2, None, None)], "id long, name string, content binary")
+    got = {r.id: r for r in attachments.parse_attachments(rows).collect()}
+    assert (got[1].char_count, got[1].sheet_count, got[2].parse_status) == (20, None, "unsupported_format")
+    assert attachments.parse_attachments(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        attachments.parse_attachments(rows.withColumn("text", F.lit("")))
+
+
+def test_menus_need_a_menu_word_and_length():
+    lines = [f"甲{i}" for i in range(9)]
+    assert web._without_menus("\n".join(lines)) == "\n".join(lines)
+    assert web._without_menus("\n".join(["校友", "甲", "乙"])) == "" and web._without_menus("校友\n甲") == "校友\n甲"
+    assert web._without_menus("一。\n" + "\n".join([*lines, "导航"]) + "\n二。") == "一。\n二。" and web._without_menus("") == ""
