@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge.functions import rules, text
-from folioforge.operators import reports
+from folioforge.operators import reports, versions
 from folioforge.plans import views
 from folioforge.plans.registry import query
 from folioforge.plans.views import SQL_CATALOG, table
@@ -319,3 +319,19 @@ def k15_feedback(spark, sf):
 @query(r"SELECT doc_id, lower(regexp_replace(text, '[\s\p{Z}\x0b\x1c-\x1f\x85]+', '', 'g')) AS norm FROM documents")
 def y13_normal_texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.lower(text.squash(F.col("text"))).alias("norm"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, doc_id // 4 AS g, doc_id % 4 AS k, CASE WHEN g % 4 = 2 THEN '规' ELSE '测试事项管理办法' END || g AS name FROM documents), n AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM d),
+p AS (SELECT s.doc_id AS source_doc_id, t.doc_id AS target_doc_id, CASE WHEN s.g % 2 = 0 AND length(s.name) >= 6 THEN '修订' || s.name WHEN s.g % 2 = 0 THEN '标题版本标记：（2021年修订）' ELSE '自2022年1月1日起施行' END AS evidence FROM d s JOIN d t ON t.g = s.g AND t.k = s.k + 1 AND s.k = s.g % 2)
+SELECT source_doc_id, target_doc_id, 'supersedes' AS relation, 'current' AS status, 0.95::DOUBLE AS confidence, evidence FROM p
+UNION ALL SELECT doc_id, NULL, 'version_unknown', 'unknown_validity', 0.0::DOUBLE, '仅发现年份/标题相似，缺少明确施行、修订或废止证据' FROM n WHERE n > 1 AND doc_id NOT IN (SELECT source_doc_id FROM p UNION SELECT target_doc_id FROM p)"""
+)
+def j05_version_relations(spark, sf):
+    """J-05, X-09: four editions of a name, the newest with a mark or the second with words of validity; short names prove nothing by their mention."""
+    g, k = F.floor(_id() / 4), _id() % 4
+    title = F.concat(F.when(g % 4 == 2, "规").otherwise("测试事项管理办法"), g.cast("string"), F.when((g % 2 == 0) & (k == 0), "（2021年修订）").otherwise(""))
+    body = F.concat(F.col("text"), F.when((g % 2 == 1) & (k == 1), "\n本办法自2022年1月1日起施行。").otherwise(""))
+    date = F.format_string("%d-01-01", 2023 - k)
+    none = F.lit(None).cast("long").alias("parent_doc_id")
+    return versions.version_relations(table(spark, sf, "documents").select("doc_id", title.alias("title"), body.alias("body"), date.alias("publish_date"), F.lit("").alias("policy_name"), none))

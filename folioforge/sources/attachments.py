@@ -63,6 +63,11 @@ def _child(e, *path: str):
     return e
 
 
+def _inside(e, *path: str) -> list:
+    found = _child(e, *path)
+    return [] if found is None else list(found)
+
+
 def _run_text(e) -> str:
     """Text of a paragraph: its runs and those of its links, with tabs and line breaks."""
     out = []
@@ -158,8 +163,8 @@ def _date_styles(package: zipfile.ZipFile) -> set[int]:
     if "xl/styles.xml" not in package.namelist():
         return set()
     root = ElementTree.fromstring(package.read("xl/styles.xml"))
-    own = {int(_attr(f, "numFmtId")): _attr(f, "formatCode") or "" for f in _child(root, "numFmts") or ()}
-    ids = [int(_attr(x, "numFmtId") or 0) for x in _child(root, "cellXfs") or ()]
+    own = {int(_attr(f, "numFmtId")): _attr(f, "formatCode") or "" for f in _inside(root, "numFmts")}
+    ids = [int(_attr(x, "numFmtId") or 0) for x in _inside(root, "cellXfs")]
     return {i for i, f in enumerate(ids) if (_shows_date(own[f]) if f in own else f in DATE_FORMATS)}
 
 
@@ -185,13 +190,13 @@ def _sheet_lines(root, strings, dates, from_1904: bool, fill: bool, most: int) -
     """Rows as lines and whether some were cut off: blank rows and repeats of the line before are left out, merged areas filled."""
     rows: dict[int, dict[int, str]] = {}
     last = 0
-    for row in _child(root, "sheetData") or ():
+    for row in _inside(root, "sheetData"):
         last = int(row.get("r", last + 1))
         at, cells = 0, rows.setdefault(last, {})
         for cell in row:
             at = _place(cell.get("r"))[1] if cell.get("r") else at + 1
             cells[at] = _shown(cell, strings, dates, from_1904)
-    for merged in _child(root, "mergeCells") or () if fill else ():
+    for merged in _inside(root, "mergeCells") if fill else []:
         corners = [_place(x) for x in _attr(merged, "ref").split(":")]
         (top, left), (bottom, right) = corners[0], corners[-1]
         shown = rows.get(top, {}).get(left, "")
@@ -219,7 +224,7 @@ def sheet_text(content: bytes, most: int = MAX_SHEET_ROWS, large: int = LARGE_BY
         setting = _child(book, "workbookPr")
         from_1904 = setting is not None and _attr(setting, "date1904") in ("1", "true")
         strings, dates = _strings(package), _date_styles(package)
-        sheets = [(s.get("name"), targets[next(v for k, v in s.attrib.items() if k.startswith("{") and k.endswith("}id"))]) for s in _child(book, "sheets")]
+        sheets = [(s.get("name"), targets[next(v for k, v in s.attrib.items() if k.startswith("{") and k.endswith("}id"))]) for s in _inside(book, "sheets")]
         for name, target in sheets:
             part = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
             lines, more = _sheet_lines(ElementTree.fromstring(package.read(part)), strings, dates, from_1904, fill, most)

@@ -317,3 +317,49 @@ def test_menus_need_a_menu_word_and_length():
     assert web._without_menus("\n".join(lines)) == "\n".join(lines)
     assert web._without_menus("\n".join(["校友", "甲", "乙"])) == "" and web._without_menus("校友\n甲") == "校友\n甲"
     assert web._without_menus("一。\n" + "\n".join([*lines, "导航"]) + "\n二。") == "一。\n二。" and web._without_menus("") == ""
+
+
+def test_version_relations_equal_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    names = ("本科生奖学金评审办法", "研究生选课管理规定", "校历")
+    rows = []
+    for i in range(160):
+        n = names[rng.integers(3)]
+        title = n + ("", "（2021年修订版）", "（试行）", "（修订）.pdf")[rng.integers(4)]
+        body = ("无", "正文", f"自公布之日起施行，{n}同时废止", f"修订了{n}", f"{n}（试行）以本办法为准", None)[rng.integers(6)]
+        date = ("unknown", None, *(f"20{y}-01-0{d}" for y in range(18, 24) for d in (1, 2)))[rng.integers(14)]
+        rows.append((i, title, body, date, (n if rng.integers(3) else None), int(rng.integers(160)) if rng.integers(2) else None))
+    rows.append((900, "独一无二的名称", "x", "2020-01-01", None, None))
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string, publish_date string, policy_name string, parent_doc_id long")
+    of = lambda c: F.coalesce(F.col(c), F.lit(""))
+    name = F.when(of("policy_name") != "", F.col("policy_name")).otherwise(versions.policy_name(of("title")))
+    keyed = docs.select("*", web.version_key(name, F.col("doc_id").cast("string")).alias("key"), F.regexp_replace(name, web.EXTENSION, "").alias("core")).toPandas()
+    import re
+
+    def proof(new, old):
+        words = f"{new.title}\n{new.body or ''}"
+        if len(old.core) >= 6 and old.core in words:
+            found = [m.group(0) for p in versions.EVIDENCE if (m := re.search(p, words))] + (["修订" + old.core] if "修订" in words else [])
+            if found:
+                return "；".join(found)
+        mark = re.search(versions.EDITION, new.title)
+        return "标题版本标记：" + mark.group(0) if mark else ""
+
+    want = set()
+    for _, g in keyed.groupby("key"):
+        g = sorted(g.itertuples(), key=lambda r: r.publish_date or "", reverse=True)
+        used = set()
+        for k, new in enumerate(g):
+            for old in g[k + 1 :] if new.doc_id not in used else ():
+                kin = new.doc_id == old.parent_doc_id or old.doc_id == new.parent_doc_id or new.parent_doc_id == old.parent_doc_id
+                dates = [x.publish_date or "" for x in (new, old)]
+                if old.doc_id in used or kin or not all(d.startswith("20") for d in dates) or dates[0] <= dates[1] or not (words := proof(new, old)):
+                    continue
+                want.add((new.doc_id, old.doc_id, words))
+                used |= {new.doc_id, old.doc_id}
+                break
+        want |= {(r.doc_id, None, versions.UNKNOWN_EVIDENCE) for r in g if r.doc_id not in used and len(g) > 1}
+    got = versions.version_relations(docs).collect()
+    assert {(r.source_doc_id, r.target_doc_id, r.evidence) for r in got} == want and len(got) == len(want)
+    assert sum(r.relation == "supersedes" for r in got) > 20
+    assert versions.version_relations(docs.limit(0)).count() == 0
