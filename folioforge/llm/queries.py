@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import attention_mil, bpe, cdc_dedup, chat_events, collision_lsh, langid_cnn, perplexity, setsketch, soft_mixing, warc_revisit
+from folioforge.llm import attention_mil, bpe, cdc_dedup, chat_events, collision_lsh, first_seen, interpolation, langid_cnn, perplexity, setsketch, soft_mixing, vector_codes, warc_revisit
 
 #: Wanted shares of tokens of the domains that the labels table tells apart.
 WEIGHTS = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}
@@ -179,10 +179,75 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return soft_mixing.mix(table(spark, sf_dir, "documents"), domains(table(spark, sf_dir, "labels")), WEIGHTS)
 
 
+def remainder(of: int) -> F.Column:
+    """The remainder of a document's checksum; null without a doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+BATCHES = 12
+
+
+def op11_first_seen_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch = F.floor(remainder(64) * BATCHES / 64)
+    docs, lines = first_seen.strip_seen_lines(table(spark, sf_dir, "documents"), batch, BATCHES)
+    a = docs.select(F.lit("doc").alias("row_kind"), F.col("doc_id").cast("string").alias("row_id"), "batch", "n_all", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return a.union(lines.select(F.lit("line"), "key_sha256", "batch", "n_docs", "n_removed", F.lit(None).cast("string")))
+
+
+SQL_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length({x}) + 1), lambda i: ascii({x}[i])::BIGINT)),
+    lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda t, j: xor(t >> 1, CASE WHEN t & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))), 4294967295::BIGINT)"""
+SQL_OP11 = f"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, CAST(floor(12 * (coalesce({SQL_CRC32.format(x="CAST(doc_id AS VARCHAR)")}, 0) % 64) / 64) AS INTEGER) AS batch FROM documents),
+s AS (SELECT *, string_split(text, chr(10)) AS ls FROM b),
+l AS (SELECT r, batch, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM s),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+d AS (SELECT key, batch, count(DISTINCT r) AS n FROM k WHERE key <> '' GROUP BY ALL),
+e AS (SELECT key, batch, sum(n) OVER (PARTITION BY key ORDER BY batch) - n AS earlier, sum(n) OVER (PARTITION BY key) AS total FROM d),
+m AS (SELECT k.*, coalesce(e.earlier >= 3, false) AS gone, e.total FROM k LEFT JOIN e ON e.key = k.key AND e.batch = k.batch),
+t AS (SELECT r, count(*) AS n_all, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept FROM m GROUP BY r)
+SELECT 'doc' AS row_kind, CAST(b.doc_id AS VARCHAR) AS row_id, b.batch, t.n_all, t.n_removed, t.kept AS kept_sha256 FROM b JOIN t USING (r)
+UNION ALL SELECT 'line', sha256(key), min(batch), CAST(max(total) AS BIGINT), count(*), NULL FROM m WHERE gone GROUP BY key
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _sql_nearest(book: str) -> str:
+    return f"""SELECT p.vec_id, p.part, p.v, min({{'d': list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'i': c.i}}) AS m FROM p JOIN {book} c ON c.part = p.part GROUP BY ALL"""
+
+
+def _sql_means(book: str, nearest: str) -> str:
+    return f"""SELECT c.part, c.i, coalesce(m.v, c.v) AS v FROM {book} c LEFT JOIN (
+    SELECT part, i, list(((s - ((s % n) + n) % n) // n) ORDER BY pos) AS v FROM (
+      SELECT part, m.i AS i, pos, CAST(sum(v[pos]) AS BIGINT) AS s, count(*) AS n FROM {nearest}, range(1, 5) t(pos) GROUP BY ALL) GROUP BY part, i) m ON m.part = c.part AND m.i = c.i"""
+
+
+#: For vectors of 64 components, as the given tables hold.
+SQL_OP12 = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, list_slice(e, part * 4 + 1, part * 4 + 4) AS v FROM k, range(16) t(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS i, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+a0 AS MATERIALIZED ({_sql_nearest("c0")}), c1 AS MATERIALIZED ({_sql_means("c0", "a0")}),
+a1 AS MATERIALIZED ({_sql_nearest("c1")}), c2 AS MATERIALIZED ({_sql_means("c1", "a1")}),
+a2 AS MATERIALIZED ({_sql_nearest("c2")}),
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', m.i), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(v[pos] AS VARCHAR), ',' ORDER BY part, i, pos)) AS h FROM c2, range(1, 5) t(pos))
+SELECT k.vec_id, r.code, r.error, CAST(sum(r.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, h.h AS codebooks_sha256 FROM k JOIN r ON r.vec_id = k.vec_id, h
+"""
+
+
+def op13_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = interpolation.score(table(spark, sf_dir, "documents"), remainder(7) != 2)
+    return out.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
-    found = [op1_perplexity, op2_attention_mil, op3_langid_cnn, op4_chat_events, op5_substring_dedup, op6_warc_revisit, op7_byte_bpe, op8_setsketch, op9_collision_lsh, op10_soft_mixing]
+    found = [op1_perplexity, op2_attention_mil, op3_langid_cnn, op4_chat_events, op5_substring_dedup, op6_warc_revisit, op7_byte_bpe, op8_setsketch, op9_collision_lsh, op10_soft_mixing, op11_first_seen_lines, op12_vector_codes, op13_deleted_interpolation]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_events": SQL_OP4, "op6_warc_revisit": SQL_OP6, "op8_setsketch": SQL_OP8, "op9_collision_lsh": SQL_OP9}
+    return {"op4_chat_events": SQL_OP4, "op6_warc_revisit": SQL_OP6, "op8_setsketch": SQL_OP8, "op9_collision_lsh": SQL_OP9, "op11_first_seen_lines": SQL_OP11, "op12_vector_codes": SQL_OP12}
