@@ -31,6 +31,7 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # a start has one batch; its local files go with it
 }
 SCHEMA = "row_no long, doc_id {id}, lines array<string>, keys array<string>, batch int"
 
