@@ -31,7 +31,7 @@ from folioforge.storage import cut
 
 ORDER, HELD = 2, 8
 #: Tokens of a block and grams of a shard, about; a document is never divided.
-BLOCK, SHARD = 1 << 21, 1 << 22
+BLOCK, SHARD = 1 << 20, 1 << 21
 #: Ratios of estimates are told apart to so many cells an octave when weights are learned.
 OCTAVE = 4
 ROUNDS, ENOUGH = 200, 1e-7
