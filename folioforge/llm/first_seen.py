@@ -5,7 +5,7 @@ adds one for each document of the batch that holds the key; its state, in RocksD
 what the current batch added, and so knows how many documents of earlier batches hold each key. Keys with enough of them are joined
 to the lines of the staged batch. The query is started anew for each batch, on one checkpoint.
 
-Nothing passes one task or the driver: keys are counted with map-side sums, frequent keys are joined where their lines lie (a broadcast of at most ``HOT_KEYS``
+Nothing passes one task or the driver, and tables that grow with the input are never broadcast, even where they happen to be small: keys are counted with map-side sums, frequent keys are joined where their lines lie (a broadcast of at most ``HOT_KEYS``
 keys), and a document meets its removed line numbers by its row number. A batch that runs again overwrites its own folders, so a retry changes nothing.
 """
 
@@ -117,7 +117,7 @@ def strip_seen_lines(docs: DataFrame, batch: Column, batches: int, least_docs: i
             touched.where(F.col("total") > least_docs).write.mode("overwrite").parquet(folder("totals", k))
             mine = spark.read.schema(schema).parquet(folder("arrived")).where(F.col("batch") == k)
             known = spark.read.schema("key binary, total long").parquet(folder("totals", k))
-            now = _increments(mine).join(known, "key").select("key", "total", (F.col("total") - F.col("docs")).alias("earlier"), "n")
+            now = _increments(mine).join(known.hint("merge"), "key").select("key", "total", (F.col("total") - F.col("docs")).alias("earlier"), "n")
             now.write.mode("overwrite").parquet(folder("counts", f"batch={k}"))
             seen = spark.read.schema(counted).parquet(folder("counts")).where((F.col("batch") == k) & (F.col("earlier") >= least_docs)).select("key", "n")
             here = mine.select("row_no", F.posexplode("keys").alias("at", "k")).where("k is not null").select("row_no", "at", F.unhex("k").alias("key"))
@@ -133,7 +133,7 @@ def strip_seen_lines(docs: DataFrame, batch: Column, batches: int, least_docs: i
     kept_at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), gone_at)
     kept = F.array_join(F.transform(kept_at, lambda i: F.get("lines", i)), "\n")
     whole = spark.read.schema(schema).parquet(folder("arrived")).select("row_no", "doc_id", "batch", "lines")
-    cleaned = whole.join(gone, "row_no", "left").select("doc_id", "batch", kept.alias("text"), F.size("lines").cast("long").alias("n_all"), F.size(gone_at).cast("long").alias("n_removed"))
+    cleaned = whole.join(gone.hint("merge"), "row_no", "left").select("doc_id", "batch", kept.alias("text"), F.size("lines").cast("long").alias("n_all"), F.size(gone_at).cast("long").alias("n_removed"))
     removed = F.col("earlier") >= least_docs
     of_key = spark.read.schema(counted).parquet(folder("counts")).groupBy("key")
     lost = of_key.agg(F.min(F.when(removed, F.col("batch"))).alias("batch"), F.max("total").alias("n_docs"), F.sum(F.when(removed, F.col("n"))).alias("n_removed")).where("batch is not null")
