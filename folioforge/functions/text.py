@@ -1,7 +1,11 @@
-"""Column functions for text, identity, URLs, dates and citations. All stay inside the JVM."""
+"""Column functions for text, identity, URLs, dates and citations. All but ``trigram_vector`` stay inside the JVM."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,10 +88,35 @@ def citations_ok(text: Column, n: Column) -> Column:
     return (F.size(citation_refs(text)) > 0) & (F.size(invalid_refs(text, n)) == 0)
 
 
+def _gram_bucket(gram: str, dim: int) -> int:
+    return hashlib.md5(gram.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[-1] % dim
+
+
 def trigram_vector(text: Column, dim: int = 64) -> Column:
-    """Unit vector of character 3-gram counts; the bucket is the last byte of a gram's MD5 modulo ``dim`` (at most 256)."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: text.substr(i, F.lit(3)))
-    buckets = F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 31, 2), 16, 10).cast("int") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    """Unit vector of character 3-gram counts; the bucket is the last byte of a gram's MD5 modulo ``dim`` (at most 256).
+
+    Arrow batches, as counting into buckets would evaluate every gram once for each bucket in a Column expression. Null stays null; texts
+    of fewer than three characters are one gram.
+    """
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            counts = np.zeros(dim)
+            for i in range(max(1, len(t) - 2)):
+                gram = t[i : i + 3]
+                at = known.get(gram)
+                if at is None:
+                    at = known[gram] = _gram_bucket(gram, dim)
+                counts[at] += 1
+            out.append(counts / np.sqrt((counts * counts).sum()))
+            if len(known) > 1 << 20:
+                known.clear()
+        return pd.Series(out)
+
+    return vectors(text)

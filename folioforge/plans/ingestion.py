@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioforge.functions import text
-from folioforge.operators import admission, ingest, links
+from folioforge.operators import admission, indexing, ingest, links
 from folioforge.operators.admission import Gate, Unique
+from folioforge.plans import views
+from folioforge.plans.governance import COLLECTION
 from folioforge.plans.registry import query
 from folioforge.plans.views import table
+from folioforge.sources import snapshots
+from folioforge.storage import shared_dir
 
 SQUASH = r"regexp_replace(coalesce(text, ''), '[\s\p{Z}\x1c-\x1f]+', '', 'g')"
 #: The SQL walks the rows one by one, as the loop does.
@@ -131,3 +137,65 @@ def u16_ingest_attachments(spark, sf):
 @query(f"WITH {SQL_FILES} SELECT DISTINCT parent_doc_id, canonical AS child_doc_id FROM z WHERE action <> 'quarantined'")
 def u16_relations(spark, sf):
     return _files(spark, sf)[1]
+
+
+# the index and its versions
+
+
+def _index_catalog(spark, sf):
+    """Documents with a kind by the length of their title, historical and archived languages, and their first line as title."""
+    d = table(spark, sf, "documents").where("text is not null")
+    title = F.split("text", "\n", 2)[0]
+    kind = F.element_at(F.array(*map(F.lit, views.KINDS)), (F.length(title) % len(views.KINDS) + 1).cast("int"))
+    return d.select(F.col("doc_id").cast("string").alias("doc_id"), "text", title.alias("title"), kind.alias("document_kind"), F.when(F.col("lang") == "de", "historical").when(F.col("source") == "src2", "archived").otherwise("active").alias("retention_status"), F.col("source").alias("category"), F.col("lang").alias("publisher"))
+
+
+def _earlier(catalog):
+    """The catalog as it was: some documents missing, some with another body or publisher, some that are gone now."""
+    r = F.length("text") % 5
+    same = catalog.where(r != 0).withColumn("text", F.when(r == 1, F.concat("text", F.lit(" x"))).otherwise(F.col("text"))).withColumn("publisher", F.when(r == 2, "old").otherwise(F.col("publisher")))
+    return same.unionByName(catalog.where(r == 3).withColumn("doc_id", F.concat(F.lit("gone-"), "doc_id")))
+
+
+def _refreshed(spark, sf):
+    root = f"{shared_dir(spark)}/folioforge/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
+    store, embedder = snapshots.SnapshotTable(spark, root, indexing.CHUNKS, "doc_id"), indexing.Embedder()
+    now = _index_catalog(spark, sf)
+    indexing.build(store, indexing.indexable(_earlier(now)), embedder)
+    return store, indexing.update(store, indexing.indexable(now), embedder)
+
+
+SQL_INDEX = rf"""c AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS title, lang, source, length(text) % 5 AS r FROM documents WHERE text IS NOT NULL),
+k AS (SELECT *, {views._list(views.KINDS)}[length(title) % 12 + 1] AS document_kind, CASE WHEN lang = 'de' THEN 'historical' WHEN source = 'src2' THEN 'archived' ELSE 'active' END AS ret FROM c),
+i AS (SELECT *, {COLLECTION.format(r="ret")} AS collection, 'sha256:' || left(sha256(text), 16) AS content_hash FROM k),
+w AS (SELECT *, 'sha256:' || left(sha256('{{"content_hash": "' || content_hash || '", "schema_version": "2", "title": ' || CAST(to_json(title) AS VARCHAR) || '}}'), 16) AS embedding_sig FROM i WHERE collection IS NOT NULL),
+n AS (SELECT *, regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM w),
+p AS (SELECT *, unnest(range(0, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 480 THEN 1 ELSE CAST(ceil((length(t) - 50) / 430.0) AS BIGINT) END)) AS pos FROM n)"""
+
+
+@query(f"WITH {SQL_INDEX} SELECT collection, doc_id || ':' || pos AS chunk_id, substr(t, pos * 430 + 1, 480) AS text, title, document_kind, lang AS publisher, content_hash, embedding_sig FROM p")
+def k09_refreshed_index(spark, sf):
+    """K-06, K-07, K-09, Y-06, Y-09: an index of an earlier catalog, brought up to date; it must equal one built anew."""
+    store, _ = _refreshed(spark, sf)
+    return store.rows(store.snapshot()).select("collection", "chunk_id", "text", "metadata.title", "metadata.document_kind", "metadata.publisher", "metadata.content_hash", "embedding_sig")
+
+
+@query(
+    f"""WITH {SQL_INDEX}, b AS (SELECT *, t <> '' AS full_now, r = 1 OR t <> '' AS full_then FROM n),
+x AS (SELECT CAST(count_if(r = 0 AND full_now OR r <> 0 AND full_now AND NOT full_then) AS BIGINT) AS added, count_if(r = 1 AND full_now) AS updated, count_if(r = 3 AND full_now) AS deleted, count_if(r = 2 AND full_now) AS metadata_only, count_if(NOT full_now) AS skipped FROM b)
+SELECT added, updated, deleted, metadata_only, skipped, (SELECT count(*) FROM p) AS chunks FROM x"""
+)
+def k09_index_report(spark, sf):
+    """K-09, Y-08: what an update did."""
+    r = _refreshed(spark, sf)[1]
+    return spark.createDataFrame([(r.added, r.updated, r.deleted, r.metadata_only, r.skipped, r.chunks)], "added long, updated long, deleted long, metadata_only long, skipped long, chunks long")
+
+
+@query(f"WITH {SQL_INDEX}, o AS (SELECT doc_id, document_kind, CASE WHEN r = 4 THEN NULL ELSE {COLLECTION.format(r="'active'")} END AS target, pos FROM p) SELECT coalesce(target, '') AS target, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM o GROUP BY 1")
+def k11_split_collection(spark, sf):
+    """K-11: the chunks of one collection dealt by the kinds of their documents; a fifth of the documents are unknown."""
+    items = indexing.indexable(_index_catalog(spark, sf))
+    chunks = indexing.chunked(items, indexing.Embedder(encode=lambda c: F.array(F.lit(1.0))))
+    kinds = _index_catalog(spark, sf).where(F.length("text") % 5 != 4).select("doc_id", "document_kind", F.lit("active").alias("retention"))
+    split = indexing.split_collection(chunks, kinds)
+    return split.groupBy(F.coalesce("target", F.lit("")).alias("target")).agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"))
