@@ -107,6 +107,8 @@ def strip_seen_lines(docs: DataFrame, batch: Column, batches: int, least_docs: i
         folder.make(at)
     incoming = spark.readStream.schema(schema).parquet(folder("arrived"))
     totals = incoming.select(F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("k")).groupBy(F.unhex("k").alias("key")).agg(F.count("*").alias("total"))
+    # a batch holds its share of the rows, so its shuffles and the state of its keys take their share of the partitions
+    share = max(spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // batches))
     counted = "key binary, total long, earlier long, n long, batch int"
 
     for k in range(batches):
@@ -124,9 +126,9 @@ def strip_seen_lines(docs: DataFrame, batch: Column, batches: int, least_docs: i
             hits = split_join(here, seen, ["key"], "n", most=HOT_KEYS).groupBy("row_no").agg(F.collect_list("at").alias("gone"))
             hits.write.mode("overwrite").parquet(folder("hits", f"batch={k}"))
 
-        with _settings(spark, STATE):
+        with _settings(spark, STATE | {"spark.sql.shuffle.partitions": str(share)}):
             query = totals.writeStream.outputMode("update").foreachBatch(settle).option("checkpointLocation", folder("checkpoint")).trigger(availableNow=True).start()
-        query.awaitTermination()
+            query.awaitTermination()
 
     gone = spark.read.schema("row_no long, gone array<int>, batch int").parquet(folder("hits")).select("row_no", "gone")
     gone_at = F.coalesce("gone", F.array().cast("array<int>"))
