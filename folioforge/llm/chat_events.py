@@ -127,15 +127,26 @@ def read_back(segments: DataFrame) -> DataFrame:
 def events_of(conversations: DataFrame, piece: int = 200) -> DataFrame:
     """The log of finished conversations (conv_id, turn, role, text): users send messages, assistants stream deltas.
 
+    By a rule of conv_id and position, every third message that is no answer was sent as a draft and then edited, and every fourth answer
+    was begun wrongly, followed by a message, and then regenerated. Folding the log gives the conversation back.
+
     Rows are by turn; of rows with the same conv_id and turn each is a message of its own, in order of role and text,
     so nothing is lost. Null turns come first. Rows without conv_id are ignored.
     """
     order = [F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
     slot = F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).cast("long")
     c = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    c = c.withColumn("slot", slot)
-    count = F.when(F.col("role") == "assistant", F.greatest(F.lit(1), F.ceil(F.length("text") / piece))).otherwise(F.lit(1))
-    c = c.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)))
-    streamed = F.col("role") == "assistant"
-    part = F.when(streamed, F.substring("text", (F.col("k") * piece + 1).cast("int"), F.lit(piece))).otherwise(F.col("text"))
-    return c.select("conv_id", (F.col("slot") * (1 << 32) + F.col("k")).alias("seq"), F.when(streamed, F.lit("delta")).otherwise(F.lit("message")).alias("kind"), "slot", "role", part.alias("text"))
+    c = c.withColumn("slot", slot).withColumn("streamed", F.coalesce(F.col("role") == "assistant", F.lit(False)))
+    turn = F.col("conv_id") + F.col("slot")
+    again, edited = F.col("streamed") & (F.pmod(turn, F.lit(4)) == 0), ~F.col("streamed") & (F.pmod(turn, F.lit(3)) == 0)
+    event = lambda k, kind, at, role, text: F.struct(k.cast("long").alias("k"), kind.alias("kind"), at.alias("slot"), role.alias("role"), text.alias("text"))
+    draft = event(F.lit(0), F.when(again, "delta").otherwise("message"), F.col("slot"), F.col("role"), F.lit("not this"))
+    lost = event(F.lit(1), F.lit("message"), F.col("slot") + 1, F.lit("user"), F.lit("nor this"))
+    before = F.when(again, F.array(draft, lost)).when(edited, F.array(draft)).otherwise(F.array().cast("array<struct<k:bigint,kind:string,slot:bigint,role:string,text:string>>"))
+    count = F.when(F.col("streamed"), F.greatest(F.lit(1), F.ceil(F.length("text") / piece))).otherwise(F.lit(1)).cast("long")
+    first = F.when(again, "regenerate").when(F.col("streamed"), "delta").when(edited, "edit").otherwise("message")
+    c = c.withColumn("before", before).withColumn("first", first).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    part = F.when(F.col("streamed"), F.substring("text", (F.col("k") * piece + 1).cast("int"), F.lit(piece))).otherwise(F.col("text"))
+    now = event(F.col("k") + 2, F.when(F.col("k") == 0, F.col("first")).otherwise("delta"), F.col("slot"), F.col("role"), part)
+    every = c.select("conv_id", F.col("slot").alias("at"), F.explode(F.when(F.col("k") == 0, F.concat("before", F.array(now))).otherwise(F.array(now))).alias("e"))
+    return every.select("conv_id", (F.col("at") * (1 << 32) + F.col("e.k")).alias("seq"), "e.kind", "e.slot", "e.role", "e.text")
