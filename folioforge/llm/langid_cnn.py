@@ -5,7 +5,7 @@ widths 2, 3 and 4 run over them; each filter keeps its maximum; a softmax layer
 probabilities. A document's probabilities are the softmax of the mean log probabilities of its windows.
 Applying the network uses tables of byte-pair responses, which are the same sums in another order.
 
-Bounds: the fit learns the ``FIT_LANGS`` languages with the most distinct texts, from at most ``FIT_DOCS`` rows of each, those of the
+Bounds: the fit learns every language, from at most ``FIT_DOCS`` rows of each (fewer if there are so many that ``FIT_ROWS`` would be passed), those of the
 smallest hash of doc_id and text, and of each at most ``FIT_WINDOWS`` windows spread evenly over the whole text. Prediction
 covers whole texts.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.arrays import row_of, row_sums, text_slices
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 8, 8
-FIT_LANGS, FIT_DOCS, FIT_WINDOWS, EPOCHS, BATCH, SEED = 200, 400, 6, 12, 64, 11
+FIT_ROWS, FIT_DOCS, FIT_WINDOWS, EPOCHS, BATCH, SEED = 80_000, 400, 6, 12, 64, 11
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,19 +150,21 @@ def train(docs: DataFrame) -> ByteConvNet | None:
 
     Rows equal in doc_id, text and lang count once. Which rows are taken is told by a bar on their hash for each language, set
     from its number of distinct rows to let half as many again through; a task then ranks the few that passed. So no
-    language is gathered in one task, and at most ``FIT_LANGS`` x ``FIT_DOCS`` x ``FIT_WINDOWS`` windows come to the driver (62 MB).
+    language is gathered in one task. Every language has the same number of rows at most: ``FIT_DOCS``, or its share of ``FIT_ROWS``, or one. So at
+    most ``FIT_ROWS`` x ``FIT_WINDOWS`` windows come to the driver (62 MB) unless there are more languages than that.
     """
     known = docs.where("text is not null and lang is not null and doc_id is not null and length(text) > 0")
     known = known.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "text", F.col("lang").cast("string").alias("lang"))
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct("row", 0.05).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGS).collect()
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("row", 0.05).alias("n")).collect()
     if not sizes:
         return None
+    each = min(FIT_DOCS, max(1, FIT_ROWS // len(sizes)))
     place = F.shiftrightunsigned("row", 1) / float(1 << 63)
-    bars = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * FIT_DOCS / max(r["n"], 1))) for r in sizes], "lang string, bar double")
+    bars = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * each + 8) / max(r["n"], 1))) for r in sizes], "lang string, bar double")
     passed = known.join(F.broadcast(bars), "lang").where(place <= F.col("bar")).select("row", "text", "lang")
     few = passed.mapInArrow(_cut, "row long, lang string, bytes binary").groupBy("lang", "row").agg(F.first("bytes").alias("bytes"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("row"))
-    got = few.withColumn("rank", rank).where(F.col("rank") <= FIT_DOCS).select("lang", "bytes").toArrow()
+    got = few.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "bytes").toArrow()
     if not got.num_rows:
         return None
     rows = sorted(zip(got["lang"].to_pylist(), got["bytes"].to_pylist(), strict=True))

@@ -325,9 +325,9 @@ def test_fits_take_bounded_samples_of_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(langid_cnn, "fit", lambda x, y, langs: taken.update(windows=len(x), langs=langs, each=np.bincount(y)))
     langid_cnn.train(docs)
     assert taken["langs"] == ["de", "en", "fr"] and taken["each"][0] == 1 and 250 * 1 <= taken["each"][1] <= 400 * 6
-    monkeypatch.setattr(langid_cnn, "FIT_LANGS", 2)
+    monkeypatch.setattr(langid_cnn, "FIT_ROWS", 30)
     langid_cnn.train(docs)
-    assert taken["langs"] == ["en", "fr"]
+    assert taken["langs"] == ["de", "en", "fr"] and taken["each"][1] <= 10 * 6 and 10 <= taken["each"][2] <= 10 * 6
     monkeypatch.setattr(attention_mil, "FIT_DOCS", 500)
     monkeypatch.setattr(attention_mil, "fit", lambda x, first, label: taken.update(bags=label, size=np.diff(first)))
     labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0)] + [(100 + i, i % 2) for i in range(30)], "doc_id long, label int")
