@@ -139,6 +139,7 @@ def document_type(title: Column, body: Column, p: TypePack) -> Column:
     return cascade([(any_of(text, w) & (lines >= p.list_lines) if t == p.list_type else any_of(text, w), t) for t, w in p.rules], "unknown")
 
 
+#: Personal numbers and internal addresses.
 ID_NUMBER = r"(?<!\d)(\d{17}[\dXx])(?!\d)"
 PHONE = r"(?<!\d)(1[3-9]\d{9})(?!\d)"
 LONG_NUMBER = r"(?<!\d)(\d{16})(?!\d)"

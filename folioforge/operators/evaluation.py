@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import excerpt, terms
-from folioforge.operators.retrieval import small, spread
+from folioforge.operators.patterns import matches
+from folioforge.operators.retrieval import QUESTIONS, small, spread
+from folioforge.storage import cut
 
 
 def coverage_hits(questions: DataFrame, docs: DataFrame, keep: int = 5) -> DataFrame:
-    """Best documents of each question: ``question_id, doc_id, domain_hit, n_terms, score, rank``.
+    """Best documents of each question: ``question_id, doc_id, n_terms, score, rank``.
 
     ``questions`` has question_id, domains, terms (arrays); ``docs`` has doc_id, domain, text, publish_date. Score is
     2 for a wanted domain plus one for each term in the text; kept are domain hits with at least two terms, ranked by
-    score, publish_date as text, then smaller doc_id. The join is on the domain, so questions meet their domains' documents only.
+    score, publish_date as text, then smaller doc_id. All terms are found in one pass over the texts of wanted domains; questions
+    meet (document, term) pairs, not documents.
     """
-    wanted = questions.select("question_id", F.explode(F.array_distinct("domains")).alias("domain"), "terms")
-    met = spread(docs.select("doc_id", "domain", "text", "publish_date")).join(small(wanted), "domain")
-    n = F.size(F.filter("terms", lambda t: F.contains(F.col("text"), t)))
-    scored = met.select("question_id", "doc_id", "publish_date", n.alias("n_terms")).where("n_terms >= 2").withColumn("score", F.col("n_terms") + 2)
+    wanted = questions.select("question_id", F.explode(F.array_distinct("domains")).alias("domain"), F.array_distinct("terms").alias("terms"))
+    asked = cut(wanted.select("question_id", "domain", F.explode("terms").alias("pattern")), "asked_terms")
+    mine = spread(docs.select("doc_id", "domain", "text", "publish_date")).join(small(asked.select("domain").distinct()), "domain", "left_semi")
+    keyed = mine.select(F.struct("doc_id", "domain", "publish_date").alias("doc"), "text")
+    pairs = matches(keyed, asked, "doc").select("doc.*", "pattern")
+    scored = pairs.join(small(asked, 20 * QUESTIONS), ["domain", "pattern"]).groupBy("question_id", "doc_id", "publish_date").agg(F.count("*").cast("int").alias("n_terms")).where("n_terms >= 2").withColumn("score", F.col("n_terms") + 2)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("publish_date"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 

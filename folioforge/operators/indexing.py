@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.functions.rules import boost, collection_of, temporal_class
-from folioforge.functions.text import text_hash, trigram_vector
+from folioforge.functions.text import canonical_json, text_hash, trigram_vector
 from folioforge.operators.catalog import index_changes
 from folioforge.operators.chunking import split_documents
 from folioforge.sources.snapshots import Refused, Snapshot, SnapshotTable
@@ -57,13 +57,6 @@ class IndexReport:
     version: int
 
 
-def canonical_json(fields: dict[str, Column]) -> Column:
-    """A JSON object with sorted keys, a blank after each colon and comma, and non-ASCII characters as they are."""
-    value = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
-    parts = [F.concat(F.lit(f'"{k}": '), F.coalesce(value(fields[k]), F.lit("null"))) for k in sorted(fields)]
-    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
-
-
 def indexable(catalog: DataFrame, schema_version: str = "2") -> DataFrame:
     """Documents that belong in a collection, with their metadata and signatures: ``doc_id, title, text, collection, metadata, embedding_sig, metadata_sig``.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.functions.text import canonical_json
+from folioforge.operators.patterns import matches
+
 #: Reasons that count as news and as copies in topic statistics.
 NEWS_REASONS, COPY_REASONS = ("news_noise", "strong_exclude", "no_facts"), ("duplicate", "duplicate_text_hash")
 #: States in which a document may be found.
@@ -62,17 +65,14 @@ def ground_bank(bank: DataFrame, decisions: DataFrame) -> DataFrame:
 def attribute_units(docs: DataFrame, units: DataFrame) -> DataFrame:
     """``doc_id, unit_id, via``: the unit whose name is the publisher, else the one with the longest name in the title.
 
-    ``units`` has ``unit_id, name, place``; of names of one length the first place wins. The registry is small and checked to
-    be so before it is broadcast.
+    ``units`` has ``unit_id, name, place``; of names of one length the first place wins. All names are found in one pass over the titles, whatever their number.
     """
-    if units.limit(20_001).count() > 20_000:
-        raise ValueError("a unit registry of more than 20,000 names")
-    named = F.broadcast(units.where("name <> ''"))
+    named = units.where("name <> ''")
+    owner = named.groupBy("name").agg(F.min_by("unit_id", "place").alias("owner"))
+    exact = docs.select("doc_id", "title", F.trim(F.coalesce("publisher", F.lit(""))).alias("name")).join(owner, "name", "left")
+    titles = exact.where("owner is null").select("doc_id", F.col("title").alias("text"))
     rank = F.struct(F.length("name"), -F.col("place"))
-    owner = units.where("name <> ''").groupBy("name").agg(F.min_by("unit_id", "place").alias("owner"))
-    exact = docs.select("doc_id", "title", F.trim(F.coalesce("publisher", F.lit(""))).alias("name")).join(F.broadcast(owner), "name", "left")
-    inside = exact.where("owner is null").drop("name").join(named, F.contains("title", "name"))
-    inside = inside.groupBy("doc_id").agg(F.max_by("unit_id", rank).alias("inside"))
+    inside = matches(titles, named.select(F.col("name").alias("pattern"))).withColumnRenamed("pattern", "name").join(named, "name").groupBy("doc_id").agg(F.max_by("unit_id", rank).alias("inside"))
     out = exact.join(inside, "doc_id", "left")
     return out.select("doc_id", F.coalesce("owner", "inside").alias("unit_id"), F.when(F.col("owner").isNotNull(), "publisher").when(F.col("inside").isNotNull(), "title").otherwise("none").alias("via"))
 
@@ -240,8 +240,8 @@ def may_publish(fingerprint: Column, audited: Column, published: Column, blocker
 
 
 def sse(event: Column, data: Column) -> Column:
-    """A server-sent event of one JSON line."""
-    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), F.to_json(F.struct(data.alias("text"))), F.lit("\n\n"))
+    """A server-sent event of one JSON line; null data is a JSON null."""
+    return F.concat(F.lit("event: "), event, F.lit("\ndata: "), canonical_json({"text": data}), F.lit("\n\n"))
 
 
 def feedback(question: Column, answer: Column, most: int = 500) -> Column:

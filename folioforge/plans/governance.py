@@ -304,7 +304,7 @@ def p32_publish_states(spark, sf):
     return table(spark, sf, "documents").select("doc_id", reports.may_publish(F.lit("f"), mark(_id() % 2 == 0), mark(_id() % 4 == 0), F.when(_id() % 3 == 0, 1).otherwise(0)).alias("state"))
 
 
-@query(f"WITH {SQL_CATALOG} SELECT doc_id, 'event: token' || chr(10) || 'data: ' || to_json({{'text': title}}) || chr(10) || chr(10) AS event FROM catalog")
+@query(f"WITH {SQL_CATALOG} SELECT doc_id, 'event: token' || chr(10) || 'data: {{\"text\": ' || coalesce(CAST(to_json(title) AS VARCHAR), 'null') || '}}' || chr(10) || chr(10) AS event FROM catalog")
 def k14_events(spark, sf):
     return views.catalog(spark, sf).select("doc_id", reports.sse(F.lit("token"), F.col("title")).alias("event"))
 

@@ -269,7 +269,7 @@ def r04_bm25(spark, sf):
 @query(
     r"""WITH tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents), n AS (SELECT count(*) AS n FROM tok),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tok) GROUP BY term), raw AS (SELECT term, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM df, n)
-SELECT term, round(CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM raw) ELSE idf END, 6) AS idf FROM raw"""
+SELECT term, round(CASE WHEN idf < 0 THEN 0.25::DOUBLE * mean ELSE idf END, 6) AS idf FROM raw CROSS JOIN (SELECT avg(idf) AS mean FROM raw)"""
 )
 def a19_inverse_frequencies(spark, sf):
     return retrieval.inverse_frequencies(retrieval.vocabulary(table(spark, sf, "documents"))).withColumn("idf", F.round("idf", 6))

@@ -49,15 +49,15 @@ SQL_LOG = """log AS (SELECT doc_id, k * 10000000 + doc_id AS seq, title || ' v'
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question for each benchmark item: its first terms, two wanted sources, a scene."""
+    """One question for each benchmark item: its words of four letters and more, two wanted sources, a scene."""
     i = F.col("item_id")
-    words = F.regexp_extract_all("text", F.lit(r"([A-Za-z]{4,})"), F.lit(1))
+    words = F.regexp_extract_all("text", F.lit(r"(\p{L}{4,})"), F.lit(1))
     source = lambda k: F.concat(F.lit("src"), ((i + k) % 20).cast("string"))
-    return table(spark, sf_dir, "benchmark").select(i.alias("question_id"), "text", F.array(source(0), source(7)).alias("domains"), F.slice(F.array_distinct(words), 1, 8).alias("terms"), F.concat(F.lit("scene"), (i % 11).cast("string")).alias("scene"))
+    return table(spark, sf_dir, "benchmark").select(i.alias("question_id"), "text", F.array(source(0), source(7)).alias("domains"), F.array_distinct(words).alias("terms"), F.concat(F.lit("scene"), (i % 11).cast("string")).alias("scene"))
 
 
-SQL_QUESTIONS = """words AS (SELECT item_id, word, min(pos) AS pos FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z]{4,}'), 1) AS pos FROM benchmark) GROUP BY ALL),
-qterms AS (SELECT item_id AS question_id, list(word ORDER BY pos)[1:8] AS terms FROM words GROUP BY item_id),
+SQL_QUESTIONS = r"""words AS (SELECT item_id, word, min(pos) AS pos FROM (SELECT item_id, unnest(regexp_extract_all(text, '\p{L}{4,}')) AS word, generate_subscripts(regexp_extract_all(text, '\p{L}{4,}'), 1) AS pos FROM benchmark) GROUP BY ALL),
+qterms AS (SELECT item_id AS question_id, list(word ORDER BY pos) AS terms FROM words GROUP BY item_id),
 questions AS (SELECT item_id AS question_id, text, ['src' || (item_id % 20), 'src' || ((item_id + 7) % 20)] AS domains, coalesce(terms, []) AS terms, 'scene' || (item_id % 11) AS scene
   FROM benchmark LEFT JOIN qterms ON item_id = question_id)"""
 
