@@ -30,9 +30,6 @@ WORDS, LEAST_DOCS, ODDS_DOCS, FIT_DOCS = 1 << 16, 4, 1 << 18, 8_000
 SHRINK, STRONG = 10.0, 0.5
 #: Weight decay of the regression.
 DECAY = 1e-4
-#: Times that the tokens of documents sure to be of a domain may count towards its target. Published trials of training on
-#: repeated data find no further gain beyond about so many epochs.
-MOST_EPOCHS = 16.0
 ROUNDS, TOLERANCE = 50, 1e-4
 SHAPE = ("s0", "s1", "s2", "s3")
 
@@ -156,12 +153,12 @@ def posteriors(table: DataFrame, known: DataFrame, domains: list[str]) -> list[C
     return [w / sum(weights[1:], weights[0]) for w in weights]
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epochs: float | None = None, seed: int = 17, most_epochs: float = MOST_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epochs: float | None = None, seed: int = 17, most_epochs: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, p_<domain>..., rate, copies``, then the columns ``keep`` of the input.
 
     ``weights`` are the wanted shares of tokens. The total is what makes the domain of the largest weight keep its tokens, so
     rates of scarce domains exceed 1; with ``max_epochs`` it is the largest total for which no domain needs more than so
-    many times the tokens that it is expected to hold. A domain's target is at most ``most_epochs`` times the tokens that
+    many times the tokens that it is expected to hold; all shares are met either way. Only if asked for, a domain's target is at most ``most_epochs`` times the tokens that
     documents with a probability of half or more bring it, and once what others do; where that cuts a share, a
     warning tells the asked and the reached one, and the other domains' totals stay as they were. ``copies``
     rounds the rate up with a chance equal to its fraction, by a hash of doc_id and ``seed``.
@@ -189,7 +186,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
     share = np.array([weights[d] for d in domains]) / sum(weights.values())
     lead = share.argmax()
     asked = share * (held[lead] / share[lead] if max_epochs is None else (held[share > 0] / share[share > 0]).min() * max_epochs)
-    target = np.minimum(asked, most_epochs * sure + held - sure)
+    target = asked if most_epochs is None else np.minimum(asked, most_epochs * sure + held - sure)
     for i in np.flatnonzero(target < asked * (1 - TOLERANCE)):
         logging.getLogger(__name__).warning("%s: asked a share of %.4g, reached %.4g, as documents count %g times at most", domains[i], share[i], target[i] / max(target.sum(), 1.0), most_epochs)
     rate, scale = F.lit(1.0), max(float(held.sum()), 1.0)

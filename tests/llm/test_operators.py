@@ -649,7 +649,7 @@ def test_pipeline_emits_each_document_copies_times(spark, monkeypatch):
     copies = {"a": 0, "b": 1, "c": 3, "d": 2, "e": 0}
     docs = spark.createDataFrame([(1, "a", "en", "s", 2), (2, "b", "en", "s", 2), (3, "c", "en", "s", 2), (3, "d", "en", "s", 2), (None, "e", "en", "s", 2)], "doc_id long, text string, lang string, source string, n_chars int")
     rate = F.create_map(*(F.lit(x) for kv in copies.items() for x in kv))
-    monkeypatch.setattr(soft_mixing, "mix", lambda d, *_, keep: d.select("doc_id", *keep, rate[F.col("text")].cast("long").alias("copies")))
+    monkeypatch.setattr(soft_mixing, "mix", lambda d, *_, keep, **__: d.select("doc_id", *keep, rate[F.col("text")].cast("long").alias("copies")))
     got = corpus_pipeline.mixing(spark, docs, "/root/testdata/sf0.001").collect()
     assert sorted(r.text for r in got) == ["b", "c", "c", "c", "d", "d", "e"] and all(r.n_chars == 2 for r in got)
 
@@ -687,7 +687,7 @@ def test_pipeline_stages_equal_brute_force_on_odd_rows(spark, tmp_path):
             want = [(i, t) for r, (i, t) in zip(rows, cleaned, strict=True) if t == r.text or WORD.search(t)]
             assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want)) and all(r.text is None or r.source == "odd" or r.n_chars == len(r.text) for r in out.collect())
         elif name == "mixing":
-            rates = soft_mixing.mix(docs, queries.domains(queries.table(spark, sf, "labels")), queries.WEIGHTS, keep=("text",)).collect()
+            rates = soft_mixing.mix(docs, queries.domains(queries.table(spark, sf, "labels")), queries.WEIGHTS, most_epochs=corpus_pipeline.MOST_EPOCHS, keep=("text",)).collect()
             want = [(r.doc_id, r.text) for r in rates for _ in range(r.copies if r.doc_id is not None else 1)]
             assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
         else:
