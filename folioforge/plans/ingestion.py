@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folioforge.functions import text
-from folioforge.operators import admission, indexing, ingest, links
+from folioforge.functions import contacts, text
+from folioforge.operators import admission, fingerprints, indexing, ingest, links
 from folioforge.operators.admission import Gate, Unique
 from folioforge.plans import views
 from folioforge.plans.governance import COLLECTION
@@ -199,3 +199,53 @@ def k11_split_collection(spark, sf):
     kinds = _index_catalog(spark, sf).where(F.length("text") % 5 != 4).select("doc_id", "document_kind", F.lit("active").alias("retention"))
     split = indexing.split_collection(chunks, kinds)
     return split.groupBy(F.coalesce("target", F.lit("")).alias("target")).agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"))
+
+
+# fingerprints
+
+
+def _row():
+    return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text", "lang", "source")))
+
+
+SQL_TREE = """r AS (SELECT left(sha256(CAST(doc_id AS VARCHAR)), 3) AS prefix, sha256(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '') || '|' || coalesce(lang, '') || '|' || coalesce(source, '')) AS d FROM {t}),
+l3 AS (SELECT prefix, count(*) AS n, sha256(count(*) || ':' || sum(CAST(('0x' || substr(d, 1, 15)) AS HUGEINT)) || ':' || sum(CAST(('0x' || substr(d, 16, 15)) AS HUGEINT))) AS digest FROM r GROUP BY prefix),
+l2 AS (SELECT left(prefix, 2) AS prefix, sum(n) AS n, sha256(string_agg(prefix || '=' || digest, ';' ORDER BY prefix)) AS digest FROM l3 GROUP BY 1), l1 AS (SELECT left(prefix, 1) AS prefix, sum(n) AS n, sha256(string_agg(prefix || '=' || digest, ';' ORDER BY prefix)) AS digest FROM l2 GROUP BY 1),
+l0 AS (SELECT '' AS prefix, sum(n) AS n, sha256(string_agg(prefix || '=' || digest, ';' ORDER BY prefix)) AS digest FROM l1)"""
+
+
+@query(
+    "WITH " + SQL_TREE.format(t="documents") + " SELECT 3 AS level, prefix, n, digest FROM l3 UNION ALL SELECT 2, prefix, CAST(n AS BIGINT), digest FROM l2 UNION ALL SELECT 1, prefix, CAST(n AS BIGINT), digest FROM l1 UNION ALL SELECT 0, prefix, CAST(n AS BIGINT), digest FROM l0"
+)
+def a18_hash_tree(spark, sf):
+    """A-18, X-25: the fingerprint of the corpus as a tree of digests."""
+    return fingerprints.tree(table(spark, sf, "documents"), F.col("doc_id"), _row())
+
+
+@query("SELECT doc_id, CASE WHEN length(text) % 89 = 3 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE length(text) % 89 = 3 OR length(text) % 97 = 5")
+def y23_changed_documents(spark, sf):
+    """Z-07, Y-23: documents that differ from an earlier state of the corpus, found through two trees."""
+    now = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    then = now.where(F.coalesce(F.length("text") % 89 != 3, F.lit(True))).withColumn("text", F.when(F.length("text") % 97 == 5, F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    trees = [fingerprints.tree(t, F.col("doc_id"), _row()) for t in (then, now)]
+    return fingerprints.changed_rows(then, now, "doc_id", fingerprints.difference(*trees).leaves)
+
+
+# personal numbers
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, source, '138' || lpad(CAST(n_chars AS VARCHAR), 8, '0') AS phone, CASE WHEN n_chars % 7 = 0 THEN '11010519491231002X ' ELSE '' END || replace(replace(coalesce(text, ''), ', ', '，家长 '), '. ', '。招生办 ' || '138' || lpad(CAST(n_chars AS VARCHAR), 8, '0') || ' ') AS t FROM documents),
+p AS (SELECT *, unnest(range(1, len(string_split(t, phone)))) AS i FROM t), w AS (SELECT doc_id, regexp_replace(right(list_reduce(string_split(t, phone)[1:i], lambda a, b: a || phone || b), 60), '[\s\p{Z}]+', '', 'g') AS near FROM p),
+c AS (SELECT doc_id, count(*) AS phones, count_if(contains(near, '家长') OR NOT contains(near, '招生办')) AS private FROM w GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN n_chars % 7 = 0 THEN 1 ELSE 0 END AS people, coalesce(phones, 0) AS phones, CASE WHEN t.source IN ('src1', 'src2') THEN 0 WHEN t.source < 'src5' THEN coalesce(private, 0) ELSE coalesce(phones, 0) END AS held FROM t LEFT JOIN c USING (doc_id) JOIN documents d ON d.doc_id = t.doc_id"""
+)
+def p11_contacts(spark, sf):
+    """P-10, P-11: the real patterns on texts with telephone numbers after every sentence; commas bring private context. Sources decide what may be shown."""
+    d = table(spark, sf, "documents")
+    phone = F.concat(F.lit("138"), F.lpad(F.col("n_chars").cast("string"), 8, "0"))
+    body = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit("，家长 ")), F.lit(". "), F.concat(F.lit("。招生办 "), phone, F.lit(" ")))
+    d = d.select("doc_id", "source", F.concat(F.when(F.col("n_chars") % 7 == 0, "11010519491231002X ").otherwise(""), body).alias("t"))
+    held = contacts.personal(F.col("t"), F.col("source").isin("src1", "src2"), F.col("source") < "src5")
+    people = F.size(F.filter(held, lambda x: x.endswith("X")))
+    return d.select("doc_id", people.alias("people"), F.size(contacts.phones(F.col("t"))).alias("phones"), (F.size(held) - people).alias("held"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.operators import admission, indexing, ingest, joins, routed, segmentation
+from folioforge.operators import admission, fingerprints, indexing, ingest, joins, patterns, routed, segmentation
 from folioforge.operators.admission import Gate, Unique
 from folioforge.plans import ingestion, registry, routing  # noqa: F401  register their queries
 from folioforge.sources import snapshots
@@ -282,3 +282,34 @@ def test_segments_of_the_query_equal_a_plain_cut(spark):
         for piece in re.findall(r"[a-zß-öø-ɏ]+|[0-9_]+", d.text.lower()):
             want += best_cut(piece, logs, max(len(r.word) for r in table), unknown) if piece[0].isalpha() else [piece]
         assert got[d.doc_id] == want
+
+
+def test_hash_trees_tell_equal_tables_and_what_differs(spark):
+    rows = [(i, f"text {i}") for i in range(4000)] + [(None, None), (7, "text 7")]
+    make = lambda r, parts: spark.createDataFrame(r, "k long, v string").repartition(parts)
+    build = lambda t: fingerprints.tree(t, F.col("k"), F.concat_ws("|", F.col("k").cast("string"), "v"))
+    a, b = build(make(rows, 2)), build(make(rows[::-1], 7))
+    assert fingerprints.root(a) == fingerprints.root(b) != "" and fingerprints.difference(a, b) == fingerprints.Difference([], 1)
+    assert fingerprints.root(build(make(rows[:-1], 2))) != fingerprints.root(a)  # a repeated row counts
+    other = [(k, "new" if k == 17 else v) for k, v in rows if k != 99] + [(9999, "more")]
+    d = fingerprints.difference(a, build(make(other, 3)))
+    assert len(d.leaves) == 3 and d.compared <= 1 + 16 + 3 * 16 + 3 * 16
+    plain = lambda r: make([x for x in r if x[0] is not None and x != (7, "text 7")] + [(7, "text 7")], 3).distinct()
+    assert {tuple(r) for r in fingerprints.changed_rows(plain(rows), plain(other), "k", d.leaves).collect()} == {(17, "changed"), (99, "deleted"), (9999, "added")}
+    empty = build(make([], 1))
+    assert fingerprints.root(empty) == "" and len(fingerprints.difference(empty, a).leaves) == a.where("level = 3").count()
+
+
+def test_patterns_equal_counts_of_overlapping_matches(spark, monkeypatch):
+    rng = random.Random(4)
+    letters = "abé招"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 80))) for _ in range(200)] + [None, "", "aaaaaa"]
+    names = list({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(300)}) + ["aa", "zz"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = spark.createDataFrame([(n,) for n in [*names, names[0], "", None]], "pattern string")
+    count = lambda t, p: sum(t.startswith(p, i) for i in range(len(t)))
+    want = {(i, p): count(t or "", p) for i, t in enumerate(texts) for p in names if p in (t or "")}
+    for most in (1 << 20, 100):
+        got = {(r.doc_id, r.pattern): r.n for r in patterns.matches(docs, wanted, most=most).collect()}
+        assert got == want
+    assert patterns.matches(docs, wanted.limit(0)).count() == 0 and patterns.matches(docs.limit(0), wanted).count() == 0
