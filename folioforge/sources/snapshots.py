@@ -82,11 +82,12 @@ class SnapshotTable:
         """Make the next version from ``base``: ``rows`` replace its ``touched`` buckets, or all of them.
 
         ``check`` gets the staged rows as read back and returns what is wrong with them, or None. A failed check and a lost race
-        leave the newest version as it was and delete what was staged. Without rows a touched bucket is empty afterwards.
+        leave the newest version as it was and delete what was staged. Without rows a touched bucket is empty afterwards. Large buckets are written by several
+        tasks, so no task holds one whole.
         """
         folder = f"data/{uuid.uuid4().hex}"
         try:
-            rows.select(*self.schema.names).withColumn("bucket", self.bucket()).repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{folder}")
+            rows.select(*self.schema.names).withColumn("bucket", self.bucket()).hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{folder}")
             written = {int(n.split("=")[1]): f"{folder}/{n}" for n in self._names(folder) if n.startswith("bucket=")}
             if touched is not None and not set(written) <= touched:
                 raise Refused("rows lie outside the touched buckets")
