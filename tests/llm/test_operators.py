@@ -687,7 +687,7 @@ def test_pipeline_stages_equal_brute_force_on_odd_rows(spark, tmp_path):
             want = [(i, t) for r, (i, t) in zip(rows, cleaned, strict=True) if t == r.text or WORD.search(t)]
             assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want)) and all(r.text is None or r.source == "odd" or r.n_chars == len(r.text) for r in out.collect())
         elif name == "mixing":
-            rates = soft_mixing.mix(docs, queries.domains(queries.table(spark, sf, "labels")), queries.WEIGHTS, most_epochs=corpus_pipeline.MOST_EPOCHS, keep=("text",)).collect()
+            rates = soft_mixing.mix(docs, queries.domains(queries.table(spark, sf, "labels")), queries.WEIGHTS, max_epochs=corpus_pipeline.MAX_EPOCHS, keep=("text",)).collect()
             want = [(r.doc_id, r.text) for r in rates for _ in range(r.copies if r.doc_id is not None else 1)]
             assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
         else:
@@ -708,6 +708,14 @@ def test_pipeline_stages_keep_columns_and_drop_what_they_should(spark, tmp_path)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, kept, sf)
         assert tuple(out.columns) == corpus_pipeline.COLUMNS, name
+        if name == "mixing":
+            asked = queries.WEIGHTS
+            rates = soft_mixing.mix(kept, queries.domains(queries.table(spark, sf, "labels")), asked, max_epochs=corpus_pipeline.MAX_EPOCHS).toPandas()
+            held = {d: (rates.n_tokens * rates[f"p_{d}"]).sum() for d in asked}
+            there = [d for d in asked if held[d] > 1e-6 * rates.n_tokens.sum()]
+            got = {d: (rates.n_tokens * rates[f"p_{d}"] * rates.rate).sum() for d in there}
+            assert all(abs(got[d] / sum(got.values()) - asked[d] / sum(asked[x] for x in there)) < 0.01 for d in there)
+            assert all(got[d] < (corpus_pipeline.MAX_EPOCHS + 0.1) * held[d] for d in there)
         out.write.parquet(f"file://{tmp_path}/{name}")
         before, kept = kept, spark.read.parquet(f"file://{tmp_path}/{name}")
         assert kept.join(before, "doc_id", "left_anti").count() == 0 and 0 < kept.count() <= before.count()
