@@ -12,9 +12,9 @@ from folioforge.llm import attention_mil, cdc_dedup, setsketch, soft_mixing
 from folioforge.llm.queries import WEIGHTS, domains, held_out, table, tokenized
 from folioforge.storage import cut
 
-#: Times that documents sure to be of a scarce domain may count in the mix. The quality stage leaves hardly any junk, of which the weights
-#: ask a share; without a bound its few short documents would be repeated hundreds of times.
-MOST_EPOCHS = 16.0
+#: The mix is the largest in which no domain needs more than so many times the tokens that the earlier stages left of it. All shares are
+#: met; the quality stage leaves little junk, of which the weights ask a share, so the domains in plenty are thinned out.
+MAX_EPOCHS = 16.0
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -56,7 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are rated by their texts. Null texts weigh nothing and are emitted by their rate; rows with a null
     doc_id stay once.
     """
-    rates = soft_mixing.mix(docs.withColumn("key", F.xxhash64("text")), domains(table(spark, sf_dir, "labels")), WEIGHTS, most_epochs=MOST_EPOCHS, keep=("key",))
+    rates = soft_mixing.mix(docs.withColumn("key", F.xxhash64("text")), domains(table(spark, sf_dir, "labels")), WEIGHTS, max_epochs=MAX_EPOCHS, keep=("key",))
     other = rates.where("doc_id is not null and copies <> 1").select(F.col("doc_id").alias("mixed_id"), F.col("key").alias("mixed_key"), "copies").distinct()
     mine = (docs["doc_id"].cast("long") == other["mixed_id"]) & (F.xxhash64(docs["text"]) == other["mixed_key"])
     times = F.coalesce("copies", F.lit(1)).cast("int")
