@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import cascades, rules, text, web
 from folioforge.operators import catalog, chunking, evaluation, links, reports, retrieval, versions
-from folioforge.plans import files, governance, ingestion, pages, registry, routing, structures  # noqa: F401
+from folioforge.plans import crawling, files, governance, ingestion, pages, registry, routing, structures  # noqa: F401
 from folioforge.sources import attachments, tables
 from folioforge.streaming import state
 
