@@ -159,7 +159,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
     ``weights`` are the wanted shares of tokens. The total is what makes the domain of the largest weight keep its tokens, so
     rates of scarce domains exceed 1; with ``max_epochs`` it is the largest total up to that for which no domain needs more than so
     many times the tokens that it is expected to hold (a domain of which the rows hold next to nothing, below a millionth of all
-    tokens, can be met by no total and bounds none); all shares are met either way. Only if asked for, a domain's target is at most ``most_epochs`` times the tokens that
+    tokens, can be met by no total and bounds none: a warning names it); all other shares are met either way. Only if asked for, a domain's target is at most ``most_epochs`` times the tokens that
     documents with a probability of half or more bring it, and once what others do; where that cuts a share, a
     warning tells the asked and the reached one, and the other domains' totals stay as they were. ``copies``
     rounds the rate up with a chance equal to its fraction, by a hash of doc_id and ``seed``.
@@ -185,11 +185,14 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], max_epoch
     first = soft.agg(F.array(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in mass), *(F.coalesce(x, F.lit(0.0)) for x in likely)).alias("x")).first()["x"]
     held, sure = np.array(first[: len(domains)]), np.array(first[len(domains) :])
     share = np.array([weights[d] for d in domains]) / sum(weights.values())
-    lead, there = share.argmax(), (share > 0) & (held > 1e-6 * held.sum())
+    there = (share > 0) & (held > 1e-6 * held.sum())
+    lead = np.where(there, share, 0.0).argmax()
     total = held[lead] / share[lead]
     if max_epochs is not None and there.any():
         total = min(total, (held[there] / share[there]).min() * max_epochs)
-    asked = share * total
+    for i in np.flatnonzero((share > 0) & ~there):
+        logging.getLogger(__name__).warning("%s: asked a share of %.4g, but the rows hold nothing of it", domains[i], share[i])
+    asked = np.where(there, share, 0.0) * total
     target = asked if most_epochs is None else np.minimum(asked, most_epochs * sure + held - sure)
     for i in np.flatnonzero(target < asked * (1 - TOLERANCE)):
         logging.getLogger(__name__).warning("%s: asked a share of %.4g, reached %.4g, as documents count %g times at most", domains[i], share[i], target[i] / max(target.sum(), 1.0), most_epochs)
