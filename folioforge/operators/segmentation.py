@@ -4,7 +4,8 @@ Spark counts all character sequences of up to ``longest`` + 1 characters inside
 holds together (its probability exceeds that of every pair of parts by far) and is free at both ends (the entropy of its
 neighbours; the ends of runs are neighbours too). The dictionary is kept as sorted 64-bit hashes beside log probabilities and is bounded by
 ``most`` entries, the most frequent ones, so it may be broadcast. A run is cut where the sum of log probabilities is largest; single characters outside the dictionary cost
-``UNKNOWN`` times the rarest count. All runs of a batch are cut in step, in numpy.
+``UNKNOWN`` times the rarest count. All runs of about ``SLICE`` characters of whole texts are counted or cut in step, in numpy, so a task's
+memory is bounded by that or by its longest text, whatever the size of a batch.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ LONGEST, LEAST, COHESION, ENTROPY, MOST = 4, 5, 1.0, 1.0, 1 << 20
 UNKNOWN = 0.5
 #: Cells of a table of best cuts, so many at once.
 CELLS = 1 << 22
+#: Characters of whole texts that are worked on at once.
+SLICE = 1 << 19
 _U = np.uint64
 
 
@@ -36,6 +39,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Whole texts of about ``SLICE`` characters together, and the row of the first; null texts are empty."""
+    texts = pc.fill_null(texts, "")
+    end = np.concatenate([[0], np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(end, end[lo] + SLICE, "right")) - 1)
+        yield lo, texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts in a row, and where each text begins; null texts are empty."""
     rows = ["" if t is None else t for t in texts.to_pylist()]
@@ -66,8 +80,8 @@ def _window_hashes(codes: np.ndarray, n: int) -> np.ndarray:
 
 def _counted(longest: int, ranges: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, offsets = _codes(batch.column(0))
+        for texts in (part for batch in batches for _, part in _slices(batch.column(0))):
+            codes, offsets = _codes(texts)
             starts, ends = runs(codes, offsets, ranges)
             size = ends - starts
             seq = np.full(int(size.sum()) + len(size) + 1, EDGE, np.uint32)
@@ -187,8 +201,7 @@ def segment(docs: DataFrame, words: Words, key: str = "doc_id") -> DataFrame:
     Null and empty texts have no words. ``words`` is broadcast with the task closure; its size is bounded by the dictionary's.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "")
+        for keys, texts in ((batch.column(0).slice(lo, len(part)), part) for batch in batches for lo, part in _slices(batch.column(1))):
             codes, offsets = _codes(texts)
             starts, ends = runs(codes, offsets, words.ranges)
             cuts = cut_runs(words, codes, starts, ends)
@@ -210,7 +223,7 @@ def segment(docs: DataFrame, words: Words, key: str = "doc_id") -> DataFrame:
             bounds = np.searchsorted(a, offsets)
             pieces = [whole[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pieces, pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[key, "terms"])
+            yield pa.RecordBatch.from_arrays([keys, lists], names=[key, "terms"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, F.lower("text").alias("text")).mapInArrow(run, f"{key} {kind}, terms array<string>")

@@ -337,3 +337,24 @@ def test_contacts_count_what_was_put_in(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     want = con.sql(registry.oracle_sql()["p11_contacts"]).fetchall()
     assert sorted(map(tuple, ingestion.p11_contacts(spark, str(tmp_path)).collect())) == sorted(tuple(map(int, r)) for r in want)
+
+
+def test_segmentation_works_on_bounded_slices_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    seen, whole = [], segmentation._codes
+    monkeypatch.setattr(segmentation, "_codes", lambda texts: seen.append(len(texts)) or whole(texts))
+    texts = ["abcabd" * k for k in range(60)] + [None, "", "x" * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+    def counts():
+        out = {}
+        for b in segmentation._counted(4, segmentation.LATIN)(iter([batch])):
+            for g, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out[g] = out.get(g, 0) + n
+        return out
+
+    want, parts = counts(), len(seen)
+    monkeypatch.setattr(segmentation, "SLICE", 400)
+    assert counts() == want and want["^abc"] == 59
+    assert parts == 1 and len(seen) - parts > 20 and sum(seen[parts:]) == len(texts)
