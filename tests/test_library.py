@@ -363,3 +363,23 @@ def test_version_relations_equal_a_plain_loop(spark):
     assert {(r.source_doc_id, r.target_doc_id, r.evidence) for r in got} == want and len(got) == len(want)
     assert sum(r.relation == "supersedes" for r in got) > 20
     assert versions.version_relations(docs.limit(0)).count() == 0
+
+
+def test_nearest_equals_all_pairs_and_keeps_ties_in_order(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(500, 8))
+    v[100:300] = v[7]  # a large group of copies
+    rows = [(f"c{i % 2}", f"k{i:03d}", x.tolist()) for i, x in enumerate(v)] + [("c0", "zero", [0.0] * 8), ("c0", "null", None), ("c1", "hole", [1.0] * 7 + [None]), ("c1", "short", [1.0]), (None, "none", [1.0] * 8)]
+    asked = [(i, f"c{i % 3}", v[i].tolist()) for i in range(40)] + [(99, "c0", None), (98, "c1", [2.0])]
+    monkeypatch.setattr(retrieval, "TILE", 7)
+    docs, q = spark.createDataFrame(rows, "c string, k string, vector array<double>"), spark.createDataFrame(asked, "question_id long, c string, vector array<double>")
+    for most in (1000, 15):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+        got = {(r.question_id, r["rank"]): (r.c, r.k, r.score) for r in retrieval.nearest(docs.repartition(3), q, 5, "c", "k", most).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        want = {(98, 1): ("c1", "short", 1.0)}
+        for i, c, w in asked[:40]:
+            mine = sorted((-round(float(np.dot(x, w) / np.sqrt(np.dot(x, x) * np.dot(w, w))), 9), k) for g, k, x in rows[:500] if g == c)
+            want |= {(i, n + 1): (c, k, -s) for n, (s, k) in enumerate(mine[:5])}
+        assert {a: b[:2] for a, b in got.items()} == {a: b[:2] for a, b in want.items()}
+        assert all(abs(got[a][2] - want[a][2]) < 1.5e-9 for a in want)
