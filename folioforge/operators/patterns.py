@@ -1,4 +1,4 @@
-"""Many patterns in many texts: one pass over the bytes of a batch finds all of them, in numpy.
+"""Many patterns in many texts: one pass over the bytes of whole texts, about ``BYTES`` at once, finds all of them, in numpy.
 
 Patterns are grouped by their first bytes (four, or all of a shorter one). At every place of the text the group is looked up, first in a bitmap, then in a sorted array;
 the patterns of the group that was met are compared byte by byte, all places of a batch at once, shrinking as they differ. What leaves a task is
@@ -23,6 +23,8 @@ HEAD, BITS = 4, 20
 MOST = 1 << 20
 #: Places of one comparison.
 SLICE = 1 << 22
+#: Bytes of whole texts that are searched at once, so that a task's memory does not follow the size of its batches.
+BYTES = 1 << 20
 
 
 def _codes(data: np.ndarray, n: int) -> np.ndarray:
@@ -110,14 +112,19 @@ def _searched(table: Patterns, key: str):
             texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
             offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
             raw = texts.buffers()[2]
-            data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-            offsets = offsets - offsets[0]
-            place, who = table.find(data)
-            row = np.searchsorted(offsets, place, "right") - 1
-            inside = place + table.length[who] <= offsets[row + 1]
-            pair, n = np.unique(row[inside] * (len(table.number) + 1) + who[inside], return_counts=True)
-            row, who = np.divmod(pair, len(table.number) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(table.number[who]), pa.array(n.astype(np.int64))], names=[key, "number", "n"])
+            every = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+            lo = 0
+            while lo < len(texts):
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BYTES, "right")) - 1)
+                mine = offsets[lo : hi + 1] - offsets[lo]
+                place, who = table.find(every[offsets[lo] : offsets[hi]])
+                row = np.searchsorted(mine, place, "right") - 1
+                inside = place + table.length[who] <= mine[row + 1]
+                pair, n = np.unique(row[inside] * (len(table.number) + 1) + who[inside], return_counts=True)
+                row, who = np.divmod(pair, len(table.number) + 1)
+                if len(row):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lo)), pa.array(table.number[who]), pa.array(n.astype(np.int64))], names=[key, "number", "n"])
+                lo = hi
 
     return run
 

@@ -358,3 +358,17 @@ def test_segmentation_works_on_bounded_slices_of_a_batch(monkeypatch):
     monkeypatch.setattr(segmentation, "SLICE", 400)
     assert counts() == want and want["^abc"] == 59
     assert parts == 1 and len(seen) - parts > 20 and sum(seen[parts:]) == len(texts)
+
+
+def test_patterns_are_searched_in_bounded_slices_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["abab", None, "", "b" * 30, "ab"] * 40
+    table, sizes = patterns.Patterns([b"ab", b"ba", b"bab"]), []
+    find = table.find
+    monkeypatch.setattr(patterns.Patterns, "find", lambda self, data: sizes.append(len(data)) or find(data))
+    monkeypatch.setattr(patterns, "BYTES", 64)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = {(i, p): n for b in patterns._searched(table, "doc_id")(iter([batch])) for i, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert got == {(i, p): n for i, t in enumerate(texts) for p, n in ((0, (t or "").count("ab")), (1, (t or "").count("ba")), (2, (t or "").count("bab"))) if n}
+    assert max(sizes) <= 64 and sum(sizes) == sum(len(t or "") for t in texts)
