@@ -372,3 +372,29 @@ def test_patterns_are_searched_in_bounded_slices_of_a_batch(monkeypatch):
     got = {(i, p): n for b in patterns._searched(table, "doc_id")(iter([batch])) for i, p, n in zip(*(c.to_pylist() for c in b.columns), strict=True)}
     assert got == {(i, p): n for i, t in enumerate(texts) for p, n in ((0, (t or "").count("ab")), (1, (t or "").count("ba")), (2, (t or "").count("bab"))) if n}
     assert max(sizes) <= 64 and sum(sizes) == sum(len(t or "") for t in texts)
+
+
+def test_sums_of_many_questions_equal_a_plain_loop(spark, monkeypatch):
+    rng = random.Random(3)
+    held = {(f"c{i % 2}", f"k{i:03d}", f"t{t}"): rng.choice([0.5, 1.0, -0.25, rng.random()]) for i in range(90) for t in rng.sample(range(12), 5)}
+    asks = {(q, f"c{c}", f"t{t}"): rng.randrange(1, 3) for q in range(9) for c in (0, 1) for t in rng.sample(range(14), 3)}
+    postings = spark.createDataFrame([(*k, v) for k, v in held.items()], "collection string, chunk_id string, term string, impact double").repartition(3)
+    asked = spark.createDataFrame([(*k, v) for k, v in asks.items()], "question_id long, collection string, term string, qf long")
+    sums = {}
+    for (c, k, t), x in held.items():
+        for q in range(9):
+            if (q, c, t) in asks:
+                sums[q, c, k] = sums.get((q, c, k), 0.0) + x * asks[q, c, t]
+    want = {}
+    for q, c in {x[:2] for x in sums}:
+        want |= {(q, c, k): round(-s, 6) for s, k in sorted((-round(s, 6), k) for (a, b, k), s in sums.items() if (a, b) == (q, c) and round(s, 6) > 0)[:4]}
+    fourth = {}
+    for (q, c, _), s in want.items():
+        fourth[q, c] = min(s, fourth.get((q, c), s))
+    bar = spark.createDataFrame([(q, c, s * (1 - 1e-9)) for (q, c), s in fourth.items() if q % 2], "question_id long, collection string, bar double")
+    monkeypatch.setattr(routed, "CELLS", 40)
+    order = routed.F.row_number().over(routed.Window.partitionBy("question_id", "collection").orderBy(F.desc("score"), "chunk_id"))
+    for most in (100, 3):
+        rows = routed._whole(postings, asked, bar, 4, most).where("score > 0").withColumn("r", order).where("r <= 4").collect()
+        got = {(r.question_id, r.collection, r.chunk_id): r.score for r in rows}
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1.5e-6 for x in want)
