@@ -39,7 +39,7 @@ def _crawl(spark, sf):
     chained = p.select("url", web.page_hash(F.col("html")).alias("hash"), n.alias("n"), "host", "run", "page_id").withColumn("after", after)
     stored = chained.select("url", "hash", F.when(F.col("n") % 11 == 0, None).when(F.col("n") % 13 == 0, F.concat("url", F.lit("!"))).otherwise(F.col("after")).alias("next_url"), (F.col("n") % 2 == 0).alias("script"))
     hrefs = anchors.page_links(p.select(F.struct("url", "host").alias("page_id"), "html")).where(F.col("href").rlike("^/[a-z]{1,3}$"))
-    return crawl.crawl_lists(stored.select(F.col("url").alias("list_id"), "url"), stored, hrefs.select("page_id.url", "pos", F.concat("page_id.host", "href").alias("link")), PAGES, ARTICLES)
+    return crawl.crawl_lists(stored.select(F.col("url").alias("list_id"), "url"), stored, hrefs.select("page_id.url", "pos", F.concat("page_id.host", "href").alias("link")), PAGES, ARTICLES, every_version=True)
 
 
 @query(f"{SQL_WALK} SELECT list_id, reason AS stop_reason, CASE reason WHEN 'empty_pages' THEN total > 0 ELSE reason NOT IN ('fetch_failed', 'requires_adapter') END AS complete, CAST(stop - (CASE WHEN reason = 'duplicate_page' THEN 1 ELSE 0 END) AS BIGINT) AS n_pages, CAST(least(total, {ARTICLES}) AS BIGINT) AS n_articles FROM z")
