@@ -208,9 +208,27 @@ FACTS = {
 }
 
 
+#: What each pattern comes to where only its presence is asked: words are searched as they are, and patterns only where a part that they need is there.
+_CJK = r"(?=[\u4e00-\u9fff])"
+_DATE, _DAY = r"20\d{2}(?:\s*年|-\d{2}-\d{2})", r"\d\s*月\s*\d{1,2}\s*日"
+_PHONE, _MAIL = r"1[3-9]\d{9}|0\d{2,3}-?\d{7}", r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2}"
+
+
+def _facts(t: Column) -> dict[str, Column]:
+    """Whether a text holds each of :data:`FACTS`."""
+    has, number = lambda *words: any_of(t, words), t.rlike(r"\d\d")
+    return {
+        "date": (number & t.rlike(_DATE)) | (has("月") & has("日") & t.rlike(_DAY)),
+        "number": number,
+        "contact": has("QQ", "http://", "https://") | (number & t.rlike(_PHONE)) | (has("@") & t.rlike(_MAIL)),
+        "action": t.rlike(f"{_CJK}(?:{FACTS['action']})"),
+    }
+
+
 def fact_signals(body: Column) -> Column:
     """Names of the kinds of facts in a text, sorted."""
-    return F.array_compact(F.array(*(F.when(_text(body).rlike(p), name) for name, p in sorted(FACTS.items()))))
+    held = _facts(_text(body))
+    return F.array_compact(F.array(*(F.when(held[name], name) for name in sorted(held))))
 
 
 def has_facts(body: Column, least: int = 2) -> Column:
