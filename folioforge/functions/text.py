@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -99,31 +100,77 @@ def _gram_bucket(gram: str, dim: int) -> int:
     return hashlib.md5(gram.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[-1] % dim
 
 
+#: A first line of at least ``HEAD`` characters is counted once for all texts of a slice that begin with it.
+HEAD = 128
+#: Grams of characters below ``NARROW`` have their buckets in a table, others are looked at once for every ``SLICE`` characters.
+NARROW, SLICE = 256, 1 << 19
+
+
+@cache
+def _narrow_buckets(dim: int) -> np.ndarray:
+    """Buckets plus one of the grams met so far, by their three characters; 0 is unknown."""
+    return np.zeros(NARROW**3, np.uint16)
+
+
+def _buckets(a: np.ndarray, b: np.ndarray, c: np.ndarray, dim: int) -> np.ndarray:
+    """The buckets of grams of the code points ``a``, ``b`` and ``c``."""
+    of = lambda k, bits: _gram_bucket("".join(chr(k >> s & (1 << bits) - 1) for s in (2 * bits, bits, 0)), dim)
+    out, wide = np.empty(len(a), np.int64), (a | b | c) >= NARROW
+    at = np.flatnonzero(~wide)
+    key, table = (a[at] * NARROW + b[at]) * NARROW + c[at], _narrow_buckets(dim)
+    new = np.unique(key[table[key] == 0])
+    table[new] = [of(int(k), 8) + 1 for k in new]
+    out[at] = table[key].astype(np.int64) - 1
+    if len(at) < len(a):
+        keys, back = np.unique(a[wide] << 42 | b[wide] << 21 | c[wide], return_inverse=True)
+        out[wide] = np.array([of(int(k), 21) for k in keys])[back]
+    return out
+
+
+def _gram_counts(texts: list[str], dim: int) -> np.ndarray:
+    """One row of counts for each text."""
+    size = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    grams = np.maximum(size - 2, 0)
+    row = np.repeat(np.arange(len(texts)), grams)
+    first = np.arange(grams.sum()) + np.repeat(np.cumsum(size) - size - (np.cumsum(grams) - grams), grams)
+    found = _buckets(points[first], points[first + 1], points[first + 2], dim)
+    counts = np.bincount(row * dim + found, minlength=len(texts) * dim).reshape(-1, dim).astype(float)
+    for i in np.flatnonzero(size < 3):
+        counts[i, _gram_bucket(texts[i], dim)] = 1
+    return counts
+
+
 def trigram_vector(text: Column, dim: int = 64) -> Column:
     """Unit vector of character 3-gram counts; the bucket is the last byte of a gram's MD5 modulo ``dim`` (at most 256).
 
-    Arrow batches, as counting into buckets would evaluate every gram once for each bucket in a Column expression. Null stays null; texts
-    of fewer than three characters are one gram.
+    Arrow batches, as counting into buckets would evaluate every gram once for each bucket in a Column expression; a slice of a batch is counted
+    in numpy. Null stays null; texts of fewer than three characters are one gram.
     """
 
     @F.pandas_udf("array<double>")
     def vectors(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            counts = np.zeros(dim)
-            for i in range(max(1, len(t) - 2)):
-                gram = t[i : i + 3]
-                at = known.get(gram)
-                if at is None:
-                    at = known[gram] = _gram_bucket(gram, dim)
-                counts[at] += 1
-            out.append(counts / np.sqrt((counts * counts).sum()))
-            if len(known) > 1 << 20:
-                known.clear()
-        return pd.Series(out)
+        out: list = [None] * len(texts)
+        held, heads, parts, n = [], {}, [], 0
+        for i, t in enumerate(texts):
+            if t is not None:
+                # its grams are those of the first line, and those that begin in its last two characters or later
+                end = t.find("\n") + 1
+                end = end if end >= HEAD else 0
+                head = t[:end]
+                n += len(t) - end if head in heads else len(t)
+                held.append((i, heads.setdefault(head, len(heads))))
+                parts.append(t[max(end - 2, 0) :])
+            if held and (n >= SLICE or i == len(texts) - 1):
+                counts = _gram_counts(parts + list(heads), dim)
+                whole, first, none = counts[: len(parts)], counts[len(parts) :], heads.get("")
+                if none is not None:
+                    first[none] = 0
+                whole[[k for k, (_, h) in enumerate(held) if h != none and len(parts[k]) < 3]] = 0
+                whole += first[[h for _, h in held]]
+                for (k, _), v in zip(held, whole / np.sqrt((whole * whole).sum(axis=1, keepdims=True)), strict=True):
+                    out[k] = v
+                held, heads, parts, n = [], {}, [], 0
+        return pd.Series(out, dtype=object)
 
     return vectors(text)
