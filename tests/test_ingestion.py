@@ -398,3 +398,30 @@ def test_sums_of_many_questions_equal_a_plain_loop(spark, monkeypatch):
         rows = routed._whole(postings, asked, bar, 4, most).where("score > 0").withColumn("r", order).where("r <= 4").collect()
         got = {(r.question_id, r.collection, r.chunk_id): r.score for r in rows}
         assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1.5e-6 for x in want)
+
+
+def test_lists_of_asked_terms_give_the_hits_and_blocks_of_all_postings(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["the"] * 30 + ["of"] * 20 + [f"w{i}" for i in range(150)]
+    rows = [("ab"[i % 4 == 0], f"c{i:04d}", " ".join(rng.choices(words, k=rng.randrange(1, 50)))) for i in range(900)]
+    rows += [(None, "x", "the"), ("a", "nul", None), ("a", "empty", ""), ("b", "none", "zzz"), ("z", "own", "of")]
+    chunks = spark.createDataFrame(rows, "collection string, chunk_id string, text string").repartition(3)
+    texts = ["the of", "w3 of the the", "w1 w2 w3 w4", "nowhere", None, "zzz the nowhere"]
+    questions = spark.createDataFrame([(i, c, t) for i, t in enumerate(texts) for c in ("a", "b", "none")], "question_id long, collection string, text string")
+    postings = routed.impacts(chunks)
+    hits, work = (set(map(tuple, df.collect())) for df in routed.lexical(postings, routed.blocks(postings), questions, k=5))
+    assert len(hits) > 30 and len(work) > 6
+    monkeypatch.setattr(routed, "WORDS", 700)
+    monkeypatch.setattr(routed, "CELLS", 640)
+    monkeypatch.setattr(routed, "impacts", None)  # nothing shuffles postings by chunk
+    assert set(map(tuple, routed.blocks_opened(chunks, questions, k=5).collect())) == work
+    assert set(map(tuple, routed.lexical_hits(chunks, questions, k=5).select("question_id", "collection", "chunk_id", "score", "rank").collect())) == hits
+    lists, block, asked = routed._held(chunks, questions, routed.words_of)
+    first = block.where("level > 8").join(asked.drop("number"), routed.TERM)
+    best = lambda most: sorted((r.question_id, r.collection, round(r.score, 9)) for r in routed._score_lists(first, asked, lists, 10_000, most).collect())
+    assert len(best(100)) > 100 and best(100) == best(2)
+    want = routed._score(first, asked.drop("number"), postings).where("score > 0").collect()
+    assert best(100) == sorted((r.question_id, r.collection, round(r.score, 9)) for r in want)
+    monkeypatch.undo()
+    rest = routed._held(chunks, questions, routed.words_of, most=3)
+    assert set(map(tuple, routed._bars(*rest, 5)[1].collect())) == work  # more asked terms than go along with tasks
