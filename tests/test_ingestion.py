@@ -425,3 +425,21 @@ def test_lists_of_asked_terms_give_the_hits_and_blocks_of_all_postings(spark, mo
     monkeypatch.undo()
     rest = routed._held(chunks, questions, routed.words_of, most=3)
     assert set(map(tuple, routed._bars(*rest, 5)[1].collect())) == work  # more asked terms than go along with tasks
+
+
+def test_every_opening_turn_asks_the_routed_queries(spark, tmp_path):
+    import duckdb
+
+    rng, words = random.Random(8), [f"w{i}" for i in range(60)] + ["the", "and"] * 10
+    docs = [(i, ("# " if i % 5 == 0 else "") + " ".join(rng.choices(words, k=rng.randrange(5, 200))), ("de", "en")[i % 3 > 0], "s", 1) for i in range(60)]
+    turns = [(i, 0, "user", " ".join([f"w{i}", *rng.choices(words, k=4)])) for i in range(24)] + [(3, 1, "user", "w1 w2 w3"), (50, 0, "user", None)]
+    tables = {"documents": (docs, "doc_id long, text string, lang string, source string, n_chars long"), "conversations": (turns, "conv_id long, turn long, role string, text string"), "benchmark": ([(1, "w1 w2 and the")], "item_id long, text string")}
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    ids = {1, *range(-24, 0)}
+    for name in ("r09_lexical_by_collection", "r09_routed_search"):
+        got = set(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
+        assert got == set(con.sql(registry.oracle_sql()[name]).fetchall()) and {r[0] for r in got} == ids
+    assert {r.question_id for r in registry.queries()["r09_blocks_opened"](spark, str(tmp_path)).collect()} == ids
