@@ -443,3 +443,31 @@ def test_every_opening_turn_asks_the_routed_queries(spark, tmp_path):
         got = set(map(tuple, registry.queries()[name](spark, str(tmp_path)).collect()))
         assert got == set(con.sql(registry.oracle_sql()[name]).fetchall()) and {r[0] for r in got} == ids
     assert {r.question_id for r in registry.queries()["r09_blocks_opened"](spark, str(tmp_path)).collect()} == ids
+
+
+def test_sums_of_common_terms_are_bounded_in_memory(spark):
+    import tracemalloc
+
+    postings = spark.createDataFrame([("all", f"{i:04d}", f"t{t}", 1.0 + i % 7 + t / 64) for i in range(500) for t in range(20)], "collection string, chunk_id string, term string, impact double").coalesce(1)
+    asked = spark.createDataFrame([(q, "all", f"t{(q + t) % 20}", 1 + (t == 0)) for q in range(1500) for t in range(10)], "question_id long, collection string, term string, qf long")
+    bar = spark.createDataFrame([], "question_id long, collection string, bar double")
+    plain = type(postings).mapInArrow
+
+    def watched(self, f, schema):
+        def run(batches):
+            tracemalloc.start()
+            yield from f(batches)
+            if tracemalloc.get_traced_memory()[1] > 64e6:
+                raise MemoryError(tracemalloc.get_traced_memory()[1])
+
+        return plain(self, run, schema)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(postings), "mapInArrow", watched)
+        rows = routed._whole(postings, asked, bar, 4).collect()
+    best = {}
+    for r in rows:
+        best.setdefault(r.question_id, []).append((-r.score, r.chunk_id))
+    for q in (0, 7, 1499):
+        want = sorted((-round(sum((1 + (t == 0)) * (1.0 + i % 7 + (q + t) % 20 / 64) for t in range(10)), 6), f"{i:04d}") for i in range(500))[:4]
+        assert sorted(best[q])[:4] == want
