@@ -471,3 +471,14 @@ def test_sums_of_common_terms_are_bounded_in_memory(spark):
     for q in (0, 7, 1499):
         want = sorted((-round(sum((1 + (t == 0)) * (1.0 + i % 7 + (q + t) % 20 / 64) for t in range(10)), 6), f"{i:04d}") for i in range(500))[:4]
         assert sorted(best[q])[:4] == want
+
+
+def test_equal_question_vectors_are_searched_once(spark, monkeypatch):
+    rng = random.Random(11)
+    chunks = spark.createDataFrame([("ab"[i % 3 == 0], f"c{i:03d}", [float(rng.randrange(4)) for _ in range(4)]) for i in range(80)], "collection string, chunk_id string, vector array<double>")
+    kinds = [[1.0, 0.0, 1.0, 1.0], [0.0, 2.0, 0.0, 1.0], [0.0] * 4, None]
+    questions = spark.createDataFrame([(q, c, kinds[q % 4]) for q in range(40) for c in "ab"], "question_id long, collection string, vector array<double>")
+    want, asked, plain = set(map(tuple, routed.nearest(chunks, questions, 5, "collection", "chunk_id").select("question_id", "collection", "chunk_id", "score", "rank").collect())), [], routed.nearest
+    monkeypatch.setattr(routed, "nearest", lambda c, q, *rest: asked.append(q.count()) or plain(c, q, *rest))
+    assert set(map(tuple, routed.dense(chunks, questions, 5).collect())) == want and len(want) == 200
+    assert asked == [8]
