@@ -482,3 +482,36 @@ def test_equal_question_vectors_are_searched_once(spark, monkeypatch):
     monkeypatch.setattr(routed, "nearest", lambda c, q, *rest: asked.append(q.count()) or plain(c, q, *rest))
     assert set(map(tuple, routed.dense(chunks, questions, 5).collect())) == want and len(want) == 200
     assert asked == [8]
+
+
+def test_blocks_stay_shut_as_in_a_plain_loop():
+    import pyarrow as pa
+
+    rng, rows, want = random.Random(4), [], {}
+    for q in range(60):
+        bar, of_q = (None if q % 9 == 0 else rng.uniform(1, 9)), []
+        for t in range(rng.randrange(1, 5)):
+            of_q += [(q, "a", f"t{t}", level, rng.choice([0.0, level / 8 + rng.random()]), rng.randrange(1, 400), bar) for level in sorted(rng.sample(range(33), rng.randrange(1, 20)))]
+        whole, best = sum(r[5] for r in of_q), (0, 0)
+        for j in range(-24, 25) if bar else ():
+            paid = saved = 0
+            for t in {r[2] for r in of_q}:
+                picks = [(-1.0, 0, 0.0, 0)]
+                for r in (mine := [r for r in of_q if r[2] == t]):
+                    below = [x for x in mine if x[3] <= r[3]]
+                    cost, n = max(x[4] for x in below), sum(x[5] for x in below)
+                    picks.append((n - 2.0 ** (j / 4.0) * whole / bar * cost, r[3], cost, n))
+                if max(picks)[0] > 0:
+                    paid, saved = paid + max(picks)[2], saved + max(picks)[3]
+            if paid < bar:
+                best = max(best, (saved, j))
+        want[q, "a"] = (whole - best[0], whole)
+        rows += of_q
+    names = ["question_id", "collection", "term", "level", "bound", "n", "bar"]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+    for size in (7, 100, len(rows)):
+        got = {}
+        for b in routed._choices(whole.slice(lo, size) for lo in range(0, len(rows), size)):
+            got |= {(r["question_id"], r["collection"]): (r["opened"], r["postings"]) for r in b.to_pylist()}
+        assert got == want
+    assert sum(o < n for o, n in want.values()) > 30
